@@ -1,0 +1,23 @@
+"""Named queries with, where SQL can say it, the statement they are checked against."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} registered twice")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return register
