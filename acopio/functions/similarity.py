@@ -62,17 +62,23 @@ def sex_of_key(value: Column, key: Column) -> Column:
     """Category of a value given its match key.
 
     Exact patterns answer almost every row; only the rest pays for edit distances, and a key too
-    long to reach the threshold against the longest pattern is passed through.
+    long to reach the threshold against the longest pattern is passed through. Both best ratios
+    are bound once, which also keeps the generated code small.
     """
     reach = int(max(map(len, K.MALE_PATTERNS + K.FEMALE_PATTERNS)) / K.SEX_THRESHOLD)
-    m = F.greatest(*[key_ratio(key, F.lit(p)) for p in K.MALE_PATTERNS])
-    f = F.greatest(*[key_ratio(key, F.lit(p)) for p in K.FEMALE_PATTERNS])
+
+    def best(patterns):
+        return F.greatest(*[1 - F.levenshtein(key, F.lit(p)) / F.greatest(F.char_length(key), F.lit(len(p)))
+                            for p in patterns])
+
+    pair = F.struct(best(K.MALE_PATTERNS).alias("m"), best(K.FEMALE_PATTERNS).alias("f"))
+    fuzzy = F.transform(F.array(pair), lambda s: (
+        F.when((s["m"] >= K.SEX_THRESHOLD) & (s["m"] > s["f"]), K.MALE)
+        .when((s["f"] >= K.SEX_THRESHOLD) & (s["f"] > s["m"]), K.FEMALE).otherwise(value)))
     return (F.when(key.isin(K.MALE_PATTERNS), K.MALE)
             .when(key.isin(K.FEMALE_PATTERNS), K.FEMALE)
             .when((key == "") | (F.char_length(key) > reach), value)
-            .when((m >= K.SEX_THRESHOLD) & (m > f), K.MALE)
-            .when((f >= K.SEX_THRESHOLD) & (f > m), K.FEMALE)
-            .otherwise(value))
+            .otherwise(F.element_at(fuzzy, 1)))
 
 
 def map_sex(value: Column) -> Column:

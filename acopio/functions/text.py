@@ -80,26 +80,26 @@ def strip_float_suffix(c: Column) -> Column:
 
 def numeric_code(c: Column, allow_zero: bool = False) -> Column:
     """Digits of an identifier, without a ``.0`` tail; leading zeros kept, zero itself refused."""
-    code = F.nullif(F.regexp_extract(trimmed(c), "^([0-9]+)(?:\\.0+)?$", 1), F.lit(""))
-    return code if allow_zero else F.when(~code.rlike("^0+$"), code)
+    some = "" if allow_zero else "(?=0*[1-9])"
+    return F.nullif(F.regexp_extract(trimmed(c), f"^{some}([0-9]+)(?:\\.0+)?$", 1), F.lit(""))
 
 
-_NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = "^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$"
 
 
 def to_number(c: Column) -> Column:
     """Double of a plain decimal text, else null (``1d`` or ``1,000`` are not numbers)."""
-    t = trimmed(c.cast("string"))
+    t = c.cast("string")
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def to_int_or_zero(c: Column) -> Column:
-    """Whole part of a number as BIGINT; whatever is not a number counts as 0."""
-    t = trimmed(c.cast("string"))
-    x = to_number(c)
-    whole = F.when(t.rlike("^[+-]?[0-9]{1,18}$"), t.try_cast("bigint")).when(
-        F.abs(x) < 9.2e18, x.cast("bigint"))
-    return F.coalesce(whole, F.lit(0).cast("bigint"))
+    """Whole part of a number as BIGINT; whatever is not a number counts as 0.
+
+    Plain integers, the usual case, are settled by the first cast.
+    """
+    return F.coalesce(c.cast("string").try_cast("bigint"), to_number(c).try_cast("bigint"),
+                      F.lit(0).cast("bigint"))
 
 
 def sanitize_name(c: Column) -> Column:

@@ -15,8 +15,11 @@ YEAR_PATTERN = "(?U)\\b(19\\d{2}|20\\d{2}|2100)\\b"
 
 def parse_year(c: Column) -> Column:
     """Year of a value written as a whole number, else null."""
+    whole = F.when(c.cast("string").rlike("^\\s*[0-9]{4}\\s*$"), c.cast("string").try_cast("int"))
     x = to_number(c)
-    return F.when((x == F.floor(x)) & x.between(K.YEAR_MIN, K.YEAR_MAX), x.cast("int"))
+    other = F.when(x == F.floor(x), x.try_cast("int"))
+    year = F.coalesce(whole, other)
+    return F.when(year.between(K.YEAR_MIN, K.YEAR_MAX), year)
 
 
 def extract_years(c: Column) -> Column:

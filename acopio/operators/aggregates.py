@@ -27,15 +27,17 @@ def first_non_empty(df: DataFrame, key: str, columns: list[str], order: str) ->
     return combos.groupBy(key).agg(*first)
 
 
-def distinct_first(df: DataFrame, column: str, order: str, collation: str = "UNICODE_CI_AI_RTRIM") -> DataFrame:
+def distinct_first(df: DataFrame, column: str, order: str, collation: str = "UNICODE_CI_AI_RTRIM",
+                   by: list[str] | None = None) -> DataFrame:
     """Distinct texts, first spelling wins among texts equal but for case, accents and tail blanks.
 
-    Result: (column, _ord) with the order of the first appearance.
+    Result: (by..., column, _ord) with the order of the first appearance.
     """
-    exact = df.where(_c(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_ord"))
+    by = by or []
+    exact = df.where(_c(column).isNotNull()).groupBy(*by, column).agg(F.min(order).alias("_ord"))
     best = F.min(F.struct("_ord", _c(column).alias("v"))).alias("_best")
-    return (exact.groupBy(F.collate(_c(column), collation).alias("_ci")).agg(best)
-            .select(F.col("_best.v").alias(column), F.col("_best._ord").alias("_ord")))
+    return (exact.groupBy(*by, F.collate(_c(column), collation).alias("_ci")).agg(best)
+            .select(*by, F.col("_best.v").alias(column), F.col("_best._ord").alias("_ord")))
 
 
 def number_rows(df: DataFrame, order: list[str], id_col: str = "id", start: int = 1,

@@ -40,28 +40,36 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", s
     small = small if ready else pin(small)
     if fits_broadcast(small):
         return big.join(F.broadcast(small), on, how)
+    return salted(big, small, on, how, salts)
+
+
+def salted(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = SALTS) -> DataFrame:
+    """Join that spreads each key of the large side over ``salts`` tasks."""
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def fk_semi(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+def _parent_keys(column: str, parent: DataFrame, parent_key: str, ready: bool) -> DataFrame:
+    """Key column of the parent; a ready parent is a stored dimension with unique keys."""
+    keys = parent.select(F.col(parent_key).alias(column)).where(F.col(column).isNotNull())
+    return keys if ready else keys.distinct()
+
+
+def fk_semi(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
     """Rows whose key exists in the parent."""
-    keys = parent.select(F.col(parent_key).alias(column)).where(F.col(column).isNotNull()).distinct()
-    return attach(df, keys, [column], "left_semi")
+    return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_semi", ready=ready)
 
 
-def fk_missing(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+def fk_missing(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
     """Rows ``fk_semi`` drops (null keys included)."""
-    keys = parent.select(F.col(parent_key).alias(column)).where(F.col(column).isNotNull()).distinct()
-    return attach(df, keys, [column], "left_anti")
+    return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_anti", ready=ready)
 
 
-def fk_nullify(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+def fk_nullify(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
     """Every row kept; a key that does not exist in the parent becomes null."""
-    keys = (parent.select(F.col(parent_key).alias(column)).where(F.col(column).isNotNull()).distinct()
-            .withColumn("_known", F.lit(True)))
-    out = attach(df, keys, [column], "left")
+    keys = _parent_keys(column, parent, parent_key, ready).withColumn("_known", F.lit(True))
+    out = attach(df, keys, [column], "left", ready=ready)
     return out.withColumn(column, F.when(F.col("_known"), F.col(column))).select(*df.columns)
 
 
@@ -74,7 +82,7 @@ def text_lookup(dim: DataFrame, name: str = "nombre", id_col: str = "id",
 
 
 def fk_text(df: DataFrame, source: str, dim: DataFrame, out: str, name: str = "nombre",
-            id_col: str = "id", parent: tuple[str, str] | None = None) -> DataFrame:
+            id_col: str = "id", parent: tuple[str, str] | None = None, ready: bool = False) -> DataFrame:
     """Add the id of the dimension row whose name has the same match key; a miss is null.
 
     ``parent=(column of df, column of dim)`` makes it a lookup on (name, parent id).
@@ -85,11 +93,12 @@ def fk_text(df: DataFrame, source: str, dim: DataFrame, out: str, name: str = "n
     if parent:
         lookup = lookup.withColumnRenamed(parent[1], parent[0])
         on.append(parent[0])
-    joined = attach(df.withColumn("_key", match_key(F.col(source))), lookup, on, "left")
+    joined = attach(df.withColumn("_key", match_key(F.col(source))), lookup, on, "left", ready=ready)
     return joined.select(*df.columns, out)
 
 
-def fk_hierarchy(df: DataFrame, levels: list[tuple[str, DataFrame, str | None]], out: str) -> DataFrame:
+def fk_hierarchy(df: DataFrame, levels: list[tuple[str, DataFrame, str | None]], out: str,
+                 ready: bool = False) -> DataFrame:
     """Chained lookups down a hierarchy; a miss at any level gives null.
 
     ``levels`` holds (column of df, dimension, parent column of that dimension or None).
@@ -97,7 +106,8 @@ def fk_hierarchy(df: DataFrame, levels: list[tuple[str, DataFrame, str | None]],
     cur, prev = df, None
     for i, (source, dim, parent_col) in enumerate(levels):
         step = out if i == len(levels) - 1 else f"_level{i}"
-        cur = fk_text(cur, source, dim, step, parent=(prev, parent_col) if parent_col else None)
+        cur = fk_text(cur, source, dim, step, parent=(prev, parent_col) if parent_col else None,
+                      ready=ready)
         prev = step
     return cur.select(*df.columns, out)
 

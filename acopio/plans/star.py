@@ -5,17 +5,22 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.similarity import sex_of_key
 from ..functions.text import clean_value, match_key, numeric_code, to_int_or_zero
-from ..operators.aggregates import distinct_first, first_non_empty, number_rows
-from ..operators.joins import attach, fk_hierarchy, fk_nullify, fk_semi, fk_text, outer_merge
+from ..operators.aggregates import NUMBERING_ROWS, distinct_first, first_non_empty, number_rows
+from ..operators.joins import attach, fits_broadcast, fk_hierarchy, fk_nullify, fk_semi, fk_text, outer_merge
 from ..session import new_path, pin
 
 ORDER = "_ord"
+TEXT_TABLES = {
+    "AREA_CONOCIMIENTO": "area_conocimiento", "NBC": "nbc", "CINE_CAMPO_AMPLIO": "cine_campo_amplio",
+    "NIVEL_FORMACION_DOCENTE": "nivel_formacion_docente", "TIEMPO_DEDICACION": "tiempo_dedicacion",
+    "TIPO_CONTRATO": "tipo_contrato",
+}
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -90,15 +95,33 @@ def dim_program_texts(frames: list[DataFrame]) -> DataFrame:
     return _with_code(rows, K.PROGRAM_KEY, [c for c in rows.columns if c not in (K.PROGRAM_KEY, ORDER)])
 
 
-def text_values(frames: list[DataFrame], column: str) -> DataFrame:
-    used = [df for df in frames if column in df.columns]
-    return _ordered(used, [{"nombre": clean_value(F.col(column))}] * len(used))
+def text_dims(columns: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
+    """Several text dimensions from one pass: column -> (id, nombre).
+
+    Each frame is unfolded to (column, text) once. Distinct texts are kept in order of first
+    appearance, case and accents ignored, and numbered per column.
+    """
+    parts = []
+    frames: list[DataFrame] = []
+    for fs in columns.values():
+        frames += [f for f in fs if not any(f is g for g in frames)]
+    for pos, df in enumerate(frames):
+        mine = [c for c, fs in columns.items() if any(df is f for f in fs) and c in df.columns]
+        if mine:
+            order = F.lit(pos).cast("bigint") * F.lit(1 << 56) + F.col(ORDER)
+            cells = df.select(order.alias(ORDER), *[clean_value(F.col(c)).alias(c) for c in mine])
+            parts.append(cells.unpivot([ORDER], mine, "columna", "nombre"))
+    names = pin(distinct_first(_union(parts), "nombre", ORDER, by=["columna"]))
+    if fits_broadcast(names, rows=NUMBERING_ROWS):
+        w = Window.partitionBy("columna").orderBy(ORDER, "nombre")
+        numbered = pin(names.withColumn("id", F.row_number().over(w).cast("bigint")))
+        return {c: numbered.where(F.col("columna") == c).select("id", "nombre") for c in columns}
+    return {c: number_rows(names.where(F.col("columna") == c).drop("columna"), [ORDER, "nombre"])
+            .select("id", "nombre") for c in columns}
 
 
 def dim_text(frames: list[DataFrame], column: str) -> DataFrame:
-    """(id, nombre): distinct texts in order of first appearance, case and accents ignored."""
-    names = distinct_first(text_values(frames, column), "nombre", ORDER)
-    return number_rows(names, [ORDER, "nombre"]).select("id", "nombre")
+    return text_dims({column: frames})[column]
 
 
 def sex_values(frames: list[DataFrame]) -> DataFrame:
@@ -111,7 +134,7 @@ def sex_values(frames: list[DataFrame]) -> DataFrame:
 
 
 def dim_sex(frames: list[DataFrame]) -> DataFrame:
-    names = distinct_first(sex_values(frames), "nombre", ORDER)
+    names = distinct_first(pin(sex_values(frames)), "nombre", ORDER)
     return number_rows(names, [ORDER, "nombre"]).select("id", "nombre")
 
 
@@ -131,25 +154,26 @@ def program_order(programs: DataFrame) -> DataFrame:
 
 
 def dim_cine_specific(programs: DataFrame, broad: DataFrame) -> DataFrame:
-    rows = fk_text(program_order(programs), "cine_campo_amplio", broad, "campo_amplio_id")
+    rows = fk_text(program_order(programs), "cine_campo_amplio", broad, "campo_amplio_id", ready=True)
     return dim_child(rows, "cine_campo_especifico", "campo_amplio_id", ORDER)
 
 
 def dim_cine_detail(programs: DataFrame, broad: DataFrame, specific: DataFrame) -> DataFrame:
     rows = fk_hierarchy(program_order(programs), [
         ("cine_campo_amplio", broad, None), ("cine_campo_especifico", specific, "campo_amplio_id")],
-        "campo_especifico_id")
+        "campo_especifico_id", ready=True)
     out = dim_child(rows, "cine_detallado", "campo_especifico_id", ORDER)
     return out.select("id", "nombre", F.col("nombre").alias("codigo"), "campo_especifico_id")
 
 
 def dim_program(programs: DataFrame, area: DataFrame, nbc: DataFrame, broad: DataFrame,
                 specific: DataFrame, detail: DataFrame) -> DataFrame:
-    out = fk_text(programs, "area_conocimiento", area, "area_id")
-    out = fk_text(out, "nbc", nbc, "nbc_id")
+    out = fk_text(programs, "area_conocimiento", area, "area_id", ready=True)
+    out = fk_text(out, "nbc", nbc, "nbc_id", ready=True)
     out = fk_hierarchy(out, [("cine_campo_amplio", broad, None),
                              ("cine_campo_especifico", specific, "campo_amplio_id"),
-                             ("cine_detallado", detail, "campo_especifico_id")], "cine_detallado_id")
+                             ("cine_detallado", detail, "campo_especifico_id")], "cine_detallado_id",
+                       ready=True)
     return out.select(K.PROGRAM_KEY, "nombre", "nivel_academico", "nivel_formacion", "metodologia",
                       "area_id", "nbc_id", "cine_detallado_id")
 
@@ -197,7 +221,7 @@ def valid_parent_links(institutions: DataFrame) -> DataFrame:
 
 
 def with_valid_parents(institutions: DataFrame) -> DataFrame:
-    return fk_nullify(institutions, "ies_padre_codigo", institutions, "codigo")
+    return fk_nullify(institutions, "ies_padre_codigo", institutions, "codigo", ready=True)
 
 
 # --- whole star -------------------------------------------------------------------------------------------
@@ -210,21 +234,22 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     star: dict[str, DataFrame] = {}
     star["DEPARTAMENTO"] = pin(dim_department(frames))
     star["MUNICIPIO"] = pin(fk_nullify(dim_municipality(frames), "departamento_codigo",
-                                       star["DEPARTAMENTO"], "codigo"))
-    inst = pin(fk_nullify(dim_institution(frames), "municipio_codigo", star["MUNICIPIO"], "codigo"))
+                                       star["DEPARTAMENTO"], "codigo", ready=True))
+    inst = pin(fk_nullify(dim_institution(frames), "municipio_codigo", star["MUNICIPIO"], "codigo", ready=True))
     star["INSTITUCION"] = pin(with_valid_parents(inst))
     sexed = [f for f in (staff, *students.values()) if f is not None]
+    texts: dict[str, list[DataFrame]] = {}
     if sexed:
         star["SEXO"] = pin(dim_sex(sexed))
     if staff is not None:
-        for table, column in (("NIVEL_FORMACION_DOCENTE", "nivel_formacion_docente"),
-                              ("TIEMPO_DEDICACION", "tiempo_dedicacion"), ("TIPO_CONTRATO", "tipo_contrato")):
-            star[table] = pin(dim_text([staff], column))
+        texts.update({c: [staff] for c in ("nivel_formacion_docente", "tiempo_dedicacion", "tipo_contrato")})
+    sf = list(students.values())
+    if students:
+        texts.update({c: sf for c in ("area_conocimiento", "nbc", "cine_campo_amplio")})
+    if texts:
+        dims = text_dims(texts)
+        star.update({t: dims[c] for t, c in TEXT_TABLES.items() if c in dims})
     if students:
-        sf = list(students.values())
-        star["AREA_CONOCIMIENTO"] = pin(dim_text(sf, "area_conocimiento"))
-        star["NBC"] = pin(dim_text(sf, "nbc"))
-        star["CINE_CAMPO_AMPLIO"] = pin(dim_text(sf, "cine_campo_amplio"))
         programs = pin(dim_program_texts(sf))
         star["CINE_CAMPO_ESPECIFICO"] = pin(dim_cine_specific(programs, star["CINE_CAMPO_AMPLIO"]))
         star["CINE_DETALLADO"] = pin(dim_cine_detail(programs, star["CINE_CAMPO_AMPLIO"],
@@ -232,22 +257,22 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
         star["PROGRAMA"] = pin(dim_program(programs, star["AREA_CONOCIMIENTO"], star["NBC"],
                                            star["CINE_CAMPO_AMPLIO"], star["CINE_CAMPO_ESPECIFICO"],
                                            star["CINE_DETALLADO"]))
-        fact = fk_semi(fact_students(students), "institucion_codigo", star["INSTITUCION"], "codigo")
-        fact = fk_semi(fact, "programa_codigo", star["PROGRAMA"], K.PROGRAM_KEY)
-        fact = fk_nullify(fact, "municipio_programa_codigo", star["MUNICIPIO"], "codigo")
-        fact = fk_text(fact, "sexo", star["SEXO"], "sexo_id")
+        fact = fk_semi(fact_students(students), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
+        fact = fk_semi(fact, "programa_codigo", star["PROGRAMA"], K.PROGRAM_KEY, ready=True)
+        fact = fk_nullify(fact, "municipio_programa_codigo", star["MUNICIPIO"], "codigo", ready=True)
+        fact = fk_text(fact, "sexo", star["SEXO"], "sexo_id", ready=True)
         star["HECHO_ESTUDIANTES"] = fact.select(*[c[0] for c in K.STAR["HECHO_ESTUDIANTES"]["columns"]])
     if admin is not None:
-        fact = fk_semi(fact_admin(admin), "institucion_codigo", star["INSTITUCION"], "codigo")
+        fact = fk_semi(fact_admin(admin), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
         star["HECHO_ADMINISTRATIVOS"] = fact.select(*[c[0] for c in K.STAR["HECHO_ADMINISTRATIVOS"]["columns"]])
     if staff is not None:
-        fact = fk_semi(fact_staff(staff), "institucion_codigo", star["INSTITUCION"], "codigo")
+        fact = fk_semi(fact_staff(staff), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
         for source, table, out in (
                 ("sexo", "SEXO", "sexo_id"),
                 ("nivel_formacion_docente", "NIVEL_FORMACION_DOCENTE", "nivel_formacion_id"),
                 ("tiempo_dedicacion", "TIEMPO_DEDICACION", "tiempo_dedicacion_id"),
                 ("tipo_contrato", "TIPO_CONTRATO", "tipo_contrato_id")):
-            fact = fk_text(fact, source, star[table], out)
+            fact = fk_text(fact, source, star[table], out, ready=True)
         star["HECHO_DOCENTES"] = fact.select(*[c[0] for c in K.STAR["HECHO_DOCENTES"]["columns"]])
     return star
 
