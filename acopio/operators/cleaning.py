@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,8 @@ def nullify_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
-    return df.dropna("all", subset=data_columns(df))
+    some = reduce(lambda a, b: a | b, [_c(c).isNotNull() for c in data_columns(df)])
+    return df.where(some)
 
 
 def drop_all_null_columns(df: DataFrame) -> DataFrame:

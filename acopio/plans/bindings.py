@@ -98,26 +98,26 @@ DIRTY = f"""SELECT c_custkey AS _ord,
 FROM {{customer}}"""
 
 # Yearly files as raw grids: two title rows, a header, order rows, two notes at the end.
-GRID = """SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv' AS path,
+GRID = """SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv' AS path,
     o_orderkey AS ord, CAST(o_custkey AS STRING) AS c0, 'Sede ' || o_orderpriority AS c1,
     CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE CAST(year(o_orderdate) AS STRING) END AS c2,
     CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS c3
   FROM {orders}
 UNION ALL
-SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv', CAST(-3 AS BIGINT),
+SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv', CAST(-3 AS BIGINT),
     'Informe', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {orders} GROUP BY 1
 UNION ALL
-SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv', CAST(-2 AS BIGINT),
+SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv', CAST(-2 AS BIGINT),
     CASE WHEN max(o_orderstatus) = 'O' THEN 'Corte ' || CAST(max(year(o_orderdate)) AS STRING) ELSE 'Corte anual' END,
     CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {orders} GROUP BY 1
 UNION ALL
-SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv', CAST(-1 AS BIGINT),
+SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv', CAST(-1 AS BIGINT),
     'Código de la Institución', 'Institución de Educación Superior (IES)', 'Año', 'No. de Docentes' FROM {orders} GROUP BY 1
 UNION ALL
-SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv', max(o_orderkey) + 1,
+SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv', max(o_orderkey) + 1,
     'Fuente: entidad oficial', '', '', '' FROM {orders} GROUP BY 1
 UNION ALL
-SELECT 'Docentes/corte_' || CAST(year(o_orderdate) AS STRING) || '_' || o_orderstatus || '.csv', max(o_orderkey) + 2,
+SELECT 'Docentes/corte ' || CAST(year(o_orderdate) AS STRING) || ' ' || o_orderstatus || '.csv', max(o_orderkey) + 2,
     '', '', '', '' FROM {orders} GROUP BY 1"""
 
 GRID_COLUMNS = ["c0", "c1", "c2", "c3"]

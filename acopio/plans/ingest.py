@@ -102,7 +102,8 @@ def ingest_grid(grid: DataFrame, category: str, canonical: list[str] | None = No
     scores = match_scores(G.explode_headers(headers), canonical, FILE)
     mapping = mapping_arrays(match_columns(scores, FILE, len(canonical)), FILE, len(canonical))
     plan = pin(headers.join(mapping, "_path", "left").select("_path", "_header_ord", "mapping"))
-    aligned = C.drop_all_null_rows(align_rows(grid, plan, canonical))
+    # text is parsed and aligned once; the passes below read columns of the written table
+    aligned = stage(C.drop_all_null_rows(align_rows(grid, plan, canonical)), "aligned")
     aligned = C.trim_footer(aligned, "_ord", "_path", canonical)
     years = pin(chosen_year(aligned, grid, canonical, on_multiple, default_year))
     dated = attach(aligned, years.where("anio IS NOT NULL"), FILE, "inner", ready=True)
