@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ("queries_text", "queries_clean", "queries_star", "queries_grid")
+QUERY_MODULES = ("queries_text", "queries_clean", "queries_star", "queries_grid", "queries_load", "queries_segments")
 
 
 def load_queries() -> None:

@@ -10,7 +10,6 @@ from .. import constants as K
 from ..functions.text import sanitize_name
 from ..operators.joins import left_minus
 
-REPLACEMENT = "�"
 WIDE = 256  # columns read from a file whose records span lines
 
 
@@ -76,13 +75,13 @@ def profile_files(spark: SparkSession, paths: list[str], sep: str = ",") -> Data
     """Per file, in one splittable scan: does UTF-8 fail, do records span lines, how wide is it.
 
     A quoted line break leaves an odd number of quotes on a line, so files without one can be
-    read in parallel splits; U+FFFD in the decoded text means the bytes were not UTF-8.
+    read in parallel splits; a line of invalid UTF-8 sends its file to ISO-8859-1.
     """
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     seps = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))
     return _text_lines(spark, paths).groupBy("_path").agg(
-        F.max(F.contains(line, F.lit(REPLACEMENT))).alias("latin"),
+        F.max(~F.is_valid_utf8(line)).alias("latin"),
         F.max(quotes % 2 == 1).alias("multiline"),
         (F.max(seps) + 1).cast("int").alias("width"))
 
@@ -142,7 +141,8 @@ def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep
     """
     reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", True)
-              .option("enforceSchema", True))
+              .option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False))
     if columns is None:
         columns = [c.lstrip("﻿") for c in reader.option("inferSchema", False).csv(path).columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -153,7 +153,8 @@ def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV export. Parquet is the master format; CSV is what other tools read."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").option("nullValue", "").csv(path))
+     .option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_features(spark: SparkSession, path) -> DataFrame:
