@@ -87,6 +87,33 @@ def fold_to_ascii(c: Column) -> Column:
     return F.when(is_ascii(c), c).otherwise(_decompose(c, ascii_only=True))
 
 
+@lru_cache(maxsize=None)
+def _key_table() -> tuple[str, str]:
+    """One translation for match keys: folded letters, white space to a blank, other ASCII dropped."""
+    src, dst, _ = _tables(True)
+    spaces = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0x1680, 0x2028, 0x2029]))
+    # capitals that only appear after folding are not part of a key either
+    fits = set("abcdefghijklmnopqrstuvwxyz0123456789 ")
+    junk = "".join(chr(i) for i in range(0x80) if chr(i) not in fits and chr(i) not in spaces)
+    keep = [(a, b) for a, b in zip(src, dst) if b in fits]
+    lost = "".join(a for a, b in zip(src, dst) if b not in fits)
+    return ("".join(a for a, _ in keep) + spaces + junk + lost,
+            "".join(b for _, b in keep) + " " * len(spaces))
+
+
+def key_fold(c: Column) -> Column:
+    """Lower-case text -> letters, digits and blanks, in one pass over the characters."""
+    several = _tables(True)[2]
+    sep = "\x01"
+    table = F.map_from_arrays(F.split(F.lit(sep.join(several)), sep),
+                              F.split(F.lit(sep.join(several.values())), sep))
+    spread = F.array_join(
+        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    c = F.when(~is_ascii(c) & c.rlike(_several_class(True)), spread).otherwise(c)
+    src, dst = _key_table()
+    return F.regexp_replace(F.translate(c, src, dst), "[^\\x00-\\x7F]+", "")
+
+
 def strip_accents_text(text: str) -> str:
     """The same rule for a header name on the driver."""
     return _bare(text)

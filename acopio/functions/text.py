@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .fold import fold_to_ascii, is_ascii
+from .fold import fold_to_ascii, is_ascii, key_fold
 
 # White space as the cleaning rules see it: more than the plain blank that trim() removes.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
@@ -14,9 +16,6 @@ SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0
 _WS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 # Runs of white space that are not already one plain blank: only these need rewriting.
 _RUNS = "[" + _WS.replace("\\x20", "\\x1F") + f"][{_WS}]*| [{_WS}]+"
-# After folding to ASCII only these remain.
-_KEY_WS = "\\x09-\\x0D\\x1C-\\x1F\\x85\\x{1680}\\x{2028}\\x{2029}"
-_KEY_RUNS = f"[{_KEY_WS}][{_KEY_WS} ]*| [{_KEY_WS} ]+"
 
 
 def trimmed(c: Column) -> Column:
@@ -38,9 +37,7 @@ def collapse(c: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """Lower case, no accents, only letters, digits and single spaces; null becomes empty."""
-    folded = fold_to_ascii(F.lower(F.coalesce(c, F.lit(""))))
-    kept = F.regexp_replace(folded, f"[^a-z0-9 {_KEY_WS}]+", "")
-    return F.trim(F.regexp_replace(kept, _KEY_RUNS, " "))
+    return F.trim(F.regexp_replace(key_fold(F.lower(F.coalesce(c, F.lit("")))), " {2,}", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -56,6 +53,11 @@ def clean_header(c: Column) -> Column:
     return F.regexp_replace(c, _RUNS, " ")
 
 
+def clean_header_text(name: str) -> str:
+    """``clean_header`` for a name on the driver."""
+    return re.sub(r"\s+", " ", name.replace("\n", " ").strip().strip('"').strip("'"))
+
+
 def is_null_token(c: Column) -> Column:
     """True for text that only says there is no information (blank text included).
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.fold import match_key_text
 from ..functions.similarity import key_ratio_at_least, key_similarity
-from ..functions.text import clean_header, match_key
+from ..functions.text import clean_header, clean_header_text, match_key
+from ..session import pin
 from .aggregates import column_cardinality, top_n, top_values
+from .joins import attach
 
 
 def _has_any(key: Column, words: list[str]) -> Column:
@@ -39,23 +42,24 @@ def header_score(canon_key: Column, new_key: Column, new_name: Column) -> Column
     return F.when(new_name.rlike("(?U)\\bid\\b"), base * K.ID_PENALTY).otherwise(base)
 
 
-def match_scores(headers: DataFrame, canonical: list[str] | Column, by: list[str],
+def match_scores(headers: DataFrame, canonical: list[str], by: list[str],
                  threshold: float = K.MATCH_THRESHOLD) -> DataFrame:
     """(by..., canon_idx, src_idx, canon, name, sim) for pairs at or above the threshold.
 
-    ``headers``: (by..., pos, name). ``canonical``: the fixed list (at most a few dozen names), or
-    an array column when it depends on the row. Each header row unfolds against that list, so
-    there is no join at all.
+    ``headers``: (by..., pos, name). Each distinct header text unfolds against the fixed canonical
+    list (a few dozen names) and is scored once, then scores go back to the files by text; there
+    is no cross join, and files that share headers share the work.
     """
-    if isinstance(canonical, list):
-        canonical = F.array(*[F.lit(x) for x in canonical])
-    src = headers.select(*by, F.col("pos").alias("src_idx"), clean_header(F.col("name")).alias("name"),
-                         F.transform(canonical, clean_header).alias("_canon"))
-    src = src.withColumn("_new_key", match_key(F.col("name")))
-    pairs = src.select(*by, "src_idx", "name", "_new_key", F.posexplode("_canon").alias("canon_idx", "canon"))
-    pairs = pairs.withColumn("_canon_key", match_key(F.col("canon")))
-    scored = pairs.withColumn("sim", header_score(F.col("_canon_key"), F.col("_new_key"), F.col("name")))
-    return scored.where(F.col("sim") >= threshold).select(*by, "canon_idx", "src_idx", "canon", "name", "sim")
+    canon = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.lit(match_key_text(c)).alias("k"))
+                      for i, c in enumerate(clean_header_text(h) for h in canonical)])
+    src = headers.select(*by, F.col("pos").alias("src_idx"), clean_header(F.col("name")).alias("name"))
+    names = src.select("name").distinct().withColumn("_key", match_key(F.col("name")))
+    pairs = names.select("name", "_key", F.explode(canon).alias("_c"))
+    scored = pairs.select("name", F.col("_c.i").alias("canon_idx"), F.col("_c.c").alias("canon"),
+                          header_score(F.col("_c.k"), F.col("_key"), F.col("name")).alias("sim"))
+    kept = pin(scored).where(F.col("sim") >= threshold)
+    return attach(src, kept, ["name"], "inner", ready=True).select(
+        *by, "canon_idx", "src_idx", "canon", "name", "sim")
 
 
 def match_columns(scores: DataFrame, by: list[str], n_canonical: int) -> DataFrame:
