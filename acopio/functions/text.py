@@ -17,6 +17,8 @@ _WS = "\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{
 # Runs of white space that are not already one plain blank: only these need rewriting.
 _RUNS = "[" + _WS.replace("\\x20", "\\x1F") + f"][{_WS}]*| [{_WS}]+"
 
+_ASCII_RUNS = "[\\x09-\\x0D\\x1C-\\x1F][\\x09-\\x0D\\x1C-\\x20]*| [\\x09-\\x0D\\x1C-\\x20]+"
+
 
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
@@ -43,7 +45,8 @@ def match_key(c: Column) -> Column:
 def normalize_text(c: Column) -> Column:
     """Upper-case ASCII with single spaces and the punctuation kept; null and empty stay."""
     ascii_only = F.regexp_replace(fold_to_ascii(c), "[^\\x00-\\x7F]+", "")
-    return F.when(c == "", c).otherwise(collapse(F.upper(ascii_only)))
+    single = F.regexp_replace(F.upper(ascii_only), _ASCII_RUNS, " ")
+    return F.when(c == "", c).otherwise(F.trim(single))
 
 
 def clean_header(c: Column) -> Column:
