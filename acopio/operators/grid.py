@@ -53,9 +53,13 @@ def header_score(cells: Column) -> Column:
 
 def detect_header_row(grid: DataFrame, by: list[str] = FILE, rows: int = K.HEADER_ROWS) -> DataFrame:
     """Best-scoring row per file, the first one on a tie: (by..., header_idx, _header_ord)."""
+    return _best_row(head_rows(grid, rows, by), by)
+
+
+def _best_row(head: DataFrame, by: list[str]) -> DataFrame:
     filled = F.exists("cells", lambda v: v.isNotNull())
     score = F.when(filled, header_score(F.col("cells")))
-    scored = head_rows(grid, rows, by).withColumn("_score", F.when(score > -1, score))
+    scored = head.withColumn("_score", F.when(score > -1, score))
     best = F.max_by(F.struct("row_idx", "_ord"), F.struct(F.col("_score"), -F.col("row_idx")))
     first = F.min(F.struct("row_idx", "_ord"))
     picked = F.when(F.count("_score") > 0, best).otherwise(first).alias("b")
@@ -226,9 +230,8 @@ def _numbered(names: Column, v: Column, i: Column) -> Column:
 
 def file_headers(grid: DataFrame, by: list[str] = FILE) -> DataFrame:
     """(by..., names, _header_ord): the cleaned header of each file."""
-    at = detect_header_row(grid, by)
-    head = head_rows(grid, K.HEADER_ROWS, by).join(at, by)
-    row = head.where(F.col("row_idx") == F.col("header_idx"))
+    head = pin(head_rows(grid, K.HEADER_ROWS, by))  # a score of rows per file, read once
+    row = head.join(_best_row(head, by), by).where(F.col("row_idx") == F.col("header_idx"))
     return row.select(*by, "_header_ord", F.col("header_idx"),
                       F.transform(header_names(F.col("cells")), clean_header).alias("names"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,9 +94,13 @@ def _most_like_year(columns: list[str]) -> str | None:
 
 
 def ingest_grid(grid: DataFrame, category: str, canonical: list[str] | None = None,
-                on_multiple: str = "min", default_year: int | None = None) -> Ingested:
-    """Integrate all files of one category."""
-    if grid.select("_path", "_sheet").distinct().groupBy("_path").count().where("count > 1").limit(1).count():
+                on_multiple: str = "min", default_year: int | None = None, sheets: bool | None = None) -> Ingested:
+    """Integrate all files of one category. ``sheets``: whether files can have several sheets
+    (delimited text cannot); None looks."""
+    if sheets is None:
+        per_file = grid.select("_path", "_sheet").distinct().groupBy("_path").count()
+        sheets = not per_file.where("count > 1").isEmpty()
+    if sheets:
         grid = attach(grid, G.detect_data_sheet(grid).select("_path", "_sheet"), G.SHEET, "left_semi")
     headers = pin(G.file_headers(grid))
     canonical = canonical or canonical_columns(category, headers)
@@ -154,7 +159,6 @@ def upsert_by_year(rows: DataFrame, root: str, on_duplicate: str = "replace") ->
 
 
 def stored_years(spark: SparkSession, root: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
     try:
         return spark.read.parquet(root).select("tipo", "anio").distinct()
     except AnalysisException:
@@ -178,6 +182,24 @@ def rewrite_master(df: DataFrame, root: str) -> None:
      .partitionBy("tipo", "anio").parquet(root))
 
 
+def clean_master(spark: SparkSession, root: str, category: str, out: str | None = None,
+                 institutions: list[str] | None = None) -> DataFrame:
+    """Base cleaning of one category's master, in place or to another folder."""
+    keep = K.CANONICAL_HEADERS.get(category)
+    df = read_master(spark, root, category)
+    data = [c for c in (keep or df.columns) if c in df.columns and c not in ("tipo", "anio")]
+    tech = [c for c in df.columns if c.startswith("_")]
+    df = df.select(F.col("tipo").alias("_tipo"), F.col("anio").alias("_anio"), *tech, *[f"`{c}`" for c in data])
+    clean = C.base_clean(df, institutions=institutions).withColumnsRenamed({"_tipo": "tipo", "_anio": "anio"})
+    if out is None:
+        # masters stay text, so that every category keeps one schema across years
+        texts = [F.col(f"`{c}`").cast("string").alias(c) if c in data else F.col(f"`{c}`") for c in clean.columns]
+        rewrite_master(clean.select(*texts), root)
+        return read_master(spark, root, category)
+    upsert_by_year(clean, out)
+    return read_master(spark, out, category)
+
+
 def ingest_listing(spark: SparkSession, grids: DataFrame, **options) -> dict[str, Ingested]:
     """Integrate a grid that mixes categories, by the folder its files lie in."""
     tagged = grids.withColumn("_tipo", folder_category(F.col("_path")))

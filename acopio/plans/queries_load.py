@@ -5,8 +5,6 @@ Files are first written from the tables into the shared work folder, then read b
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -46,15 +44,15 @@ def csv_roundtrip(spark, sf_dir):
     return S.scan_master(spark, path)
 
 
-@query("scan_encoding_fallback", "SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'utf8' ELSE 'latin1' END AS grupo, CAST(c_custkey AS VARCHAR) AS codigo, "
+@query("scan_encoding_fallback", "SELECT CASE WHEN c_nationkey < 12 THEN 'utf8' ELSE 'latin1' END AS grupo, CAST(c_custkey AS VARCHAR) AS codigo, "
        "'Institución ' || c_name AS nombre FROM customer")
 def scan_encoding_fallback(spark, sf_dir):
     """Files in two encodings read in one go; the encoding is settled per file."""
     root = new_path(spark, "enc")
     df = B.tables(spark, sf_dir, ["customer"])["customer"].select(
         F.col("c_nationkey"), F.col("c_custkey").cast("string").alias("codigo"), F.concat(F.lit("Institución "), "c_name").alias("nombre"))
-    for group, rest, enc in (("utf8", 0, "UTF-8"), ("latin1", 1, "ISO-8859-1")):
-        (df.where(F.col("c_nationkey") % 2 == rest).drop("c_nationkey").write.option("encoding", enc).csv(f"{root}/{group}"))
+    for group, mine, enc in (("utf8", "c_nationkey < 12", "UTF-8"), ("latin1", "c_nationkey >= 12", "ISO-8859-1")):
+        (df.where(mine).drop("c_nationkey").write.option("encoding", enc).csv(f"{root}/{group}"))
     grid = S.raw_grid(spark, [f"{root}/utf8", f"{root}/latin1"])
     return grid.select(F.regexp_extract("_path", "/(utf8|latin1)/", 1).alias("grupo"), F.get("cells", F.lit(0)).alias("codigo"),
                        F.get("cells", F.lit(1)).alias("nombre"))
@@ -210,18 +208,18 @@ def stream_new_files(spark, sf_dir):
 @query("stream_counts", "SELECT event_type, CAST(ts AS DATE) AS dia, count(*) AS registros FROM events GROUP BY 1, 2")
 def stream_counts(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir)
-    name = f"conteos_{uuid.uuid4().hex}"
-    R.stream_counts(R.file_stream(spark, path, schema), [F.col("event_type"), F.to_date("ts").alias("dia")], new_path(spark, "ck"), name)
-    return spark.table(name)
+    table = new_path(spark, "counts")
+    R.stream_counts(R.file_stream(spark, path, schema), [F.col("event_type"), F.to_date("ts").alias("dia")], new_path(spark, "ck"), table)
+    return spark.read.parquet(table)
 
 
 @query("stream_upsert", "SELECT 'eventos' AS tipo, month(ts) AS anio, count(*) AS n FROM events GROUP BY 2")
 def stream_upsert(spark, sf_dir):
     """Arriving files replace their partition: a first delivery, then a corrected one of everything."""
-    events = B.tables(spark, sf_dir, ["events"])["events"].select("event_id", "ts")
+    events = B.tables(spark, sf_dir, ["events"])["events"].select("event_id", "ts", "event_type")
     path, root, ledger = new_path(spark, "in"), new_path(spark, "upsert"), new_path(spark, "ledger")
     sink = R.upsert_sink(root, F.lit("eventos"), F.month("ts"))
-    for part in (events.where("event_id % 2 = 0"), events):
+    for part in (events.where("event_type = 'view'"), events):
         part.coalesce(1).write.mode("append").parquet(path)
         R.run_available(R.file_stream(spark, path, events.schema), sink, ledger)
     out = I.read_master(spark, root)

@@ -261,11 +261,11 @@ def dim_cine_detail(spark, sf_dir):
 # --- lookups and references ----------------------------------------------------------------------------------
 
 @query("fk_text_lookup", f"WITH dim AS MATERIALIZED ({_text_dim('area_conocimiento')}) SELECT _ord AS row_id, institucion_codigo, programa_codigo, area_conocimiento, l.id AS area_id "
-       f"FROM ({_STUDENTS}) t LEFT JOIN {_look('dim')} l ON l.k = {O.key('area_conocimiento')} WHERE _marco = 'admitidos'")
+       f"FROM ({_STUDENTS}) t LEFT JOIN {_look('dim')} l ON l.k = {O.key('area_conocimiento')}")
 def fk_text_lookup(spark, sf_dir):
     students = _students(spark, sf_dir)
     dim = S.dim_text(list(students.values()), "area_conocimiento")
-    df = students["admitidos"].select(F.col("_ord").alias("row_id"), "institucion_codigo", "programa_codigo", "area_conocimiento")
+    df = B.derive(spark, sf_dir, B.STUDENTS).select(F.col("_ord").alias("row_id"), "institucion_codigo", "programa_codigo", "area_conocimiento")
     return J.fk_text(df, "area_conocimiento", dim, "area_id")
 
 

@@ -134,19 +134,24 @@ def grid_of(df: DataFrame, path: Column, order: Column, columns: list[Column],
 # --- masters ------------------------------------------------------------------------------------------
 
 def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",",
-                encoding: str = "UTF-8") -> DataFrame:
+                encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
     """Delimited master as all-text columns; missing cells are empty, not null.
 
-    The header names the columns when ``columns`` is not given; only its first line is read for it.
+    The header names the columns when ``columns`` is not given. Files whose records span lines
+    cannot be split; ``multiline=None`` finds out in one splittable scan of the text, so that
+    masters without such records are read in parallel.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    if multiline is None:
+        multiline = bool(profile_files(spark, paths, sep).agg(F.max("multiline").alias("m")).first()["m"])
     reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("multiLine", multiline)
               .option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False))
     if columns is None:
-        columns = [c.lstrip("﻿") for c in reader.option("inferSchema", False).csv(path).columns]
+        columns = [c.lstrip("\ufeff") for c in reader.option("inferSchema", False).csv(paths).columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = reader.schema(schema).csv(path)
+    df = reader.schema(schema).csv(paths)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 

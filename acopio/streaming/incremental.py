@@ -49,8 +49,12 @@ def upsert_sink(root: str, tipo: Column, anio: Column) -> Callable[[DataFrame, i
 
 
 def stream_counts(stream: DataFrame, keys: list[Column], checkpoint: str, table: str) -> None:
-    """Running record counts per key in a memory table (complete mode; keys are few)."""
+    """Running record counts per key; each batch replaces the count table at ``table``."""
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("registros"))
-    query = (counts.writeStream.format("memory").queryName(table).outputMode("complete")
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    query = (counts.writeStream.foreachBatch(sink).outputMode("complete")
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
