@@ -52,7 +52,7 @@ def number_rows(df: DataFrame, order: list[str], id_col: str = "id", start: int
     if fits_broadcast(df, rows=small_rows):
         w = Window.orderBy(*order)
         return df.withColumn(id_col, (F.row_number().over(w) + (start - 1)).cast("bigint"))
-    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
     cuts = F.array(*[F.lit(b).cast("bigint") for b in sorted(set(bounds))])
     tagged = pin(df.withColumn("_range", F.size(F.filter(cuts, lambda b: b < F.col(order[0])))))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.fold import match_key_text
 from ..functions.similarity import key_similarity
 from ..functions.text import clean_header, match_key, trimmed
 from ..functions.years import extract_years, parse_year
@@ -152,6 +153,33 @@ def best_year_column(headers: DataFrame, by: list[str] = FILE) -> DataFrame:
                                                F.col("b.sim").alias("sim"))
 
 
+def similar_year_column(spark, columns: list[str]) -> str | None:
+    """The one of a few column names most similar to the year key, if similar enough."""
+    names = spark.createDataFrame([(0, i, c) for i, c in enumerate(columns)], "f int, pos int, name string")
+    best = best_year_column(names, ["f"]).first()
+    return best["name"] if best else None
+
+
+def master_year_column(df: DataFrame, order: str = "_ord", sample: int = 200) -> str | None:
+    """Year column of a table: by exact name, by similar name, else the first column whose first
+    ``sample`` values mention the year the table's text speaks of most."""
+    columns = [c for c in df.columns if not c.startswith("_")]
+    exact = next((c for c in columns if match_key_text(c) == K.YEAR_KEY), None)
+    found = exact or similar_year_column(df.sparkSession, columns)
+    if found:
+        return found
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    grid = df.select(F.lit("t").alias("_path"), F.col(order).alias("_ord"), F.array(*texts).alias("cells"))
+    heads = df.sparkSession.createDataFrame([("t", columns)], "_path string, names array<string>")
+    top = year_scan(grid, header=heads).where("orden = 1").first()
+    if top is None:
+        return None
+    mention = F.lit(str(top["anio"]))
+    head = df.orderBy(order).limit(sample)
+    seen = head.agg(*[F.max(F.contains(t, mention)).alias(str(i)) for i, t in enumerate(texts)]).first()
+    return next((c for i, c in enumerate(columns) if seen[i]), None)
+
+
 def valid_years(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Distinct valid years of a column (per file when ``by`` is given)."""
     by = by or []

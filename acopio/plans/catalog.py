@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import to_int_or_zero
+
 KEYS = ["tipo", "anio"]
 
 
@@ -30,6 +32,14 @@ def replace_categories(metadata: DataFrame, fresh: DataFrame) -> DataFrame:
     return metadata.join(touched, "tipo", "left_anti").unionByName(fresh)
 
 
+def reload_aligned(df: DataFrame, canonical: list[str], year: str) -> DataFrame:
+    """A stored master under its canonical columns: missing ones empty, rows without a year left out,
+    the year of each row in ``_anio``."""
+    rows = df.withColumn("_anio", to_int_or_zero(F.col(f"`{year}`"))).where("_anio <> 0")
+    tech = [c for c in rows.columns if c.startswith("_")]
+    return rows.select(*tech, *[F.col(f"`{c}`") if c in df.columns else F.lit("").alias(c) for c in canonical])
+
+
 def dataset_preview(master: DataFrame, where: Column, order: list[str], n: int) -> DataFrame:
     """First n rows of one dataset, each with the total row count of the dataset."""
     rows = master.where(where)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.fold import match_key_text
 from ..operators import cleaning as C
 from ..operators import grid as G
 from ..operators.joins import attach
@@ -58,7 +57,7 @@ def align_rows(grid: DataFrame, plan: DataFrame, canonical: list[str]) -> DataFr
 def chosen_year(aligned: DataFrame, grid: DataFrame, canonical: list[str], on_multiple: str = "min",
                 default_year: int | None = None) -> DataFrame:
     """(_path, anio): year column, else text of the table, else text or name of the file, else default."""
-    target = C.year_column(canonical) or _most_like_year(canonical)
+    target = C.year_column(canonical) or G.similar_year_column(grid.sparkSession, canonical)
     files = aligned.select("_path").distinct()
     if target is not None:
         years = pin(aligned.select("_path", G.parse_year(F.col(f"`{target}`")).alias("y"))
@@ -88,11 +87,6 @@ def chosen_year(aligned: DataFrame, grid: DataFrame, canonical: list[str], on_mu
     return out.select("_path", F.when(F.col("_stated"), F.col("_col")).otherwise(found).alias("anio"))
 
 
-def _most_like_year(columns: list[str]) -> str | None:
-    """A header whose key shares the year word, for schemas without an exact year column."""
-    return next((c for c in columns if K.YEAR_KEY in match_key_text(c).split()), None)
-
-
 def ingest_grid(grid: DataFrame, category: str, canonical: list[str] | None = None,
                 on_multiple: str = "min", default_year: int | None = None, sheets: bool | None = None) -> Ingested:
     """Integrate all files of one category. ``sheets``: whether files can have several sheets

@@ -314,6 +314,12 @@ def dataset_preview(spark, sf_dir):
     return catalog.dataset_preview(df, F.col("anio") == "1998", ["row_id"], K.PREVIEW_ROWS)
 
 
+@query("reload_aligned", f"SELECT _ord AS row_id, {O.toint('anio')} AS anio, codigo, '' AS caracter, sector FROM ({_DIRTY}) t WHERE {O.toint('anio')} <> 0")
+def reload_aligned(spark, sf_dir):
+    df = catalog.reload_aligned(_dirty(spark, sf_dir), ["codigo", "caracter", "sector"], "anio")
+    return df.select(F.col("_ord").alias("row_id"), F.col("_anio").alias("anio"), "codigo", "caracter", "sector")
+
+
 @query("n_largest", "SELECT c_custkey AS row_id, c_name, CAST(c_acctbal * 100 AS BIGINT) AS centavos FROM customer ORDER BY centavos DESC, row_id LIMIT 10")
 def n_largest(spark, sf_dir):
     df = B.tables(spark, sf_dir, ["customer"])["customer"].select(

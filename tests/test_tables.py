@@ -152,3 +152,35 @@ def test_kmeans_cost_falls_with_k(spark):
     assert rows[0].inercia >= rows[1].inercia >= rows[2].inercia
     sizes = S.cluster_sizes(S.kmeans_assign(df, "id", ["a", "b"], inits=2))
     assert sizes.agg(F.sum("n")).first()[0] == 90
+
+
+def test_year_column_by_name_then_text(spark):
+    df = spark.createDataFrame([(0, "a", "Corte 2018"), (1, "b", "Corte 2018")], "_ord bigint, x string, y string")
+    assert G.master_year_column(df) == "y"
+    assert G.master_year_column(df.withColumnRenamed("x", "Anio")) == "Anio"
+    assert G.master_year_column(df.withColumnRenamed("x", "AÑO")) == "AÑO"
+    assert G.master_year_column(df.drop("y")) is None
+
+
+def test_features_file(spark, tmp_path):
+    from acopio.sources.files import read_features
+    f = tmp_path / "f.csv"
+    f.write_text(";".join(["Nombre_IES", "Departamento", *K.FEATURES]) + "\nAlfa;Antioquia;1;2;3;4;5;0.5;0.6;;0.1\n", "utf-8")
+    row = S.feature_table(read_features(spark, str(f)), "Nombre_IES").first()
+    assert row.Total_Admitidos == 4.0 and row.Tasa_Absorcion == 0.0
+
+
+def test_footer_inside_base_clean(spark):
+    rows = [("f", 0, "2020", "Institución Á", "Hombre"), ("f", 1, "", "Fuente: x", ""), ("f", 2, "2021.0", "N/A", "F"), ("f", 3, "", "Nota y", "")]
+    df = spark.createDataFrame(rows, "_path string, _ord bigint, `Año` string, `Institución` string, `Sexo` string")
+    out = [tuple(r)[2:] for r in C.base_clean(df).orderBy("_ord").collect()]
+    assert out == [(2020, "INSTITUCION A", "Masculino"), (0, "FUENTE: X", None), (2021, None, "Femenino")]
+
+
+def test_hot_file_and_hot_key_keep_every_row(spark):
+    """One file and one key hold most rows; nothing is lost or doubled."""
+    grid = spark.range(5000).select(F.when(F.col("id") < 4500, "big").otherwise(F.concat(F.lit("f"), (F.col("id") % 7).cast("string"))).alias("_path"),
+                                    F.col("id").alias("_ord"), F.lit("2020").alias("anio"), F.col("id").cast("string").alias("v"))
+    assert C.trim_footer(grid, "_ord", "_path", ["anio", "v"], "anio").count() == 5000
+    heads = G.head_rows(grid.withColumn("cells", F.array("v")), 3)
+    assert heads.count() == 3 * 8
