@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
-from .joins import fits_broadcast
-
-NUMBERING_ROWS = 100_000
+from ..session import pin, stage
 
 
 def _c(name: str) -> Column:
@@ -40,29 +37,23 @@ def distinct_first(df: DataFrame, column: str, order: str, collation: str = "UNI
             .select(*by, F.col("_best.v").alias(column), F.col("_best._ord").alias("_ord")))
 
 
-def number_rows(df: DataFrame, order: list[str], id_col: str = "id", start: int = 1,
-                small_rows: int = NUMBERING_ROWS) -> DataFrame:
-    """Dense ids in the given order (first column BIGINT).
+def number_rows(df: DataFrame, order: list[str], id_col: str = "id", start: int = 1) -> DataFrame:
+    """Dense ids in the given order.
 
-    A small input is numbered in one window. A large one is cut into ranges of the first order
-    column, numbered inside each range and shifted by the rows of the ranges before it, so no
-    task ever sees more than one range.
+    Rows are dealt into ranges of the whole order, so rows that share its first column are split
+    too, sorted inside each range and stored once; a row's id is its place in its range plus the
+    rows of the ranges before it. No task holds more than one range.
     """
-    df = pin(df)
-    if fits_broadcast(df, rows=small_rows):
-        w = Window.orderBy(*order)
-        return df.withColumn(id_col, (F.row_number().over(w) + (start - 1)).cast("bigint"))
-    parts = min(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
-    cuts = F.array(*[F.lit(b).cast("bigint") for b in sorted(set(bounds))])
-    tagged = pin(df.withColumn("_range", F.size(F.filter(cuts, lambda b: b < F.col(order[0])))))
-    sizes = tagged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range: at most `parts` rows
-    shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    w = Window.partitionBy("_range").orderBy(*order)
-    numbered = tagged.join(F.broadcast(shifts), "_range").withColumn(
-        id_col, (F.col("_shift") + F.row_number().over(w) + (start - 1)).cast("bigint"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ranged.withColumns({
+        "_part": F.spark_partition_id(),
+        "_at": F.expr("monotonically_increasing_id() & 8589934591")}), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    numbered = placed.join(F.broadcast(shifts), "_part").withColumn(
+        id_col, (F.col("_shift") + F.col("_at") + start).cast("bigint"))
     return numbered.select(*df.columns, id_col)
 
 

@@ -347,7 +347,7 @@ def surrogate_keys(spark, sf_dir):
 @query("surrogate_keys_ranged", "SELECT _ord AS row_id, row_number() OVER (ORDER BY _ord, l_partkey, l_suppkey, l_quantity) AS id, l_partkey, l_suppkey FROM "
        "(SELECT l_orderkey * 8 + l_linenumber AS _ord, l_partkey, l_suppkey, l_quantity FROM lineitem) t")
 def surrogate_keys_ranged(spark, sf_dir):
-    """The form for inputs too large for one window: numbered inside ranges, then shifted."""
+    """Ids of a large table: numbered inside ranges, then shifted."""
     df = B.tables(spark, sf_dir, ["lineitem"])["lineitem"].select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), "l_partkey", "l_suppkey", "l_quantity")
-    return A.number_rows(df, ["row_id", "l_partkey", "l_suppkey", "l_quantity"], small_rows=0).drop("l_quantity")
+    return A.number_rows(df, ["row_id", "l_partkey", "l_suppkey", "l_quantity"]).drop("l_quantity")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.similarity import sex_of_key
 from ..functions.text import clean_value, match_key, numeric_code, to_int_or_zero
-from ..operators.aggregates import NUMBERING_ROWS, distinct_first, first_non_empty, number_rows
-from ..operators.joins import attach, fits_broadcast, fk_hierarchy, fk_nullify, fk_semi, fk_text, outer_merge
+from ..operators.aggregates import distinct_first, first_non_empty, number_rows
+from ..operators.joins import attach, fk_hierarchy, fk_nullify, fk_semi, fk_text, outer_merge
 from ..session import new_path, pin
 
 ORDER = "_ord"
@@ -112,12 +112,11 @@ def text_dims(columns: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
             cells = df.select(order.alias(ORDER), *[clean_value(F.col(c)).alias(c) for c in mine])
             parts.append(cells.unpivot([ORDER], mine, "columna", "nombre"))
     names = pin(distinct_first(_union(parts), "nombre", ORDER, by=["columna"]))
-    if fits_broadcast(names, rows=NUMBERING_ROWS):
-        w = Window.partitionBy("columna").orderBy(ORDER, "nombre")
-        numbered = pin(names.withColumn("id", F.row_number().over(w).cast("bigint")))
-        return {c: numbered.where(F.col("columna") == c).select("id", "nombre") for c in columns}
-    return {c: number_rows(names.where(F.col("columna") == c).drop("columna"), [ORDER, "nombre"])
-            .select("id", "nombre") for c in columns}
+    numbered = pin(number_rows(names, ["columna", ORDER, "nombre"]))
+    # one row per dimension
+    first = F.broadcast(numbered.groupBy("columna").agg(F.min("id").alias("_first")))
+    own = pin(numbered.join(first, "columna").select("columna", (F.col("id") - F.col("_first") + 1).alias("id"), "nombre"))
+    return {c: own.where(F.col("columna") == c).select("id", "nombre") for c in columns}
 
 
 def dim_text(frames: list[DataFrame], column: str) -> DataFrame:

@@ -70,10 +70,17 @@ def test_collation_dedupe(spark):
 
 def test_numbering_in_ranges_is_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"))
-    ranged = A.number_rows(df, ["o"], small_rows=0).orderBy("o").collect()
+    ranged = A.number_rows(df, ["o"]).orderBy("o").collect()
     assert [r.id for r in ranged] == list(range(1, 1001))
 
 
+def test_numbering_splits_a_tied_first_column(spark):
+    df = spark.range(4000).select(F.lit(1 << 62).alias("o"), (F.col("id") * 7 % 4000).alias("p"))
+    got = A.number_rows(df, ["o", "p"]).orderBy("p").collect()
+    assert [r.id for r in got] == list(range(1, 4001))
+    assert A.number_rows(df.limit(0), ["o", "p"]).collect() == []
+
+
 def test_quantiles_exact(spark):
     df = spark.range(1, 1001).select((F.col("id") * F.col("id") % 977).cast("double").alias("x"))
     want = df.toPandas()["x"].quantile([0.1, 0.25, 0.5, 0.9]).round(9).tolist()
