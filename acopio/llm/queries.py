@@ -1,4 +1,4 @@
 """Importing this module registers the query of every operator here."""
 
-from . import quality, url_filters  # noqa: F401
+from . import bpe, quality, token_counts, url_filters  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
