@@ -1,4 +1,4 @@
 """Importing this module registers the query of every operator here."""
 
-from . import bpe, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, url_filters  # noqa: F401
+from . import bpe, exact_search, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, url_filters  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
