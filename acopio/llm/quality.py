@@ -93,15 +93,18 @@ def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     return (n > 0) & ((marked > rules.max_marked * n) | (links > rules.max_separators * n) | notice | drone)
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text; other columns stay out) with the base figures, ``base_failed``,
-    ``lost_words``, ``kept`` and ``clean_text`` (the text without failing lines).
+def judge_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``docs`` with the base figures, ``base_failed``, ``lost_words``, ``kept`` and ``clean_text`` (the text
+    without failing lines); a column of one of these names is replaced.
 
     A null or empty text has no words and fails the base rules. Rows that repeat are judged each; a
     null id is kept. A text over sixteen million words is judged whole like any other.
     """
-    rows = docs.select("doc_id", "text").withColumn("_words", words(F.col("text")))
-    rows = rows.select("doc_id", "text", *[c.alias(name) for name, c in base_counts(F.col("text")).items()])
+    counts = base_counts(F.col("text"))
+    made = [*counts, "base_failed", "lost_words", "kept", "clean_text"]
+    names = [c for c in docs.columns if c not in made]
+    rows = docs.select(*names).withColumn("_words", words(F.col("text")))
+    rows = rows.select(*names, *[c.alias(name) for name, c in counts.items()])
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"),
@@ -111,7 +114,12 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "_lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0)))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost * F.col("n_words"))
     left = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines", "text")
+    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines")
+
+
+def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """``judge_rows`` of (doc_id, text) alone, whatever else ``docs`` holds, without the text."""
+    return judge_rows(docs.select("doc_id", "text"), rules).drop("text")
 
 
 _SQL = r"""

@@ -1,4 +1,9 @@
-"""Importing this module registers the query of every operator here."""
+"""Importing this module registers the query of every operator here, and the pipeline's."""
 
-from . import bpe, exact_search, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts, url_filters  # noqa: F401
-from .registry import ORACLE, QUERIES  # noqa: F401
+import corpus_pipeline
+
+from . import (bpe, exact_search, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts,  # noqa: F401
+               url_filters)
+from .registry import ORACLE, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
