@@ -30,7 +30,8 @@ class Splitter:
     """Pre-tokens of a text by the tokenizer file's own rules.
 
     A text is cut into words with the space before them and what is left of white-space runs; each
-    distinct cut is split by the library once. A text with other than ASCII white space is split whole.
+    distinct cut is split once, by the library unless it is a plain word with or without a stop behind
+    it. A text with other than ASCII white space is split whole.
     """
 
     def __init__(self, path: str):
@@ -41,40 +42,33 @@ class Splitter:
         self.special = [x.content for x in t.get_added_tokens_decoder().values() if x.special]
         self._mark = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._cut = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
-        self._odd = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-        self._kept: dict[str, list[str]] = {}
+        self._odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
+        self._plain = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+)([.,;:!?]+)?")
 
-    def _split(self, unit: str) -> list[str]:
-        if self._mark and unit in self.special:
-            return [unit]
-        return [p for p, _ in self.pre.pre_tokenize_str(unit)]
-
-    def frequencies(self, text: str) -> Counter:
+    def cuts(self, text: str) -> list[str]:
+        """Parts that are split apart from each other: special strings and the cuts between them."""
         marked = self._mark.split(text) if self._mark and any(s in text for s in self.special) else [text]
-        out: Counter = Counter()
+        out: list[str] = []
         for part in marked:
-            if not part:
-                continue
-            if self._mark and part in self.special:
-                out[part] += 1
-                continue
-            if not part.isprintable() and self._odd.search(part):
-                out.update(self._split(part))
-                continue
-            for unit, n in Counter(self._cut.findall(part)).items():
-                pre = self._kept.get(unit)
-                if pre is None:
-                    pre = self._split(unit)
-                    if len(unit) <= 64:
-                        if len(self._kept) >= FLUSH:
-                            self._kept.clear()
-                        self._kept[unit] = pre
-                for p in pre:
-                    out[p] += n
+            if part in self.special or not part.isprintable() and self._odd.search(part):
+                out.append(part)
+            else:
+                out += self._cut.findall(part)
         return out
 
+    def split(self, cut: str) -> list[str]:
+        plain = self._plain.fullmatch(cut)
+        if plain:
+            return [cut] if plain[2] is None else [plain[1], plain[2]]
+        if cut in self.special:
+            return [cut]
+        return [cut[a:b] for _, (a, b) in self.pre.pre_tokenize_str(cut)]
+
     def pieces(self, pretoken: str) -> int:
-        return 1 if pretoken in self.special else len(self.model.tokenize(pretoken))
+        """The model reads a pre-token's bytes as the library shows them."""
+        if pretoken in self.special:
+            return 1
+        return len(self.model.tokenize("".join(p for p, _ in self.pre.pre_tokenize_str(pretoken))))
 
 
 @lru_cache(2)
@@ -82,32 +76,37 @@ def splitter(path: str) -> Splitter:
     return Splitter(path)
 
 
-def counted(seen: Counter) -> pa.RecordBatch:
+def counted(cuts: Counter, s: Splitter) -> pa.RecordBatch:
+    seen: Counter = Counter()
+    for cut, n in cuts.items():
+        for p in s.split(cut):
+            seen[p] += n
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())],
                                       ["pretoken", "n"])
 
 
 def lexicon(docs: DataFrame, path: str) -> DataFrame:
-    """(pretoken, n_docs, pieces) of every distinct pre-token of all texts, each tokenized once."""
+    """(pretoken, spread, pieces) of every distinct pre-token of all texts, each tokenized once; ``spread`` counts
+    the documents of each distinct cut it stands in."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = splitter(path), Counter()
         for batch in batches:
             for x in batch.column(0):
-                seen.update(s.frequencies(x.as_py() or "").keys())
+                seen.update(set(s.cuts(x.as_py() or "")))
                 if len(seen) >= FLUSH:
-                    yield counted(seen)
+                    yield counted(seen, s)
                     seen = Counter()
-        yield counted(seen)
+        yield counted(seen, s)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = splitter(path)
         for batch in batches:
             n = pa.array([s.pieces(p) for p in batch.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, n], ["pretoken", "n_docs", "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], ["pretoken", "spread", "pieces"])
 
     seen = docs.select("text").mapInArrow(gather, "pretoken string, n bigint")
-    distinct = seen.groupBy("pretoken").agg(F.sum("n").alias("n_docs"))
-    return stage(distinct.mapInArrow(count, "pretoken string, n_docs bigint, pieces int"), "lexicon")
+    distinct = seen.groupBy("pretoken").agg(F.sum("n").alias("spread"))
+    return stage(distinct.mapInArrow(count, "pretoken string, spread bigint, pieces int"), "lexicon")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -116,23 +115,34 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     A null or empty text has no bytes and no tokens; rows that repeat and null ids are counted each.
     """
     known = lexicon(docs, path)
-    common = known.where(F.octet_length("pretoken") <= HEAD_BYTES).orderBy(F.desc("n_docs"), "pretoken").limit(HEAD)
+    common = known.where(F.octet_length("pretoken") <= HEAD_BYTES).orderBy(F.desc("spread"), "pretoken").limit(HEAD)
     head = docs.sparkSession.sparkContext.broadcast({r.pretoken: r.pieces for r in common.select("pretoken", "pieces").toLocalIterator()})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, of = splitter(path), head.value
+        kept: dict[str, tuple[int, list[str]]] = {}
+
+        def priced(cut: str) -> tuple[int, list[str]]:
+            got = kept.get(cut)
+            if got is None:
+                parts = s.split(cut)
+                got = sum(of.get(p, 0) for p in parts), [p for p in parts if p not in of]
+                if len(cut) <= 64:
+                    if len(kept) >= FLUSH // 2:
+                        kept.clear()
+                    kept[cut] = got
+            return got
+
         for batch in batches:
             size, sums, names, freqs, ends = [], [], [], [], [0]
             for x in batch.column("text"):
-                text = x.as_py() or ""
-                total = 0
-                for p, n in s.frequencies(text).items():
-                    k = of.get(p)
-                    if k is None:
+                text, total = x.as_py() or "", 0
+                for cut, n in Counter(s.cuts(text)).items():
+                    k, rare = priced(cut)
+                    total += k * n
+                    for p in rare:
                         names.append(p)
                         freqs.append(n)
-                    else:
-                        total += k * n
                 size.append(len(text.encode("utf-8", "surrogatepass")))
                 sums.append(total)
                 ends.append(len(names))
