@@ -136,7 +136,7 @@ _BUCKETS = "shard int, size bigint, bucket bigint, slots array<int>"
 def _rows(shard: int, c: Cuckoo) -> pd.DataFrame:
     full = [(b, s) for b, s in sorted(c.buckets.items()) if s]
     return pd.DataFrame({"shard": [shard] * len(full), "size": [c.size] * len(full), "bucket": [b for b, _ in full],
-                         "slots": [s for _, s in full]})
+                         "slots": pd.Series([s for _, s in full], dtype=object)})
 
 
 def _placed(keys: DataFrame, shards: int) -> DataFrame:
