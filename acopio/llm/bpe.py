@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .registry import query
 
-KEPT_WORDS = 200_000    # words a task keeps with their ids
-LONG_WORD = 64          # longer words are not kept
+KEPT_WORDS = 100_000    # words a task keeps with their ids
+KEPT_RUNS = 200_000     # pre-tokens of two generations each that a task keeps with their ids
+LONG_WORD = 64          # longer words and pre-tokens are not kept
 
 
 class Merges:
@@ -53,24 +54,30 @@ class Merges:
 
     def _merge(self, parts: list[str]) -> list[str]:
         """The lowest ranked pair first, from the left, until no pair is left."""
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, 1 << 60))
-            if best not in rank:
+        rank, none = self.rank.get, 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
         return parts
 
-    def tokens(self, run: str) -> Iterator[str]:
+    def tokens(self, run: str) -> Iterable[str]:
         """Tokens of one pre-token, emitted once nothing that follows can change them."""
+        if len(run) <= self.lookahead:
+            parts = list(run)
+            parts[-1] += self.suffix
+            return self._merge(parts)
+        return self._stream(run)
+
+    def _stream(self, run: str) -> Iterator[str]:
         at, window = 0, self.lookahead + 4 * self.longest
         while self.proper and len(run) - at > window:
             done, limit = 0, window - self.lookahead
@@ -103,6 +110,35 @@ class Codec:
         self.pieces = {i: p for p, i in self.vocab.items()} | {i: p for p, i in self.special.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self._kept: dict[bytes, tuple[int, ...]] = {}
+        self._runs: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
+        self._shown = {b: c for c, b in byte_of_char().items()}
+        # words whose lower case is their normal form and whose pre-tokens are the word and the stop behind it;
+        # left to the library where the file has other rules
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self._plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0148\u014a-\u017f]+)([.,;:!?*%&$#|]*)") if kinds == [
+            "NFC", "Replace", "Lowercase"] and self.merges.suffix else None
+
+    def _of_run(self, run: str) -> tuple[int, ...]:
+        ids = self._runs.get(run)
+        if ids is None:
+            ids = self._old.get(run)
+            if ids is None:
+                vocab = self.vocab
+                ids = tuple([vocab[t] for t in self.merges.tokens(run)])
+            if len(run) <= LONG_WORD:
+                if len(self._runs) >= KEPT_RUNS:
+                    self._old, self._runs = self._runs, {}
+                self._runs[run] = ids
+        return ids
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        plain = self._plain.fullmatch(word) if self._plain else None
+        if not plain:
+            return tuple(self._ids(word))
+        shown, letters = self._shown, plain[1].lower()
+        ids = self._of_run(letters if letters.isascii() else "".join([shown[b] for b in letters.encode()]))
+        return ids + self._of_run(plain[2]) if plain[2] else ids
 
     def _ids(self, segment: str) -> Iterator[int]:
         for part in self._special.split(segment):
@@ -120,7 +156,7 @@ class Codec:
         for word in text.encode("utf-8", "surrogatepass").split():
             ids = kept.get(word)
             if ids is None:
-                ids = tuple(self._ids(word.decode("utf-8", "replace")))
+                ids = self._word(word.decode("utf-8", "replace"))
                 if len(word) <= LONG_WORD:
                     if len(kept) >= KEPT_WORDS:
                         kept.clear()
@@ -130,11 +166,11 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text, an id at a time; an id outside the vocabulary says nothing."""
         if not self.byte_level:
-            first = True
+            gap, pieces = "", self.pieces
             for i in ids:
-                if i in self.pieces:
-                    yield self.pieces[i] if first else " " + self.pieces[i]
-                    first = False
+                if i in pieces:
+                    yield gap + pieces[i]
+                    gap = " "
             return
         state, of = codecs.getincrementaldecoder("utf-8")("replace"), byte_of_char()
         for i in ids:
@@ -177,7 +213,10 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         c = codec(path)
-        return pa.array(["".join(c.decode(x.as_py() or ())) for x in lists], pa.string())
+        flat, ends = lists.flatten().to_pylist(), [0]
+        for n in lists.value_lengths():
+            ends.append(ends[-1] + (n.as_py() or 0))
+        return pa.array(["".join(c.decode(flat[a:b])) for a, b in zip(ends, ends[1:])], pa.string())
     return texts(ids)
 
 
