@@ -12,9 +12,11 @@ from __future__ import annotations
 import codecs
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .registry import query
 
-KEPT_WORDS = 100_000    # words a task keeps with their ids
-KEPT_RUNS = 200_000     # pre-tokens of two generations each that a task keeps with their ids
+KEPT_WORDS = 60_000    # words a task keeps with their ids
+KEPT_RUNS = 80_000     # pre-tokens of two generations each that a task keeps with their ids
 LONG_WORD = 64          # longer words and pre-tokens are not kept
 
 
@@ -199,12 +201,12 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        flat, ends = [], [0]
+        flat, ends = array("i"), [0]
         for x in texts:
             for word in c.encode(x.as_py() or ""):
                 flat.extend(word)
             ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
     return ids(text)
 
 
@@ -213,10 +215,10 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         c = codec(path)
-        flat, ends = lists.flatten().to_pylist(), [0]
+        flat, ends = lists.flatten().to_numpy(), [0]
         for n in lists.value_lengths():
             ends.append(ends[-1] + (n.as_py() or 0))
-        return pa.array(["".join(c.decode(flat[a:b])) for a, b in zip(ends, ends[1:])], pa.string())
+        return pa.array(["".join(c.decode(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.string())
     return texts(ids)
 
 
