@@ -169,33 +169,34 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return flags
 
 
-_LINES = "array<struct<role:int,line:string,hash:bigint>>"
+_LINES = "struct<lines:array<struct<role:int,line:string>>,hashes:array<bigint>>"
 
 
 def lines_of(page: Column) -> Column:
+    """struct(lines, hashes) of a page's blocks."""
     @F.arrow_udf(_LINES)
     def lines(pages: pa.Array) -> pa.Array:
-        out = [[{"role": r, "line": t, "hash": xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)}
-                for r, t in blocks(x.as_py() or "")] for x in pages]
-        return pa.array(out, pa.list_(pa.struct([("role", pa.int32()), ("line", pa.string()), ("hash", pa.int64())])))
+        found = [blocks(x.as_py() or "") for x in pages]
+        rows = pa.array([[{"role": r, "line": t} for r, t in page] for page in found],
+                        pa.list_(pa.struct([("role", pa.int32()), ("line", pa.string())])))
+        hashes = pa.array([[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in page] for page in found],
+                          pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([rows, hashes], ["lines", "hashes"])
     return lines(page)
 
 
-def difference(lines: Column, other: Column) -> Column:
-    """The page's text: its article if it marks one, else the unmarked lines that ``other`` (hashes of the
-    neighbour's lines) does not share in order."""
-    @F.arrow_udf("string")
-    def text(pages: pa.Array, others: pa.Array) -> pa.Array:
-        out = []
-        for p, o in zip(pages, others):
-            mine = p.as_py() or []
-            near = np.array(o.as_py() or [], dtype=np.int64)
-            same = shared(np.array([x["hash"] for x in mine], dtype=np.int64), near)
-            marked = any(x["role"] > 0 for x in mine)
-            keep = [x["line"] for x, s in zip(mine, same) if x["role"] > 0 or not marked and x["role"] == 0 and not s]
-            out.append("\n\n".join(keep))
-        return pa.array(out, pa.string())
-    return text(lines, other)
+def difference(hashes: Column, other: Column) -> Column:
+    """Per line of a page, whether ``other`` (a neighbour's hashes, null for none) shares it in order."""
+    @F.arrow_udf("array<boolean>")
+    def same(pages: pa.Array, others: pa.Array) -> pa.Array:
+        out = [shared(np.array(p.as_py() or [], dtype=np.int64), np.array(o.as_py() or [], dtype=np.int64)).tolist()
+               for p, o in zip(pages, others)]
+        return pa.array(out, pa.list_(pa.bool_()))
+    return same(hashes, other)
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n")
 
 
 def _together(a: Column, b: Column) -> Column:
@@ -213,17 +214,24 @@ def extract(pages: DataFrame) -> DataFrame:
     from what the page marks as its article.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                        lines_of(F.col("html")).alias("lines"))
-    placed = stage(number_rows(rows.withColumn("hashes", F.transform("lines", lambda x: x["hash"])),
-                               ["host", "path", "url", "page_id", "hashes"], "at"), "pages")
+                        lines_of(F.col("html")).alias("l")).select("page_id", "url", "host", "path", "l.lines", "l.hashes")
+    rows = stage(rows.withColumns({"row": F.monotonically_increasing_id(),
+                                   "marked": F.exists("lines", lambda x: x["role"] > 0)}), "pages")
+    # the order of the pages takes their hashes along, not their lines
+    placed = number_rows(rows.select("row", "host", "path", "url", "page_id", "marked", "hashes"),
+                         ["host", "path", "url", "page_id", "hashes"], "at")
     near = placed.where("host <> ''").select("host", "path", "hashes", "at")
     before = near.select((F.col("at") + 1).alias("at"), F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("hashes").alias("bl"))
     after = near.select((F.col("at") - 1).alias("at"), F.col("host").alias("ah"), F.col("path").alias("ap"), F.col("hashes").alias("al"))
-    both = placed.join(before, "at", "left").join(after, "at", "left")
+    both = placed.where("NOT marked").join(before, "at", "left").join(after, "at", "left")
     nb = F.when(F.col("bh") == F.col("host"), _together(F.col("path"), F.col("bp"))).otherwise(-1)
     na = F.when(F.col("ah") == F.col("host"), _together(F.col("path"), F.col("ap"))).otherwise(-1)
     other = F.when((nb < 0) & (na < 0), None).when(nb >= na, F.col("bl")).otherwise(F.col("al"))
-    return both.select("page_id", "url", difference(F.col("lines"), other).alias("text"))
+    same = both.select("row", difference(F.col("hashes"), other).alias("same"))
+    own = rows.where("marked").select("page_id", "url", _joined(F.filter("lines", lambda x: x["role"] > 0)).alias("text"))
+    rest = rows.where("NOT marked").join(same, "row").select("page_id", "url", _joined(F.filter(
+        "lines", lambda x, i: (x["role"] == 0) & ~F.get("same", i))).alias("text"))
+    return own.unionByName(rest)
 
 
 @query("op5_html")
