@@ -13,8 +13,9 @@ import codecs
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,20 @@ from pyspark.sql import functions as F
 from .common import table
 from .registry import query
 
-KEPT_WORDS = 60_000    # words a task keeps with their ids
-KEPT_RUNS = 80_000     # pre-tokens of two generations each that a task keeps with their ids
+KEPT = 250_000         # words, and pre-tokens, of two generations each that a task keeps with their ids
 LONG_WORD = 64          # longer words and pre-tokens are not kept
+STEP = 4096             # ids that are decoded together
 
 
 class Merges:
-    """A merge list: the rank of each pair, and the lookahead that settles a token."""
-
-    def __init__(self, pairs: list[tuple[str, str]], suffix: str = ""):
-        self.rank = {p: i for i, p in enumerate(pairs)}
-        self.suffix = suffix
+    """A merge list over the numbers of ``vocab``: the rank of each pair, what it becomes, and the lookahead
+    that settles a token."""
+
+    def __init__(self, pairs: list[tuple[str, str]], vocab: dict[str, int], suffix: str = ""):
+        self.vocab, self.suffix = vocab, suffix
+        self.symbol = {i: s for s, i in vocab.items()}
+        self.rank = {vocab[a] << 32 | vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.becomes = [vocab[a + b] for a, b in pairs]
         made: dict[str, tuple[str, str]] = {}
         reach: dict[str, int] = {}      # symbol -> symbols that the rules so far look at beyond it
         self.lookahead, self.longest, self.proper = 0, 1, True
@@ -54,44 +58,72 @@ class Merges:
     def _plain(self, symbol: str) -> str:
         return symbol[:-len(self.suffix)] if self.suffix and symbol.endswith(self.suffix) else symbol
 
-    def _merge(self, parts: list[str]) -> list[str]:
+    def _join(self, parts: list[int]) -> list[int]:
         """The lowest ranked pair first, from the left, until no pair is left."""
-        rank, none = self.rank.get, 1 << 60
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        rank, becomes, none = self.rank.get, self.becomes, len(self.becomes)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
                 break
             i = ranks.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            parts[i] = new = becomes[best]
+            del ranks[i], parts[i + 1]
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
+                ranks[i] = rank(new << 32 | parts[i + 1], none)
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, none)
         return parts
 
-    def tokens(self, run: str) -> Iterable[str]:
-        """Tokens of one pre-token, emitted once nothing that follows can change them."""
-        if len(run) <= self.lookahead:
-            parts = list(run)
-            parts[-1] += self.suffix
-            return self._merge(parts)
-        return self._stream(run)
+    def ids(self, run: str) -> Iterable[int]:
+        """Ids of one pre-token, emitted once nothing that follows can change them."""
+        if len(run) > self.lookahead:
+            return self._stream(run)
+        return self._join(self._symbols(run, True))
+
+    def tokens(self, run: str) -> list[str]:
+        return [self.symbol[i] for i in self.ids(run)]
+
+    def _merge(self, parts: list[str]) -> list[str]:
+        return [self.symbol[i] for i in self._join([self.vocab[p] for p in parts])]
+
+    def _symbols(self, part: str, ends: bool) -> list[int]:
+        vocab = self.vocab
+        parts = [vocab[c] for c in part]
+        if ends and self.suffix:
+            parts[-1] = vocab[part[-1] + self.suffix]
+        return parts
 
-    def _stream(self, run: str) -> Iterator[str]:
+    def _stream(self, run: str) -> Iterator[int]:
         at, window = 0, self.lookahead + 4 * self.longest
         while self.proper and len(run) - at > window:
             done, limit = 0, window - self.lookahead
-            for token in self._merge(list(run[at:at + window])):
-                if done + len(token) > limit:
+            for i in self._join(self._symbols(run[at:at + window], False)):
+                size = len(self._plain(self.symbol[i]))
+                if done + size > limit:
                     break
-                done += len(token)
-                yield token
+                done += size
+                yield i
             at += done
-        last = list(run[at:])
-        last[-1] += self.suffix
-        yield from self._merge(last)
+        yield from self._join(self._symbols(run[at:], True))
+
+
+class Kept(dict):
+    """What ``make`` gives for a short key, kept for two generations of ``KEPT`` keys; longer ones are made anew."""
+
+    def __init__(self, make: Callable):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= LONG_WORD:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = made
+        return made
 
 
 class Codec:
@@ -106,14 +138,14 @@ class Codec:
         self._pre, self._norm = (lambda t: (t.pre_tokenizer, t.normalizer))(Tokenizer.from_file(path))
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = Merges(pairs, model.get("end_of_word_suffix") or "")
+        self.merges = Merges(pairs, self.vocab, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.pieces = {i: p for p, i in self.vocab.items()} | {i: p for p, i in self.special.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self._kept: dict[bytes, tuple[int, ...]] = {}
-        self._runs: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        # ids are kept as 4-byte numbers end to end
+        self._runs = Kept(lambda run: array("i", self.merges.ids(run)).tobytes())
+        self._words = Kept(lambda word: self._word(word.decode("utf-8", "replace")))
         self._shown = {b: c for c, b in byte_of_char().items()}
         # words whose lower case is their normal form and whose pre-tokens are the word and the stop behind it;
         # left to the library where the file has other rules
@@ -121,26 +153,13 @@ class Codec:
         self._plain = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0132-\u0148\u014a-\u017f]+)([.,;:!?*%&$#|]*)") if kinds == [
             "NFC", "Replace", "Lowercase"] and self.merges.suffix else None
 
-    def _of_run(self, run: str) -> tuple[int, ...]:
-        ids = self._runs.get(run)
-        if ids is None:
-            ids = self._old.get(run)
-            if ids is None:
-                vocab = self.vocab
-                ids = tuple([vocab[t] for t in self.merges.tokens(run)])
-            if len(run) <= LONG_WORD:
-                if len(self._runs) >= KEPT_RUNS:
-                    self._old, self._runs = self._runs, {}
-                self._runs[run] = ids
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         plain = self._plain.fullmatch(word) if self._plain else None
         if not plain:
-            return tuple(self._ids(word))
+            return array("i", self._ids(word)).tobytes()
         shown, letters = self._shown, plain[1].lower()
-        ids = self._of_run(letters if letters.isascii() else "".join([shown[b] for b in letters.encode()]))
-        return ids + self._of_run(plain[2]) if plain[2] else ids
+        ids = self._runs[letters if letters.isascii() else "".join([shown[b] for b in letters.encode()])]
+        return ids + self._runs[plain[2]] if plain[2] else ids
 
     def _ids(self, segment: str) -> Iterator[int]:
         for part in self._special.split(segment):
@@ -149,29 +168,19 @@ class Codec:
             elif part:
                 text = self._norm.normalize_str(part) if self._norm else part
                 for run, _ in self._pre.pre_tokenize_str(text):
-                    for token in self.merges.tokens(run):
-                        yield self.vocab[token]
-
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids, a word at a time. ASCII white space always ends a pre-token here and leaves none itself."""
-        kept = self._kept
-        for word in text.encode("utf-8", "surrogatepass").split():
-            ids = kept.get(word)
-            if ids is None:
-                ids = self._word(word.decode("utf-8", "replace"))
-                if len(word) <= LONG_WORD:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[word] = ids
-            yield ids
+                    yield from self.merges.ids(run)
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Ids as 4-byte numbers, a word at a time. ASCII white space always ends a pre-token here and leaves none itself."""
+        return map(self._words.__getitem__, text.encode("utf-8", "surrogatepass").split())
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text, an id at a time; an id outside the vocabulary says nothing."""
         if not self.byte_level:
-            gap, pieces = "", self.pieces
-            for i in ids:
-                if i in pieces:
-                    yield gap + pieces[i]
+            gap, ids, piece = "", iter(ids), self.pieces.get
+            while part := list(islice(ids, STEP)):
+                if known := [p for p in map(piece, part) if p is not None]:
+                    yield gap + " ".join(known)
                     gap = " "
             return
         state, of = codecs.getincrementaldecoder("utf-8")("replace"), byte_of_char()
@@ -201,12 +210,12 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        flat, ends = array("i"), [0]
+        flat, ends = bytearray(), [0]
         for x in texts:
             for word in c.encode(x.as_py() or ""):
-                flat.extend(word)
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+                flat += word
+            ends.append(len(flat) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32), pa.int32()))
     return ids(text)
 
 
