@@ -205,17 +205,28 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _encoded(texts: pa.Array, path: str) -> pa.Array:
+    c, flat, ends = codec(path), bytearray(), [0]
+    for x in texts:
+        for word in c.encode(x.as_py() or ""):
+            flat += word
+        ends.append(len(flat) // 4)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32), pa.int32()))
+
+
+def _decoded(lists: pa.Array, path: str) -> pa.Array:
+    c = codec(path)
+    flat, ends = lists.flatten().to_numpy(), [0]
+    for n in lists.value_lengths():
+        ends.append(ends[-1] + (n.as_py() or 0))
+    return pa.array(["".join(c.decode(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.string())
+
+
 def encode(text: Column, path: str) -> Column:
     """array<int> of ids; a null text counts as empty and has none."""
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        c = codec(path)
-        flat, ends = bytearray(), [0]
-        for x in texts:
-            for word in c.encode(x.as_py() or ""):
-                flat += word
-            ends.append(len(flat) // 4)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32), pa.int32()))
+        return _encoded(texts, path)
     return ids(text)
 
 
@@ -223,11 +234,7 @@ def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids; a null array gives an empty text."""
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        c = codec(path)
-        flat, ends = lists.flatten().to_numpy(), [0]
-        for n in lists.value_lengths():
-            ends.append(ends[-1] + (n.as_py() or 0))
-        return pa.array(["".join(c.decode(flat[a:b].tolist())) for a, b in zip(ends, ends[1:])], pa.string())
+        return _decoded(lists, path)
     return texts(ids)
 
 
@@ -237,8 +244,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and an empty decoded text; rows that repeat and null ids are kept;
     a text of any length is encoded whole.
     """
-    rows = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return rows.withColumn("decoded", decode(F.col("ids"), path))
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, path)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, path)], ["ids", "decoded"])
+    return docs.select("doc_id", both("text").alias("b")).select("doc_id", "b.ids", "b.decoded")
 
 
 def digests(rows: DataFrame) -> DataFrame:
