@@ -47,14 +47,6 @@ def dataset_preview(master: DataFrame, where: Column, order: list[str], n: int)
     return rows.orderBy(*order).limit(n).withColumn("total", total.scalar())
 
 
-def delete_year(master: DataFrame, category: str, year: int | None = None) -> DataFrame:
-    """The master without one year of a category, or without the category."""
-    gone = F.col("tipo") == category
-    if year is not None:
-        gone = gone & (F.col("anio") == year)
-    return master.where(~F.coalesce(gone, F.lit(False)))
-
-
 def run_summary(results: DataFrame) -> DataFrame:
     """Successes and failures of a run, and per failing stage."""
     return results.groupBy("etapa").agg(

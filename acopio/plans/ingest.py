@@ -87,6 +87,17 @@ def chosen_year(aligned: DataFrame, grid: DataFrame, canonical: list[str], on_mu
     return out.select("_path", F.when(F.col("_stated"), F.col("_col")).otherwise(found).alias("anio"))
 
 
+def filled_headers(grid: DataFrame, headers: DataFrame) -> DataFrame:
+    """(_path, pos, name) of the header cells whose column holds a cell below the header.
+
+    Tasks collapse the positions before the shuffle; what meets is one row per file and column.
+    """
+    below = attach(grid, headers.select("_path", "_header_ord"), FILE, "inner").where(F.col("_ord") > F.col("_header_ord"))
+    filled = (below.select("_path", F.posexplode("cells").alias("pos", "cell")).where("cell <> ''")
+              .select("_path", "pos").distinct())
+    return G.explode_headers(headers).join(filled, ["_path", "pos"], "left_semi")
+
+
 def ingest_grid(grid: DataFrame, category: str, canonical: list[str] | None = None,
                 on_multiple: str = "min", default_year: int | None = None, sheets: bool | None = None) -> Ingested:
     """Integrate all files of one category. ``sheets``: whether files can have several sheets
@@ -98,7 +109,8 @@ def ingest_grid(grid: DataFrame, category: str, canonical: list[str] | None = No
         grid = attach(grid, G.detect_data_sheet(grid).select("_path", "_sheet"), G.SHEET, "left_semi")
     headers = pin(G.file_headers(grid))
     canonical = canonical or canonical_columns(category, headers)
-    scores = match_scores(G.explode_headers(headers), canonical, FILE)
+    # an empty column of the file must not take a canonical place from a filled one
+    scores = match_scores(pin(filled_headers(grid, headers)), canonical, FILE)
     mapping = mapping_arrays(match_columns(scores, FILE, len(canonical)), FILE, len(canonical))
     plan = pin(headers.join(mapping, "_path", "left").select("_path", "_header_ord", "mapping"))
     # text is parsed and aligned once; the passes below read columns of the written table
@@ -169,11 +181,34 @@ def read_master(spark: SparkSession, root: str, category: str | None = None, yea
     return df
 
 
-def rewrite_master(df: DataFrame, root: str) -> None:
-    """Replace master contents that were derived from the master itself: staged first, then swapped in."""
+def rewrite_master(df: DataFrame, root: str, category: str) -> DataFrame:
+    """Replace one category's contents that were derived from the master itself: staged first, then swapped
+    in; a year of which nothing is left goes."""
     staged = stage(df, "rewrite")
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("tipo", "anio").parquet(root))
+    years = staged.select("anio").distinct()
+    emptied = read_master(df.sparkSession, root, category).select("anio").distinct().join(years, "anio", "left_anti")
+    for r in emptied.toLocalIterator():    # calendar years
+        delete_stored(df.sparkSession, root, category, r["anio"])
+    return staged
+
+
+def delete_stored(spark: SparkSession, root: str, category: str, year: int | None = None) -> int:
+    """Delete one year of a category, or the category, from a stored master; the number of folders deleted.
+
+    A master has one folder per category and year, so only those are named to the driver. What is not stored
+    deletes nothing.
+    """
+    if stored_years(spark, root) is None:
+        return 0
+    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
+    folders = [r[0] for r in read_master(spark, root, category, year).select(folder).distinct().collect()]
+    hadoop, net = spark._jvm.org.apache.hadoop.fs, spark._jvm.java.net
+    for name in folders:
+        path = hadoop.Path(net.URI(name))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def clean_master(spark: SparkSession, root: str, category: str, out: str | None = None,
@@ -188,8 +223,7 @@ def clean_master(spark: SparkSession, root: str, category: str, out: str | None
     if out is None:
         # masters stay text, so that every category keeps one schema across years
         texts = [F.col(f"`{c}`").cast("string").alias(c) if c in data else F.col(f"`{c}`") for c in clean.columns]
-        rewrite_master(clean.select(*texts), root)
-        return read_master(spark, root, category)
+        return rewrite_master(clean.select(*texts), root, category)
     upsert_by_year(clean, out)
     return read_master(spark, out, category)
 

@@ -164,7 +164,10 @@ def consolidate_master(spark, sf_dir):
 
 @query("delete_year", "SELECT anio, count(*) AS n FROM (SELECT year(o_orderdate) AS anio FROM orders) t WHERE anio <> 1998 GROUP BY 1")
 def delete_year(spark, sf_dir):
-    kept = catalog.delete_year(_batch(spark, sf_dir), "Administrativos", 1998)
+    root = new_path(spark, "shrinking")
+    I.upsert_by_year(_batch(spark, sf_dir), root)
+    I.delete_stored(spark, root, "Administrativos", 1998)
+    kept = I.read_master(spark, root)
     return kept.groupBy(F.col("anio").cast("bigint").alias("anio")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -215,13 +218,13 @@ def stream_counts(spark, sf_dir):
 
 @query("stream_upsert", "SELECT 'eventos' AS tipo, month(ts) AS anio, count(*) AS n FROM events GROUP BY 2")
 def stream_upsert(spark, sf_dir):
-    """Arriving files replace their partition: a first delivery, then a corrected one of everything."""
+    """Arriving deliveries of several part files replace their years: a first one, then a corrected one of everything."""
     events = B.tables(spark, sf_dir, ["events"])["events"].select("event_id", "ts", "event_type")
     path, root, ledger = new_path(spark, "in"), new_path(spark, "upsert"), new_path(spark, "ledger")
     sink = R.upsert_sink(root, F.lit("eventos"), F.month("ts"))
-    for part in (events.where("event_type = 'view'"), events):
-        part.coalesce(1).write.mode("append").parquet(path)
-        R.run_available(R.file_stream(spark, path, events.schema), sink, ledger)
+    for n, part in enumerate((events.where("event_type = 'view'"), events)):
+        part.repartition("event_id").write.parquet(f"{path}/entrega-{n}")
+        R.run_available(R.file_stream(spark, f"{path}/*", events.schema), sink, ledger)
     out = I.read_master(spark, root)
     return out.groupBy("tipo", F.col("anio").cast("bigint").alias("anio")).agg(F.count(F.lit(1)).alias("n"))
 

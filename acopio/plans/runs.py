@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +16,37 @@ RESULT = "categoria string, ok boolean, etapa string, detalle string"
 DONE, INTEGRATE, CLEAN, STAR = "completado", "integracion_csv_maestro", "limpieza_csv", "construccion_estrella"
 
 
-def run_category(spark: SparkSession, category: str, grid: DataFrame | None, root: str, **options) -> tuple:
-    """One category; a failure names its stage and does not touch the others."""
-    stage = INTEGRATE
+def run_category(spark: SparkSession, category: str, grid: DataFrame | None, root: str, **options) -> DataFrame:
+    """Result rows of one category: one for each file that could not be integrated, or one in all.
+
+    The other files reach the master and are cleaned all the same; a failure does not touch other categories.
+    """
+    stage, failed = INTEGRATE, None
     try:
         if grid is not None:
             done = I.ingest_grid(grid, category, **options)
-            failed = done.files.where("motivo IS NOT NULL").orderBy("_path").first()
-            if failed is not None:
-                return category, False, stage, f"{failed['_path']}: {failed['motivo']}"
-            dated = done.files.withColumn("tipo", F.lit(category))
-            winners = I.latest_file_wins(dated, ["tipo", "anio"])
+            files = I.pin(done.files.withColumn("tipo", F.lit(category)))
+            detail = F.concat_ws(": ", "_path", "motivo")
+            failed = files.where("motivo IS NOT NULL").select(
+                F.lit(category).alias("categoria"), F.lit(False).alias("ok"), F.lit(stage).alias("etapa"), detail.alias("detalle"))
+            winners = I.latest_file_wins(files.where("motivo IS NULL"), ["tipo", "anio"])
             rows = I.attach(done.rows.withColumnRenamed("_anio", "anio"), winners, ["_path", "anio"], "inner")
             I.upsert_by_year(rows, root)
         stage = CLEAN
-        I.clean_master(spark, root, category)
-        return category, True, DONE, ""
+        if failed is None or failed.isEmpty() or _has_master(spark, root, category):
+            I.clean_master(spark, root, category)
+        if failed is not None and not failed.isEmpty():
+            return failed
+        result = (category, True, DONE, "")
     except Exception as e:  # reported per category
-        return category, False, stage, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+        result = (category, False, stage, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+    rest = spark.createDataFrame([result], RESULT)
+    return rest if failed is None else rest.union(failed)
+
+
+def _has_master(spark: SparkSession, root: str, category: str) -> bool:
+    have = I.stored_years(spark, root)
+    return have is not None and not have.where(F.col("tipo") == category).isEmpty()
 
 
 def master_frames(spark: SparkSession, root: str, categories) -> dict[str, DataFrame]:
@@ -58,5 +73,5 @@ def run(spark: SparkSession, grids: dict[str, DataFrame | None], root: str, star
     try:
         S.write_star(S.build_star(stage_all(master_frames(spark, root, K.CATEGORIES))), star_root)
     except Exception as e:  # the previous star version stays published
-        results.append(("GLOBAL", False, STAR, str(e).splitlines()[0]))
-    return spark.createDataFrame(results, RESULT)
+        results.append(spark.createDataFrame([("GLOBAL", False, STAR, str(e).splitlines()[0])], RESULT))
+    return reduce(DataFrame.union, results) if results else spark.createDataFrame([], RESULT)

@@ -32,19 +32,31 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+def delivery_of(path: Column) -> Column:
+    """What arrives as one: the folder of part files, else the file itself."""
+    return F.when(path.rlike("/part-[^/]*$"), F.regexp_extract(path, "^(.*)/[^/]*$", 1)).otherwise(path)
+
+
 def winners_only(batch: DataFrame) -> DataFrame:
-    """Rows of the file that wins its (category, year): the last path in the batch."""
-    files = latest_file_wins(batch.select("tipo", "anio", "_path").distinct(), ["tipo", "anio"])
-    return attach(batch, files, ["tipo", "anio", "_path"], "left_semi")
+    """Rows of the delivery that wins its (category, year), with all its files: the last in the batch."""
+    won = latest_file_wins(batch.select("tipo", "anio", "_delivery").distinct(), ["tipo", "anio"], "_delivery")
+    return attach(batch, won, ["tipo", "anio", "_delivery"], "left_semi").drop("_delivery")
+
 
+def upsert_sink(root: str, tipo: Column, anio: Column, delivery: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch -> master: newest delivery of each (category, year) replaces the stored partition.
 
-def upsert_sink(root: str, tipo: Column, anio: Column) -> Callable[[DataFrame, int], None]:
-    """Batch -> master: newest file of each (category, year) replaces the stored partition."""
+    ``delivery`` orders the deliveries and tells them apart; by default ``delivery_of`` the path. Files of one
+    delivery must arrive in one batch.
+    """
     def sink(batch: DataFrame, _epoch: int) -> None:
-        dated = batch.withColumn("tipo", tipo).withColumn("anio", anio)
-        rows = winners_only(dated)
-        if not rows.isEmpty():
-            upsert_by_year(rows, root)
+        batch.persist()    # read once for the winners and once for their rows
+        try:
+            named = delivery_of(F.col("_path")) if delivery is None else delivery
+            dated = batch.withColumns({"tipo": tipo, "anio": anio, "_delivery": named})
+            upsert_by_year(winners_only(dated), root)
+        finally:
+            batch.unpersist()
     return sink
 
 
