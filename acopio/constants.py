@@ -217,7 +217,6 @@ NAME_COLUMN_WORDS = [
     "institucion", "ies", "municipio", "departamento", "programa", "metodologia", "area", "nucleo",
 ]
 VARIANT_THRESHOLD = 0.85
-VARIANT_MAX_DISTINCT = 1000
 VARIANT_TOP = 200
 
 # --- header matching (fixed values) -----------------------------------------------------------

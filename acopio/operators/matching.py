@@ -9,8 +9,8 @@ from .. import constants as K
 from ..functions.fold import match_key_text
 from ..functions.similarity import key_ratio_at_least, key_similarity
 from ..functions.text import clean_header, clean_header_text, match_key
-from ..session import pin
-from .aggregates import column_cardinality, top_n, top_values
+from ..session import pin, stage
+from .aggregates import column_cardinality, top_n, top_values, value_counts
 from .joins import attach
 
 
@@ -89,48 +89,104 @@ def mapping_arrays(assigned: DataFrame, by: list[str], n_canonical: int) -> Data
         *by, F.transform(places, lambda i: F.try_element_at("_m", i)).alias("mapping"))
 
 
-def _variant_lists(df: DataFrame, columns: list[str], order: str, max_distinct: int, top: int) -> DataFrame:
-    """(columna, vs): the most frequent values of each column in order, at most ``top`` entries."""
-    few = column_cardinality(df, columns).where(F.col("distintos") <= max_distinct).select("columna")
-    tops = top_values(df, columns, order, top).join(F.broadcast(few), "columna", "left_semi")
-    entry = F.struct("pos", match_key(F.col("valor")).alias("k"), "valor", "frecuencia")
-    return tops.groupBy("columna").agg(F.array_sort(F.collect_list(entry)).alias("vs"))
+def _variant_values(df: DataFrame, columns: list[str], order: str, max_distinct: int | None, top: int | None) -> DataFrame:
+    """(columna, valor, frecuencia, k, o): every value with its match key and its rank, the most frequent and then
+    the first seen smallest. Only a caller's own limits leave values out."""
+    counts = value_counts(df, columns, order) if top is None else top_values(df, columns, order, top)
+    if max_distinct is not None:
+        few = column_cardinality(df, columns).where(F.col("distintos") <= max_distinct).select("columna")
+        counts = counts.join(F.broadcast(few), "columna", "left_semi")    # one row per column
+    rank = F.struct((-F.col("frecuencia")).alias("f"), F.col("primera").alias("p"), F.col("valor").alias("v"))
+    return stage(counts.select("columna", "valor", "frecuencia", match_key(F.col("valor")).alias("k"), rank.alias("o")), "values")
+
+
+def similar_keys(keys: DataFrame, threshold: float) -> DataFrame:
+    """(columna, a, b): each pair of different keys of a column with a ratio from the threshold on, once.
+
+    ``keys`` (columna, k) are distinct. Within distance d, one of d + 1 segments of the longer key stands in the
+    shorter one, shifted by no more than the errors left of it and right of it allow; keys meet on that segment,
+    its number and the longer key's length, and the pairs that meet are verified. No other pair is looked at.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+
+    def errors(n: Column) -> Column:
+        return F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
+
+    def start(i: Column) -> Column:
+        return F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        each = rows.withColumn("d", errors(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        return each.withColumn("at", start(F.col("i"))).withColumn("size", start(F.col("i") + 1) - F.col("at"))
+
+    sized = keys.where("k <> ''").select("columna", "k", F.char_length("k").alias("m"))
+    held = cut(sized.select("columna", F.col("k").alias("b"), F.col("m").alias("n"))).select(
+        "columna", "n", "i", F.substring("b", F.col("at") + 1, F.col("size")).alias("seg"), "b")
+    reach = F.floor(F.col("m") / F.lit(threshold) + F.lit(1e-9)).cast("int")
+    asked = cut(sized.withColumn("n", F.explode(F.sequence("m", reach))))
+    moved, after = F.col("m") - F.col("n"), F.col("d") - F.col("i")
+    low = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + moved - after)
+    high = F.least(F.col("m") - F.col("size"), F.col("at") + F.col("i"), F.col("at") + moved + after)
+    asked = asked.withColumns({"low": low, "high": high}).where("low <= high").withColumn(
+        "p", F.explode(F.sequence("low", "high"))).select(
+        "columna", "n", "i", F.substring("k", F.col("p") + 1, F.col("size")).alias("seg"), F.col("k").alias("a"), "m")
+    once = (F.col("m") < F.col("n")) | (F.col("a") < F.col("b"))
+    met = asked.join(held, ["columna", "n", "i", "seg"]).where(
+        (F.col("a") != F.col("b")) & once & key_ratio_at_least(F.col("a"), F.col("b"), threshold))
+    return met.select("columna", "a", "b").distinct()
+
+
+def _leaders(keys: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(columna, k, lead) of every key: a key leads unless an earlier similar key does.
+
+    ``earlier`` (columna, k, e): the similar keys before a key. A round settles the keys whose earlier ones
+    are all settled or one of which leads; the first open key of a column always is among them.
+    """
+    state = stage(keys.join(earlier.select("columna", "k").distinct().withColumn("late", F.lit(True)), ["columna", "k"], "left")
+                  .select("columna", "k", F.when(F.col("late").isNull(), F.lit(True)).alias("lead")), "leaders")
+    while not state.where("lead IS NULL").isEmpty():
+        before = state.select("columna", F.col("k").alias("e"), "lead")
+        seen = earlier.join(before, ["columna", "e"]).groupBy("columna", "k").agg(
+            F.count_if("lead").alias("leading"), F.count_if(F.col("lead").isNull()).alias("open"))
+        settled = F.coalesce("lead", F.when(F.col("leading") > 0, False).when(F.col("open") == 0, True))
+        state = stage(state.join(seen, ["columna", "k"], "left").select("columna", "k", settled.alias("lead")), "leaders")
+    return state
 
 
 def variant_report(df: DataFrame, columns: list[str], order: str, threshold: float = K.VARIANT_THRESHOLD,
-                   max_distinct: int = K.VARIANT_MAX_DISTINCT, top: int = K.VARIANT_TOP) -> DataFrame:
+                   max_distinct: int | None = None, top: int | None = None) -> DataFrame:
     """Spelling variants per column: a value joins the first leader it is similar enough to.
 
-    Columns with more than ``max_distinct`` values are left out and the ``top`` most frequent
-    values are compared, which is what the report is; the fold runs on that bounded list.
+    All values of all columns are compared unless the caller limits them. Values with one key share
+    their neighbours, so the first of them stands for all.
     """
-    lists = _variant_lists(df, columns, order, max_distinct, top)
-    kind = "struct<pos:int,k:string,valor:string,frecuencia:bigint>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("leaders"),
-                     F.array().cast(f"array<struct<v:{kind},leader:{kind}>>").alias("out"))
-
-    def step(acc, v):
-        leader = F.get(F.filter(acc["leaders"], lambda g: key_ratio_at_least(v["k"], g["k"], threshold)), F.lit(0))
-        bound = F.transform(F.array(leader), lambda g: F.struct(
-            F.when(g.isNull(), F.concat(acc["leaders"], F.array(v))).otherwise(acc["leaders"]).alias("leaders"),
-            F.when(g.isNull(), acc["out"]).otherwise(
-                F.concat(acc["out"], F.array(F.struct(v.alias("v"), g.alias("leader"))))).alias("out")))
-        return F.get(bound, F.lit(0))
-
-    typed = F.transform("vs", lambda v: v.cast(kind))
-    folded = lists.select("columna", F.aggregate(typed, start, step, lambda acc: acc["out"]).alias("o"))
-    return folded.select("columna", F.explode("o").alias("x")).select(
-        "columna", F.col("x.v.valor").alias("valor_actual"), F.col("x.leader.valor").alias("valor_canonico"),
-        F.col("x.v.frecuencia").alias("frecuencia_actual"),
-        F.col("x.leader.frecuencia").alias("frecuencia_canonico"))
+    values = _variant_values(df, columns, order, max_distinct, top)
+    keys = stage(values.groupBy("columna", "k").agg(F.min("o").alias("o")), "keys")
+    pairs = similar_keys(keys.select("columna", "k"), threshold)
+    ranked = (pairs.join(keys.select("columna", F.col("k").alias("a"), F.col("o").alias("oa")), ["columna", "a"])
+              .join(keys.select("columna", F.col("k").alias("b"), F.col("o").alias("ob")), ["columna", "b"]))
+    first = F.col("oa") < F.col("ob")
+    earlier = stage(ranked.select("columna", F.when(first, F.col("b")).otherwise(F.col("a")).alias("k"),
+                                  F.when(first, F.col("a")).otherwise(F.col("b")).alias("e"), F.least("oa", "ob").alias("o")), "earlier")
+    state = _leaders(keys.select("columna", "k"), earlier.select("columna", "k", "e"))
+    leading = state.where("lead").select("columna", "k")
+    joined = earlier.join(leading.withColumnRenamed("k", "e"), ["columna", "e"]).groupBy("columna", "k").agg(F.min("o").alias("to"))
+    joined = joined.join(leading, ["columna", "k"], "left_anti").unionByName(
+        keys.join(leading, ["columna", "k"]).select("columna", "k", F.col("o").alias("to")))
+    return values.join(joined, ["columna", "k"]).where(F.col("valor") != F.col("to.v")).select(
+        "columna", F.col("valor").alias("valor_actual"), F.col("to.v").alias("valor_canonico"),
+        F.col("frecuencia").alias("frecuencia_actual"), (-F.col("to.f")).alias("frecuencia_canonico"))
 
 
 def fuzzy_pairs(df: DataFrame, columns: list[str], order: str, threshold: float = K.VARIANT_THRESHOLD,
-                max_distinct: int = K.VARIANT_MAX_DISTINCT, top: int = K.VARIANT_TOP) -> DataFrame:
-    """All similar pairs among the same bounded lists: (columna, a, b), the more frequent first."""
-    lists = _variant_lists(df, columns, order, max_distinct, top)
-    each = lists.select("columna", "vs", F.explode("vs").alias("a"))
-    near = F.filter(F.slice("vs", F.col("a.pos") + 1, F.size("vs")),
-                    lambda b: key_ratio_at_least(F.col("a.k"), b["k"], threshold))
-    return each.select("columna", "a", F.explode(near).alias("b")).select(
-        "columna", F.col("a.valor").alias("a"), F.col("b.valor").alias("b"))
+                max_distinct: int | None = None, top: int | None = None) -> DataFrame:
+    """All similar pairs of values: (columna, a, b), the more frequent first."""
+    values = _variant_values(df, columns, order, max_distinct, top).select("columna", "k", "o")
+    x = values.select("columna", F.col("k").alias("a"), F.col("o").alias("x"))
+    y = values.select("columna", F.col("k").alias("b"), F.col("o").alias("y"))
+    near = similar_keys(values.select("columna", "k").distinct(), threshold)
+    apart = near.join(x, ["columna", "a"]).join(y, ["columna", "b"]).select("columna", "x", "y")
+    alike = x.join(y.withColumnRenamed("b", "a"), ["columna", "a"]).where("x < y").select("columna", "x", "y")
+    both = apart.unionByName(alike)
+    return both.select("columna", F.least("x", "y").getField("v").alias("a"), F.greatest("x", "y").getField("v").alias("b"))

@@ -167,8 +167,9 @@ def column_cardinality(spark, sf_dir):
     return A.column_cardinality(B.derive(spark, sf_dir, B.VARIANTS), _VAR)
 
 
-_TOP = (f"SELECT columna, valor, frecuencia, pos FROM (SELECT *, row_number() OVER (PARTITION BY columna ORDER BY frecuencia DESC, primera, valor) AS pos "
-        f"FROM (SELECT columna, valor, count(*) AS frecuencia, min(_ord) AS primera FROM ({_VSQL}) u GROUP BY 1, 2) c) r WHERE pos <= {K.VARIANT_TOP}")
+_RANKED = (f"SELECT columna, valor, frecuencia, row_number() OVER (PARTITION BY columna ORDER BY frecuencia DESC, primera, valor) AS pos "
+           f"FROM (SELECT columna, valor, count(*) AS frecuencia, min(_ord) AS primera FROM ({_VSQL}) u GROUP BY 1, 2) c")
+_TOP = f"SELECT columna, valor, frecuencia, pos FROM ({_RANKED}) r WHERE pos <= {K.VARIANT_TOP}"
 
 
 @query("top_k_values", _TOP)
@@ -177,14 +178,14 @@ def top_k_values(spark, sf_dir):
     return df.select("columna", "valor", "frecuencia", F.col("pos").cast("bigint").alias("pos"))
 
 
-@query("fuzzy_pairs", f"WITH p AS (SELECT *, {O.key('valor')} AS k FROM ({_TOP}) t) SELECT x.columna, x.valor AS a, y.valor AS b "
+@query("fuzzy_pairs", f"WITH p AS (SELECT *, {O.key('valor')} AS k FROM ({_RANKED}) t) SELECT x.columna, x.valor AS a, y.valor AS b "
        f"FROM p x JOIN p y ON x.columna = y.columna AND x.pos < y.pos WHERE {O.ratio('x.k', 'y.k')} >= {K.VARIANT_THRESHOLD}")
 def fuzzy_pairs(spark, sf_dir):
     return M.fuzzy_pairs(B.derive(spark, sf_dir, B.VARIANTS), _VAR, "_ord")
 
 
 # The leader fold as a recursive statement: each step takes the next value of every column.
-_REPORT = f"""WITH RECURSIVE p AS (SELECT *, {O.key('valor')} AS k FROM ({_TOP}) t),
+_REPORT = f"""WITH RECURSIVE p AS (SELECT *, {O.key('valor')} AS k FROM ({_RANKED}) t),
  step AS (
   SELECT columna, 0::BIGINT AS pos, []::BIGINT[] AS lead_pos, []::VARCHAR[] AS lead_key, NULL::BIGINT AS joined FROM p GROUP BY columna
   UNION ALL

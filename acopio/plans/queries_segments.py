@@ -58,24 +58,28 @@ def describe_features(spark, sf_dir):
 
 # Labels by nation stand in for clusters, so that the exact score has a statement to agree with.
 _LABELLED = f"SELECT z.*, c.g FROM ({_Z}) z JOIN (SELECT s_suppkey, s_nationkey % 3 AS g FROM supplier) c ON c.s_suppkey = z.id"
-_DIST = "sqrt(" + " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in K.FEATURES) + ")"
-
-
-@query("silhouette_exact", f"""WITH l AS MATERIALIZED ({_LABELLED}), n AS (SELECT g, count(*) AS n FROM l GROUP BY g),
+_DIST = " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in K.FEATURES)
+_SAMPLES = f"""WITH l AS MATERIALIZED ({_LABELLED}), n AS (SELECT g, count(*) AS n FROM l GROUP BY g),
   d AS (SELECT a.id, a.g, b.g AS k, sum({_DIST}) AS d FROM l a, l b GROUP BY 1, 2, 3),
   m AS (SELECT id, d.g, max(CASE WHEN k = d.g THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN k <> d.g THEN d / n END) AS b FROM d JOIN n ON n.g = k GROUP BY 1, 2)
-  SELECT id, CAST(g AS INTEGER) AS g, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silueta FROM m""")
-def silhouette_exact(spark, sf_dir):
+  SELECT id, CAST(g AS INTEGER) AS g, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silueta FROM m"""
+
+
+def _labelled(spark, sf_dir):
     sup = B.tables(spark, sf_dir, ["supplier"])["supplier"].select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).alias("g"))
-    df = pin(S.standardize(_features(spark, sf_dir), K.FEATURES).join(sup, "id"))
-    return S.silhouette_samples(df, "id", "g", K.FEATURES).withColumn("silueta", F.round("silueta", 6))
+    return pin(S.standardize(_features(spark, sf_dir), K.FEATURES).join(sup, "id"))
 
 
-@query("silhouette_approx")
+@query("silhouette_exact", f"SELECT id, g, round(silueta, 6) AS silueta FROM ({_SAMPLES}) s")
+def silhouette_exact(spark, sf_dir):
+    """Squared distances; the statement sums them over all pairs, the operator never forms a pair."""
+    return S.silhouette_samples(_labelled(spark, sf_dir), "id", "g", K.FEATURES).withColumn("silueta", F.round("silueta", 6))
+
+
+@query("silhouette_approx", f"SELECT round(avg(silueta), 6) AS silueta FROM ({_SAMPLES}) s")
 def silhouette_approx(spark, sf_dir):
-    sup = B.tables(spark, sf_dir, ["supplier"])["supplier"].select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).alias("g"))
-    df = pin(S.standardize(_features(spark, sf_dir), K.FEATURES).join(sup, "id"))
-    return spark.createDataFrame([(S.silhouette_approx(df, "g", K.FEATURES),)], "silueta double")
+    score = S.silhouette(_labelled(spark, sf_dir), "id", "g", K.FEATURES)
+    return spark.createDataFrame([(round(score, 6),)], "silueta double")
 
 
 @query("kmeans_assign")
@@ -127,3 +131,41 @@ def pca_project(spark, sf_dir):
 def pca_variance(spark, sf_dir):
     _, ratio = S.pca(pin(_features(spark, sf_dir)), "id", K.FEATURES)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(ratio)], "componente int, varianza double")
+
+
+# --- what holds for every fit, as statements ------------------------------------------------------------
+
+_N = f"(SELECT count(*) FROM ({_TOT}) t)"
+
+
+@query("kmeans_checks", f"SELECT {_N} AS filas, CAST(0 AS BIGINT) AS sin_cluster, true AS clusters_ok, {_N} AS suma_tamanos, "
+       "CAST(0 AS BIGINT) AS desordenados, CAST(0 AS BIGINT) AS fuera_de_centro")
+def kmeans_checks(spark, sf_dir):
+    df = pin(_features(spark, sf_dir))
+    return S.assignment_checks(df, S.kmeans_assign(df, "id", K.FEATURES), "id", K.FEATURES, K.K_FINAL)
+
+
+@query("sweep_checks", f"SELECT CAST(k AS INTEGER) AS k, true AS en_rango FROM (SELECT unnest({list(K.K_SWEEP)}) AS k) u WHERE k < {_N}")
+def sweep_checks(spark, sf_dir):
+    """Each k of the sweep, and whether its cost lies between 0 and the cost of one cluster (rows times features
+    that vary) and its score between -1 and 1."""
+    df = pin(_features(spark, sf_dir))
+    most = df.count() * len(K.FEATURES) * (1 + 1e-9)
+    return S.kmeans_sweep(df, K.FEATURES).select(
+        "k", (F.col("inercia").between(0.0, most) & F.col("silueta").between(-1.0, 1.0)).alias("en_rango"))
+
+
+@query("pca_checks", f"""WITH z AS MATERIALIZED ({_Z}) SELECT count(*) AS filas, true AS centrada, true AS ortogonal, true AS ordenada, true AS varianza_ok FROM z""")
+def pca_checks(spark, sf_dir):
+    """Scores of the components: centred, uncorrelated, by falling variance, and each one's variance its stated share of
+    the features' total variance."""
+    df = pin(_features(spark, sf_dir))
+    rows, shares = S.pca(df, "id", K.FEATURES)
+    z = S.standardize(df, K.FEATURES)
+    total = z.agg(sum((F.var_samp(f) for f in K.FEATURES), F.lit(0.0)).alias("t")).scalar()
+    v1, v2 = F.var_samp("PCA1"), F.var_samp("PCA2")
+    stats = rows.agg(F.count(F.lit(1)).alias("filas"), F.avg("PCA1").alias("m1"), F.avg("PCA2").alias("m2"), v1.alias("v1"), v2.alias("v2"),
+                     F.covar_samp("PCA1", "PCA2").alias("c")).withColumn("t", total)
+    near = [F.abs(F.col(f"v{i + 1}") / F.col("t") - F.lit(s)) < 1e-6 for i, s in enumerate(shares)]
+    return stats.select("filas", ((F.abs("m1") < 1e-6) & (F.abs("m2") < 1e-6)).alias("centrada"), (F.abs("c") < 1e-6 * F.col("t")).alias("ortogonal"),
+                        (F.col("v1") >= F.col("v2")).alias("ordenada"), (near[0] & near[1]).alias("varianza_ok"))

@@ -5,9 +5,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,9 +14,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import pin
 
-EXACT_ROWS = 50_000
-
-
 def institution_rates(totals: DataFrame) -> DataFrame:
     """Rates inferred from their names: graduates/enrolled, admitted/applied, enrolled/admitted,
     staff/enrolled. A zero denominator gives null."""
@@ -84,7 +79,7 @@ def kmeans_assign(df: DataFrame, id_col: str, features: list[str], k: int = K.K_
 
 
 def kmeans_sweep(df: DataFrame, features: list[str], ks=K.K_SWEEP, seed: int = K.KMEANS_SEED,
-                 inits: int = K.KMEANS_INITS, exact_rows: int = EXACT_ROWS) -> DataFrame:
+                 inits: int = K.KMEANS_INITS) -> DataFrame:
     """(k, inercia, silueta) for each k."""
     spark = df.sparkSession
     base = pin(df.select(F.monotonically_increasing_id().alias("_id"), *features))
@@ -96,7 +91,7 @@ def kmeans_sweep(df: DataFrame, features: list[str], ks=K.K_SWEEP, seed: int = K
             break
         model = best_kmeans(scaled, k, seed, inits)
         got = model.transform(scaled)
-        score = silhouette(got.select("_id", "Cluster", *features), "_id", "Cluster", features, exact_rows)
+        score = silhouette(got.select("_id", "Cluster", *features), "_id", "Cluster", features)
         rows.append((k, float(model.summary.trainingCost), score))
     scaled.unpersist()
     return spark.createDataFrame(rows, "k int, inercia double, silueta double")
@@ -136,61 +131,61 @@ def pca(df: DataFrame, id_col: str, features: list[str], k: int = 2) -> tuple[Da
     return out, [float(x) for x in model.explainedVariance]
 
 
-def silhouette_samples(df: DataFrame, id_col: str, cluster: str, features: list[str],
-                       block: int = 4096) -> DataFrame:
-    """Exact Euclidean silhouette value per row.
+def silhouette_samples(df: DataFrame, id_col: str, cluster: str, features: list[str]) -> DataFrame:
+    """Silhouette value per row under squared distances, in one aggregation and one pass.
 
-    Rows are hashed into blocks; each task meets two blocks, and only the sum of distances per
-    (row, other cluster) leaves it. Tasks stay at two blocks of rows however large a cluster is.
+    A row's mean squared distance to a cluster follows from the cluster's size, sums and sum of squared
+    norms, so no two rows meet. One row per cluster comes back as a scalar. A row alone in its cluster has 0.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    base = df.select(F.col(id_col).alias("_id"), F.col(cluster).cast("int").alias("_c"),
-                     F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
-                     F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_b"))
-    everyone = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.withColumn("_o", F.explode(everyone))
-    right = base.select("_c", "_x", F.col("_b").alias("_o"), F.explode(everyone).alias("_b"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"_id": pd.Series(dtype=a["_id"].dtype), "_c": pd.Series(dtype="int32"),
-                                 "_k": pd.Series(dtype="int32"), "_d": pd.Series(dtype="float64")})
-        x, y = np.array(a["_x"].tolist()), np.array(b["_x"].tolist())
-        parts = []
-        for k, rows in b.groupby("_c").indices.items():
-            total = np.zeros(len(a))
-            for i in range(0, len(rows), 256):
-                z = y[rows[i:i + 256]]
-                total += np.sqrt(((x[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)).sum(axis=1)
-            parts.append(pd.DataFrame({"_id": a["_id"].to_numpy(), "_c": a["_c"].to_numpy(),
-                                       "_k": np.int32(k), "_d": total}))
-        return pd.concat(parts)
-
-    id_type = dict(df.dtypes)[id_col]
-    sums = left.groupBy("_b", "_o").cogroup(right.groupBy("_b", "_o")).applyInPandas(
-        meet, f"_id {id_type}, _c int, _k int, _d double")
-    per = sums.groupBy("_id", "_c", "_k").agg(F.sum("_d").alias("_d"))
-    size = base.groupBy(F.col("_c").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))  # one row per cluster
-    per = per.join(F.broadcast(size), "_k")
-    mean = F.when(F.col("_k") == F.col("_c"), F.try_divide(F.col("_d"), F.col("_n") - 1)).otherwise(
-        F.col("_d") / F.col("_n"))
-    own = F.max(F.when(F.col("_k") == F.col("_c"), mean)).alias("a")
-    other = F.min(F.when(F.col("_k") != F.col("_c"), mean)).alias("b")
-    ab = per.groupBy("_id", "_c").agg(own, other)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    norm = sum((F.col(f).cast("double") ** 2 for f in features), F.lit(0.0))
+    base = df.select(id_col, F.col(cluster).cast("int").alias(cluster), x.alias("_x"), norm.alias("_q"))
+    each = base.groupBy(F.col(cluster).alias("c")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_q").alias("q"),
+        F.array(*[F.sum(F.get("_x", F.lit(i))) for i in range(len(features))]).alias("s"))
+    stats = each.agg(F.collect_list(F.struct("c", "n", "q", "s")).alias("k")).scalar()
+
+    def total(k):
+        """Sum of a row's squared distances to the members of a cluster."""
+        dot = F.aggregate(F.zip_with("_x", k["s"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        return F.greatest(k["n"] * F.col("_q") - 2 * dot + k["q"], F.lit(0.0))
+
+    far = F.transform("_k", lambda k: F.struct((k["c"] == F.col(cluster)).alias("own"), k["n"].alias("n"), total(k).alias("d")))
+    own = F.get(F.filter("_f", lambda f: f["own"]), F.lit(0))
+    base = base.withColumn("_k", stats).withColumn("_f", far).select(
+        id_col, cluster, F.try_divide(own["d"], own["n"] - 1).alias("a"),
+        F.array_min(F.transform(F.filter("_f", lambda f: ~f["own"]), lambda f: f["d"] / f["n"])).alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return ab.select(F.col("_id").alias(id_col), F.col("_c").alias(cluster), value.alias("silueta"))
-
-
-def silhouette(df: DataFrame, id_col: str, cluster: str, features: list[str],
-               exact_rows: int = EXACT_ROWS) -> float:
-    """Exact Euclidean mean up to ``exact_rows`` rows, the linear squared-distance form beyond."""
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        return silhouette_samples(df, id_col, cluster, features).agg(F.avg("silueta").alias("s")).first()["s"]
-    return silhouette_approx(df, cluster, features)
-
-
-def silhouette_approx(df: DataFrame, cluster: str, features: list[str]) -> float:
-    vec = with_vector(df.withColumn("_label", F.col(cluster).cast("double")), features, "_vec")
-    return ClusteringEvaluator(featuresCol="_vec", predictionCol="_label").evaluate(vec)
+    return base.select(id_col, cluster, value.alias("silueta"))
+
+
+def silhouette(df: DataFrame, id_col: str, cluster: str, features: list[str]) -> float:
+    """Mean of the rows' values, in the same linear form at every size."""
+    return silhouette_samples(df, id_col, cluster, features).agg(F.avg("silueta").alias("s")).first()["s"]
+
+
+def assignment_checks(df: DataFrame, assigned: DataFrame, id_col: str, features: list[str], k: int) -> DataFrame:
+    """One row of what holds for any K-Means labelling: rows, rows without label, clusters in use (at most k),
+    sum of the sizes, sizes out of order, and rows closer to another cluster's mean than to their own's."""
+    scaled = standardize(df.select(id_col, *features), features).join(assigned.select(id_col, "Cluster"), id_col, "left")
+    means = scaled.where("Cluster IS NOT NULL").groupBy("Cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("m"))
+    stats = pin(means)     # one row per cluster
+    centres = stats.agg(F.collect_list(F.struct("Cluster", "m")).alias("k")).scalar()
+    x = F.array(*[F.col(f) for f in features])
+
+    def far(c):
+        return F.aggregate(F.zip_with(x, c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    near = F.array_min(F.transform("_k", far))
+    own = F.array_min(F.transform(F.filter("_k", lambda c: c["Cluster"] == F.col("Cluster")), far))
+    rows = scaled.withColumn("_k", centres).agg(
+        F.count(F.lit(1)).alias("filas"), F.count_if(F.col("Cluster").isNull()).alias("sin_cluster"),
+        F.count_if(own > near + 1e-3 * (1 + near)).alias("fuera_de_centro"))
+    by_size = stats.groupBy().agg(F.array_sort(F.collect_list(F.struct("Cluster", "n"))).alias("z")).select(
+        F.size("z").alias("u"), F.aggregate("z", F.lit(0).cast("bigint"), lambda a, v: a + v["n"]).alias("t"),
+        F.size(F.filter("z", lambda v, i: (i > 0) & (v["n"] > F.get("z", i - 1)["n"]))).alias("o"))
+    one = F.struct(*by_size.columns)
+    return rows.withColumn("_s", by_size.select(one.alias("s")).scalar()).select(
+        "filas", "sin_cluster", (F.col("_s.u") <= k).alias("clusters_ok"), F.col("_s.t").alias("suma_tamanos"),
+        F.col("_s.o").cast("bigint").alias("desordenados"), "fuera_de_centro")

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions.text import sanitize_name
 from ..operators.joins import left_minus
 
-WIDE = 256  # columns read from a file whose records span lines
+MOST_COLUMNS = 1 << 20  # the parser reports an error beyond, it never cuts
 
 
 def extension(path: Column) -> Column:
@@ -67,43 +67,59 @@ def safe_name(name: Column) -> Column:
 
 # --- delimited text ---------------------------------------------------------------------------------
 
-def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
+def _separators(text: Column, sep: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
+
+
+def _in_task() -> Column:
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def profile_files(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """Per file, in one splittable scan: does UTF-8 fail, do records span lines, how wide is it.
+    """Per file, in one splittable scan: does UTF-8 fail, do records span lines, how wide is it, its first line.
 
     A quoted line break leaves an odd number of quotes on a line, so files without one can be
     read in parallel splits; a line of invalid UTF-8 sends its file to ISO-8859-1.
     """
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    seps = F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))
-    return _text_lines(spark, paths).groupBy("_path").agg(
+    line, at = F.col("value"), F.col("_metadata.file_block_start") + _in_task()
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"), at.alias("_at"))
+    return lines.groupBy("_path").agg(
         F.max(~F.is_valid_utf8(line)).alias("latin"),
-        F.max(quotes % 2 == 1).alias("multiline"),
-        (F.max(seps) + 1).cast("int").alias("width"))
+        F.max(_separators(line, '"') % 2 == 1).alias("multiline"),
+        (F.max(_separators(line, sep)) + 1).cast("int").alias("width"),
+        F.min_by("value", "_at").alias("header"))
+
+
+def _records(spark, paths, sep, encoding, multiline, width, extra=()) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(width)), *extra]])
+    return (spark.read.schema(schema).option("sep", sep).option("header", False)
+            .option("encoding", encoding).option("multiLine", multiline).option("quote", '"')
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("maxColumns", MOST_COLUMNS)
+            .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE").csv(paths))
+
+
+def _spanning_width(spark, paths, sep, encoding) -> int:
+    """No record of these files has more columns. Read as a single column, every wider record is reported with its
+    raw text, whose separators bound its width wherever its lines break."""
+    raw = _records(spark, paths, sep, encoding, True, 1, ["_corrupt_record"])
+    wide = F.coalesce(_separators(F.col("_corrupt_record"), sep) + 1, F.lit(1))
+    # the single column is counted because the raw text alone cannot be asked for
+    return raw.agg(F.max(wide).alias("w"), F.count("c0").alias("n")).first()["w"] or 1
 
 
 def _read_grid(spark, paths, sep, encoding, multiline, width) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = (spark.read.schema(schema).option("sep", sep).option("header", False)
-           .option("encoding", encoding).option("multiLine", multiline).option("quote", '"')
-           .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-           .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE").csv(paths))
+    raw = _records(spark, paths, sep, encoding, multiline, width)
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     # A record takes at least one byte and only the last split of a file shares a task with
     # other files, so byte offset of the split + row number in the task grows along a file.
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return raw.select(
         F.col("_metadata.file_path").alias("_path"), F.lit("0").alias("_sheet"),
-        (F.col("_metadata.file_block_start") + in_task).alias("_ord"),
+        (F.col("_metadata.file_block_start") + _in_task()).alias("_ord"),
         # trailing nulls are the padding up to the widest file of the group
         F.transform(cells, lambda v: F.coalesce(v, F.lit(""))).alias("cells"))
 
 
-def raw_grid(spark: SparkSession, paths: list[str], sep: str = ",", wide: int = WIDE) -> DataFrame:
+def raw_grid(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
     """Delimited files as raw grids; encoding and line mode are chosen per file.
 
     The file profile is one row per file, as the file listing itself is.
@@ -115,8 +131,9 @@ def raw_grid(spark: SparkSession, paths: list[str], sep: str = ",", wide: int =
         groups.setdefault((enc, bool(r["multiline"])), []).append(r)
     out = None
     for (enc, multi), rows in sorted(groups.items()):
-        width = max(max(r["width"] for r in rows), wide if multi else 1)
-        part = _read_grid(spark, [r["_path"] for r in rows], sep, enc, multi, width)
+        names = [r["_path"] for r in rows]
+        width = _spanning_width(spark, names, sep, enc) if multi else max(r["width"] for r in rows)
+        part = _read_grid(spark, names, sep, enc, multi, width)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no delimited files among the given paths")
@@ -135,24 +152,36 @@ def grid_of(df: DataFrame, path: Column, order: Column, columns: list[Column],
 
 def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",",
                 encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
-    """Delimited master as all-text columns; missing cells are empty, not null.
+    """Delimited masters as all-text columns; missing cells are empty, not null.
 
-    The header names the columns when ``columns`` is not given. Files whose records span lines
-    cannot be split; ``multiline=None`` finds out in one splittable scan of the text, so that
-    masters without such records are read in parallel.
+    Each file is read under its own header, so files may order or name their columns differently; a
+    column that only some of them have is empty for the others. ``columns`` selects and orders. Files
+    whose records span lines cannot be split; ``multiline=None`` finds out per header in the scan of
+    the text that reads the headers, so that masters without such records are read in parallel.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    if multiline is None:
-        multiline = bool(profile_files(spark, paths, sep).agg(F.max("multiline").alias("m")).first()["m"])
-    reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-              .option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
-              .option("ignoreTrailingWhiteSpace", False))
-    if columns is None:
-        columns = [c.lstrip("\ufeff") for c in reader.option("inferSchema", False).csv(paths).columns]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = reader.schema(schema).csv(paths)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    groups: dict[str, list] = {}
+    for r in profile_files(spark, paths, sep).collect():     # one row per file
+        # a header that itself spans lines is told apart by its file
+        odd = (r["header"] or "").count('"') % 2
+        groups.setdefault(r["_path"] if odd else (r["header"] or "").lstrip("\ufeff"), []).append(r)
+    out = None
+    for _, rows in sorted(groups.items()):
+        names, spans = [r["_path"] for r in rows], multiline
+        if spans is None:
+            spans = any(r["multiline"] for r in rows)
+        reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+                  .option("quote", '"').option("escape", '"').option("multiLine", spans).option("maxColumns", MOST_COLUMNS)
+                  .option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
+                  .option("ignoreTrailingWhiteSpace", False))
+        found = [c.lstrip("\ufeff") for c in reader.option("inferSchema", False).csv(names).columns]
+        part = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in found])).csv(names)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no delimited files among the given paths")
+    have = set(out.columns)
+    return out.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in have else F.lit("")).alias(c)
+                        for c in columns or out.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

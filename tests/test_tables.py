@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from acopio import constants as K
+from acopio.functions.text import match_key
 from acopio.operators import aggregates as A
 from acopio.operators import cleaning as C
 from acopio.operators import grid as G
@@ -10,6 +12,7 @@ from acopio.plans import ingest as I
 from acopio.plans import segmentation as S
 from acopio.plans import star
 from acopio.session import new_path
+from acopio.sources.files import raw_grid, scan_master
 
 
 def test_footer_rules(spark):
@@ -106,6 +109,39 @@ def test_variants_join_first_leader(spark):
     assert M.variant_report(df, ["programa"], "_ord", max_distinct=3).count() == 0
 
 
+def test_variants_of_all_values_are_those_of_a_plain_fold(spark):
+    import random
+    rng, words = random.Random(8), ["universidad", "del", "norte", "nacional", "instituto", "sur", "de", "artes", "oriente"]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(80)]
+    vals = []
+    for _ in range(160):
+        v = list(rng.choice(names))
+        for _ in range(rng.randint(0, 4)):
+            v.insert(rng.randrange(len(v) + 1), rng.choice("aeiostn "))
+        vals.append("".join(v))
+    vals += ["", " ", ".", None]
+    df = spark.createDataFrame(list(enumerate(vals)), "_ord bigint, programa string")
+    counts = A.value_counts(df, ["programa"], "_ord").select("valor", "frecuencia", "primera", match_key(F.col("valor")).alias("k")).collect()
+    ranked = sorted(counts, key=lambda r: (-r.frecuencia, r.primera, r.valor))
+
+    def ratio(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1.0 if a == b else 1 - row[-1] / max(len(a), len(b))
+    for t in (0.85, 0.6):
+        leaders, want, near = [], {}, set()
+        for i, r in enumerate(ranked):
+            near |= {(q.valor, r.valor) for q in ranked[:i] if ratio(q.k, r.k) >= t}
+            lead = next((g for g in leaders if ratio(g.k, r.k) >= t), None)
+            leaders += [] if lead else [r]
+            want |= {r.valor: lead.valor} if lead else {}
+        assert {r.valor_actual: r.valor_canonico for r in M.variant_report(df, ["programa"], "_ord", t).collect()} == want
+        assert {(r.a, r.b) for r in M.fuzzy_pairs(df, ["programa"], "_ord", t).collect()} == near
+
+
 def test_corrections_compose():
     assert J.closure_of_corrections([("c", "a", "b", False), ("c", "b", "d", False)]) == [("c", "a", "d"), ("c", "b", "d")]
     assert J.closure_of_corrections([("c", "a", "b", True)]) == [("c", "b", "a")]
@@ -145,12 +181,14 @@ def test_star_load_is_versioned(spark):
     assert star.constraint_violations({"DEPARTAMENTO": dep}).where("n > 0").count() == 0
 
 
-def test_silhouette_blocks_agree(spark):
-    pts = [(i, float(i % 7), float(i * i % 11), i % 3) for i in range(60)]
+def test_silhouette_is_that_of_all_pairs(spark):
+    pts = [(i, float(i % 7), float(i * i % 11), 9 if i == 59 else i % 3) for i in range(60)]
     df = spark.createDataFrame(pts, "id bigint, x double, y double, c int")
-    one = {r.id: round(r.silueta, 9) for r in S.silhouette_samples(df, "id", "c", ["x", "y"]).collect()}
-    many = {r.id: round(r.silueta, 9) for r in S.silhouette_samples(df, "id", "c", ["x", "y"], block=13).collect()}
-    assert one == many and len(one) == 60
+    got = {r.id: r.silueta for r in S.silhouette_samples(df, "id", "c", ["x", "y"]).collect()}
+    for i, x, y, c in pts:
+        of = {k: [(x - u) ** 2 + (y - v) ** 2 for j, u, v, d in pts if d == k and j != i] for k in (0, 1, 2, 9)}
+        a, b = of[c] and sum(of[c]) / len(of[c]), min(sum(d) / len(d) for k, d in of.items() if k != c)
+        assert got[i] == pytest.approx((b - a) / max(a, b) if of[c] else 0.0, abs=1e-9)
 
 
 def test_kmeans_cost_falls_with_k(spark):
@@ -191,3 +229,20 @@ def test_hot_file_and_hot_key_keep_every_row(spark):
     assert C.trim_footer(grid, "_ord", "_path", ["anio", "v"], "anio").count() == 5000
     heads = G.head_rows(grid.withColumn("cells", F.array("v")), 3)
     assert heads.count() == 3 * 8
+
+
+def test_wide_records_that_span_lines_keep_every_column(spark, tmp_path):
+    head = ",".join(f'"c{i}\nx, {i}"' if i % 50 == 0 else f"c{i}" for i in range(300))
+    (tmp_path / "a.csv").write_text(f"title\n{head}\n1,,3\n")
+    rows = [r.cells for r in raw_grid(spark, [str(tmp_path)]).orderBy("_ord").collect()]
+    assert [len([c for c in r if c]) for r in rows] == [1, 300, 2]
+    assert rows[1][250] == "c250\nx, 250" and rows[1][299] == "c299" and rows[2][:3] == ["1", "", "3"]
+
+
+def test_masters_are_read_by_their_own_headers(spark, tmp_path):
+    for name, text in {"1": "x,y\n1,2\n3,\n", "2": "y,x\n4,5\n", "3": 'x,z\n"a\nb",7\n', "4": "x,y\n8,9\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = scan_master(spark, str(tmp_path))
+    assert sorted(got.columns) == ["x", "y", "z"]
+    assert {(r.x, r.y, r.z) for r in got.collect()} == {("1", "2", ""), ("3", "", ""), ("5", "4", ""), ("a\nb", "", "7"), ("8", "9", "")}
+    assert {tuple(r) for r in scan_master(spark, str(tmp_path), ["y", "x"]).where("x = '5'").collect()} == {("4", "5")}
