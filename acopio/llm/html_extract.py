@@ -37,51 +37,61 @@ _MARKED = re.compile(r"""(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(
     social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|
     search|complementary|contentinfo)(?:$|[\s_\d-])""", re.X | re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:main|article(?:-?body)?|articleBody|post-?(?:body|content)|entry-?content)(?:$|[\s_-])", re.I)
+# class words that say what a wrapper has or has not, and an article's own header
+_STATE = re.compile(r"(?<![^\s])(?:has|have|with|without|no)[-_][^\s]*", re.I)
+_HEAD = re.compile(r"(?<![^\s])(?:article|post|entry|story)(?:[-_]+|(?=H))header(?![^\s])", re.I)
+_HOLDS = re.compile(r"</form\b|<(?:h1|main|article)\b", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 def _role(tag: str, attrs: str) -> int:
-    """1 for the page's article, -1 for what is beside it, 0 for neither."""
+    """1 for the page's article, -1 for what is beside it, -2 for what no article inside it lifts, 0 for neither."""
     found = 0
     if tag in _SIDE:
-        found = -1
+        found = -2
     elif tag in ("article", "main"):
         found = 1
     if attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                return -1
+                return -2
             if name in ("class", "id", "role", "itemprop") and value:
-                if _MARKED.search(value):
-                    return -1
-                if _MAIN.search(value):
+                plain = _HEAD.sub(" ", _STATE.sub(" ", value))
+                if _MARKED.search(plain):
+                    found = min(found, -1) if found < 0 else -1
+                elif _MAIN.search(plain) or _HEAD.search(value):
                     found = found or 1
     return found
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(role, text) of a page's blocks in order. A header inside the article belongs to it."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    """(role, text) of a page's blocks in order. A header inside the article belongs to it.
+
+    A form that holds a main heading or an article is the page's frame. A wrapper whose class alone puts it
+    beside the article gives up an ``<article>`` or ``<main>`` inside, unless the page has an article elsewhere
+    or more words outside of all that is marked.
+    """
+    out: list[tuple[int, int, str]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    role, at = 0, 0
+    role, lifted, at, frames = 0, 0, 0, True
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((role, text))
+            out.append((role, lifted, text))
         parts.clear()
 
     def close(names: tuple[str, ...], stop: frozenset) -> None:
-        nonlocal role
+        nonlocal role, lifted
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 flush()
                 del stack[i:]
-                role = stack[-1][1] if stack else 0
+                role, lifted = stack[-1][1:] if stack else (0, 0)
                 return
             if stack[i][0] in stop:
                 return
@@ -113,6 +123,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
             else:       # an inline element is on the stack only with a role of its own
                 close((tag,), _BLOCK)
             continue
+        if tag == "svg" and attrs.endswith("/"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -129,13 +141,23 @@ def blocks(page: str) -> list[tuple[int, str]]:
         own = _role(tag, attrs)
         if own < 0 and tag in ("header", "label") and role > 0 and not _MARKED.search(attrs.replace("=", " ").replace('"', " ")):
             own = 0
+        if tag == "form" and own < 0 and frames and not _role("div", attrs):
+            held = _HOLDS.search(page, at)
+            frames = held is not None     # none further on either
+            if held and held[0][1] != "/":
+                own = 0
         if tag in _BLOCK or own:
             if own and tag not in _BLOCK and own != role:
                 flush()
-            stack.append((tag, -1 if role < 0 else own or role))
-            role = stack[-1][1]
+            anew = 1 if tag in ("article", "main") and own > 0 and lifted == -1 else lifted if lifted < 0 else own or lifted
+            stack.append((tag, role if role < 0 else own or role, anew))
+            role, lifted = stack[-1][1:]
     flush()
-    return out
+    if all(r <= 0 for r, _, _ in out):
+        inside = sum(len(t.split()) for _, x, t in out if x > 0)
+        if inside > sum(len(t.split()) for r, _, t in out if r == 0):
+            return [(max(x, -1), t) for _, x, t in out]
+    return [(max(r, -1), t) for r, _, t in out]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from acopio.llm import near_dup
+from acopio.llm import html_extract, near_dup
 
 
 def sets_of(text, n=5):
@@ -58,3 +58,23 @@ def test_pipeline_stage_keeps_the_first_of_each_group(spark):
     want = {least for _, least in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
     near = corpus_pipeline.near_dedup(spark, docs, "")
     assert near.columns == docs.columns and sorted(r.doc_id for r in near.select("doc_id").collect()) == sorted(want)
+
+
+def text_of(page):
+    found = html_extract.blocks(page)
+    least = 1 if any(r > 0 for r, _ in found) else 0
+    return [t for r, t in found if r >= least]
+
+
+def test_wrappers_do_not_take_the_article_away():
+    body = "<article><h1>Head</h1><p>One two three</p></article>"
+    assert text_of(f"<form action=x><nav>n</nav>{body}<input></form>") == ["Head", "One two three"]
+    assert text_of("<body><form><div class=menu>m</div><h1>Head</h1><p>One</p></form></body>") == ["Head", "One"]
+    for wrapper in ("layout has-sidebar", "page sidebar", "banner"):
+        assert text_of(f"<div class='{wrapper}'>{body}<div class=ads>x</div></div>") == ["Head", "One two three"]
+    assert text_of("<article><div class='article-header'><h1>Head</h1></div><p>One</p></article>") == ["Head", "One"]
+    assert text_of("<p>a <svg class='x'/>b</p><p>c</p><svg><text>no</text></svg>d") == ["a b", "c", "d"]
+    # what stays beside: teasers next to an article or to more text, search forms, hidden parts
+    assert text_of(f"{body}<div class=related><article>Other</article></div>") == ["Head", "One two three"]
+    assert text_of("<p>plain text of the page</p><div class=related><article>Other</article></div>") == ["plain text of the page"]
+    assert text_of("<h1>Head</h1><form>search <input></form><div style='display:none'><article>no</article></div>") == ["Head"]
