@@ -2,9 +2,10 @@
 
 Each page becomes a list of text lines, one per block. Pages are put in order of host and path; a page is
 compared with that neighbour of its host whose path shares more leading parts. Their lines are aligned by
-longest common subsequence and shared lines go, being the site's and not the page's. What a page itself marks
-as its article is its text, whatever a neighbour repeats of it; what it marks as menu, header, footer, sidebar,
-notice, advert, form or comment never is.
+longest common subsequence and shared lines go, being the site's and not the page's; copies of a page are no
+neighbours of it. Of what a page itself marks as its article a shared line goes only if other pages of the host
+share it with their neighbours too; what it marks as menu, header, footer, sidebar, notice, advert, form or
+comment is never text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import number_rows
 from ..session import stage
 from .common import table
+from .graph import components
 from .registry import query
 from .url_filters import host_of, path_of
 
@@ -191,32 +193,52 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return flags
 
 
-_LINES = "struct<lines:array<struct<role:int,line:string>>,hashes:array<bigint>>"
+COPY = 0.9         # share of a page's words from which on a neighbour that has them is its copy
+SITE = 3           # least number of different pages whose articles have a line in common with a neighbour that is the site's
+_LINES = "struct<lines:array<struct<role:int,line:string>>,hashes:array<bigint>,sizes:array<int>,key:bigint>"
 
 
 def lines_of(page: Column) -> Column:
-    """struct(lines, hashes) of a page's blocks."""
+    """struct(lines, hashes, sizes, key): a page's blocks but those beside the article, a hash and the number of
+    words of each, and a hash of them all."""
     @F.arrow_udf(_LINES)
     def lines(pages: pa.Array) -> pa.Array:
-        found = [blocks(x.as_py() or "") for x in pages]
+        found = [[b for b in blocks(x.as_py() or "") if b[0] >= 0] for x in pages]
         rows = pa.array([[{"role": r, "line": t} for r, t in page] for page in found],
                         pa.list_(pa.struct([("role", pa.int32()), ("line", pa.string())])))
-        hashes = pa.array([[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in page] for page in found],
-                          pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([rows, hashes], ["lines", "hashes"])
+        each = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in page] for page in found]
+        whole = [xxhash.xxh3_64_intdigest(np.array([[r, h] for (r, _), h in zip(p, e)], dtype=np.int64).tobytes()) - (1 << 63)
+                 for p, e in zip(found, each)]
+        return pa.StructArray.from_arrays(
+            [rows, pa.array(each, pa.list_(pa.int64())), pa.array([[len(t.split()) for _, t in p] for p in found], pa.list_(pa.int32())),
+             pa.array(whole, pa.int64())], ["lines", "hashes", "sizes", "key"])
     return lines(page)
 
 
+def _array(x: pa.Scalar) -> np.ndarray:
+    return np.array(x.as_py() or [], dtype=np.int64)
+
+
 def difference(hashes: Column, other: Column) -> Column:
     """Per line of a page, whether ``other`` (a neighbour's hashes, null for none) shares it in order."""
     @F.arrow_udf("array<boolean>")
     def same(pages: pa.Array, others: pa.Array) -> pa.Array:
-        out = [shared(np.array(p.as_py() or [], dtype=np.int64), np.array(o.as_py() or [], dtype=np.int64)).tolist()
-               for p, o in zip(pages, others)]
-        return pa.array(out, pa.list_(pa.bool_()))
+        return pa.array([shared(_array(p), _array(o)).tolist() for p, o in zip(pages, others)], pa.list_(pa.bool_()))
     return same(hashes, other)
 
 
+def copies(hashes: Column, sizes: Column, other: Column, other_sizes: Column) -> Column:
+    """Whether two pages share, in order, nearly all words of the shorter one."""
+    @F.arrow_udf("boolean")
+    def near(p: pa.Array, m: pa.Array, q: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for a, x, b, y in zip(*(map(_array, c) for c in (p, m, q, n))):
+            least = COPY * min(x.sum(), y.sum())
+            out.append(bool(x[np.isin(a, b)].sum() >= least and x[shared(a, b)].sum() >= least))
+        return pa.array(out, pa.bool_())
+    return near(hashes, sizes, other, other_sizes)
+
+
 def _joined(lines: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n")
 
@@ -228,32 +250,71 @@ def _together(a: Column, b: Column) -> Column:
     return F.when(F.forall(same, lambda s: s), F.size(same)).otherwise(F.array_position(same, False) - 1)
 
 
+def _ordered(rows: DataFrame) -> DataFrame:
+    """(host, key, at, hashes, sizes, roles, path): each different page of a host once, numbered by host and path."""
+    found = rows.where("host <> '' AND size(hashes) > 0").select(
+        "host", "path", "url", "key", "hashes", "sizes", F.transform("lines", lambda x: x["role"]).alias("roles"))
+    first = F.min(F.struct("path", "url", "hashes", "sizes", "roles")).alias("p")
+    once = found.groupBy("host", "key").agg(first).select("host", "key", "p.*")
+    return stage(number_rows(once, ["host", "path", "url", "key"], "at"), "ordered")
+
+
+def _runs(placed: DataFrame) -> DataFrame:
+    """(at, first, last): the places of the copies of one page that stand together, for pages that have some."""
+    after = placed.select((F.col("at") - 1).alias("at"), F.col("host").alias("nh"), F.col("hashes").alias("nl"), F.col("sizes").alias("ns"))
+    near = placed.join(after, "at").where("host = nh").withColumn("near", copies(F.col("hashes"), F.col("sizes"), F.col("nl"), F.col("ns")))
+    edges = stage(near.where("near").select(F.col("at").alias("a"), (F.col("at") + 1).alias("b")), "copies")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("at"), F.col("a").alias("first"), F.col("b").alias("last"))
+    parts = stage(components(edges), "copy-runs")
+    ends = parts.groupBy("root").agg(F.max("node").alias("last"))
+    return parts.join(ends, "root").select(F.col("node").alias("at"), F.col("root").alias("first"), "last")
+
+
+def _differenced(placed: DataFrame) -> DataFrame:
+    """(host, key, hashes, roles, first, same): the lines that the nearest page shares that is no copy."""
+    runs = placed.join(_runs(placed), "at", "left").withColumns(
+        {"first": F.coalesce("first", "at"), "last": F.coalesce("last", "at")})
+    near = placed.select("host", "path", "hashes", "at")
+    before = near.select((F.col("at") + 1).alias("first"), F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("hashes").alias("bl"))
+    after = near.select((F.col("at") - 1).alias("last"), F.col("host").alias("ah"), F.col("path").alias("ap"), F.col("hashes").alias("al"))
+    both = runs.join(before, "first", "left").join(after, "last", "left")
+    nb = F.when(F.col("bh") == F.col("host"), _together(F.col("path"), F.col("bp"))).otherwise(-1)
+    na = F.when(F.col("ah") == F.col("host"), _together(F.col("path"), F.col("ap"))).otherwise(-1)
+    other = F.when((nb < 0) & (na < 0), None).when(nb >= na, F.col("bl")).otherwise(F.col("al"))
+    return stage(both.select("host", "key", "hashes", "roles", "first", difference(F.col("hashes"), other).alias("same")), "differenced")
+
+
+def _site_lines(pages: DataFrame) -> DataFrame:
+    """(host, key, site): the hashes of a page's article lines that are the site's. A neighbour shares them, and so
+    it is with at least ``SITE`` pages of the host, copies together counting once."""
+    lines = F.filter(F.arrays_zip("hashes", "roles", "same"), lambda x: (x["roles"] > 0) & x["same"])
+    each = pages.select("host", "key", "first", F.explode(F.array_distinct(F.transform(lines, lambda x: x["hashes"]))).alias("line"))
+    each = stage(each, "shared-lines")
+    site = (each.select("host", "line", "first").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= SITE).select("host", "line"))
+    return each.join(site, ["host", "line"]).groupBy("host", "key").agg(F.collect_set("line").alias("site"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html; the rest stays out).
 
     Null html is an empty page with empty text. Pages whose url is null or has no host have no neighbour and
-    lose nothing to one. Repeated rows are pages of their own; a neighbour with the same lines takes nothing
-    from what the page marks as its article.
+    lose nothing to one. Repeated rows are pages of their own with one text. A copy is no neighbour: a page is
+    compared with the nearest one that has less than nine tenths of its words.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                        lines_of(F.col("html")).alias("l")).select("page_id", "url", "host", "path", "l.lines", "l.hashes")
-    rows = stage(rows.withColumns({"row": F.monotonically_increasing_id(),
-                                   "marked": F.exists("lines", lambda x: x["role"] > 0)}), "pages")
-    # the order of the pages takes their hashes along, not their lines
-    placed = number_rows(rows.select("row", "host", "path", "url", "page_id", "marked", "hashes"),
-                         ["host", "path", "url", "page_id", "hashes"], "at")
-    near = placed.where("host <> ''").select("host", "path", "hashes", "at")
-    before = near.select((F.col("at") + 1).alias("at"), F.col("host").alias("bh"), F.col("path").alias("bp"), F.col("hashes").alias("bl"))
-    after = near.select((F.col("at") - 1).alias("at"), F.col("host").alias("ah"), F.col("path").alias("ap"), F.col("hashes").alias("al"))
-    both = placed.where("NOT marked").join(before, "at", "left").join(after, "at", "left")
-    nb = F.when(F.col("bh") == F.col("host"), _together(F.col("path"), F.col("bp"))).otherwise(-1)
-    na = F.when(F.col("ah") == F.col("host"), _together(F.col("path"), F.col("ap"))).otherwise(-1)
-    other = F.when((nb < 0) & (na < 0), None).when(nb >= na, F.col("bl")).otherwise(F.col("al"))
-    same = both.select("row", difference(F.col("hashes"), other).alias("same"))
-    own = rows.where("marked").select("page_id", "url", _joined(F.filter("lines", lambda x: x["role"] > 0)).alias("text"))
-    rest = rows.where("NOT marked").join(same, "row").select("page_id", "url", _joined(F.filter(
-        "lines", lambda x, i: (x["role"] == 0) & ~F.get("same", i))).alias("text"))
-    return own.unionByName(rest)
+                        lines_of(F.col("html")).alias("l")).select("page_id", "url", "host", "path", "l.*")
+    rows = stage(rows, "pages")
+    found = _differenced(_ordered(rows))
+    taken = found.select("host", "key", "same").join(_site_lines(found), ["host", "key"], "left")
+    marked = F.exists("lines", lambda x: x["role"] > 0)
+    none = F.array().cast("array<bigint>")
+    gone = lambda i: F.coalesce(F.get("same", i), F.lit(False))
+    own = F.filter("lines", lambda x, i: (x["role"] > 0) & ~(gone(i) & F.array_contains(F.coalesce("site", none), F.get("hashes", i))))
+    rest = F.filter("lines", lambda x, i: ~gone(i))
+    return rows.join(taken, ["host", "key"], "left").select(
+        "page_id", "url", F.when(marked, _joined(own)).otherwise(_joined(rest)).alias("text"))
 
 
 @query("op5_html")

@@ -78,3 +78,32 @@ def test_wrappers_do_not_take_the_article_away():
     assert text_of(f"{body}<div class=related><article>Other</article></div>") == ["Head", "One two three"]
     assert text_of("<p>plain text of the page</p><div class=related><article>Other</article></div>") == ["plain text of the page"]
     assert text_of("<h1>Head</h1><form>search <input></form><div style='display:none'><article>no</article></div>") == ["Head"]
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id bigint, url string, html string")
+    return [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def prose(name, n=12):
+    return "".join(f"<p>{name} line {i} tells {name}{i} about {i}{name}.</p>" for i in range(n))
+
+
+def test_copied_pages_keep_their_article(spark):
+    top, end = "<div>Welcome to our site</div>", "<div>All about us</div>"
+    page = lambda body: top + body + end
+    rows = [("http://a.b/news/1?q=%d" % k, page(prose("x"))) for k in range(3)] + [("http://a.b/news/1b", page(prose("x") + "<p>Printed today.</p>"))]
+    rows += [("http://a.b/news/2", page(prose("y"))), ("http://c.d/1", page(prose("z"))), ("http://c.d/2", page(prose("z")))]
+    got = extracted(spark, rows)
+    assert all("Welcome" not in t and len(t.split("\n\n")) == 12 for t in got[:3]) and "Printed today." in got[3] and "x line 11" in got[3]
+    assert "y line 0" in got[4] and "Welcome" not in got[4]
+    assert "z line 3" in got[5] and got[5] == got[6]
+
+
+def test_what_stands_in_every_article_of_a_host_is_the_sites(spark):
+    notice = "<p>Order our letter for ten a year.</p>"
+    rows = [(f"http://a.b/{k}", f"<article>{notice}{prose('abcdef'[k])}{'<p>A quote of two.</p>' if k < 2 else ''}</article>") for k in range(6)]
+    rows += [("http://c.d/1", f"<article>{notice}{prose('k')}</article>"), ("http://c.d/2", f"<article>{notice}{prose('m')}</article>")]
+    got = extracted(spark, rows)
+    assert all("letter" not in t and "line 11" in t for t in got[:6]) and "A quote of two." in got[0] and "A quote of two." in got[1]
+    assert all("letter" in t for t in got[6:])      # two pages are no sign of a site
