@@ -194,7 +194,7 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 COPY = 0.9         # share of a page's words from which on a neighbour that has them is its copy
-SITE = 3           # least number of different pages whose articles have a line in common with a neighbour that is the site's
+SITE, SHARE = 3, 0.5   # least number, and share of a host's pages, whose articles hold a line that is the site's
 _LINES = "struct<lines:array<struct<role:int,line:string>>,hashes:array<bigint>,sizes:array<int>,key:bigint>"
 
 
@@ -287,12 +287,14 @@ def _differenced(placed: DataFrame) -> DataFrame:
 
 def _site_lines(pages: DataFrame) -> DataFrame:
     """(host, key, site): the hashes of a page's article lines that are the site's. A neighbour shares them, and so
-    it is with at least ``SITE`` pages of the host, copies together counting once."""
+    it is with at least ``SITE`` pages and half the pages of the host, copies together counting once."""
     lines = F.filter(F.arrays_zip("hashes", "roles", "same"), lambda x: (x["roles"] > 0) & x["same"])
     each = pages.select("host", "key", "first", F.explode(F.array_distinct(F.transform(lines, lambda x: x["hashes"]))).alias("line"))
     each = stage(each, "shared-lines")
     site = (each.select("host", "line", "first").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= SITE).select("host", "line"))
+            .where(F.col("n") >= SITE))
+    of = pages.select("host", "first").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    site = site.join(of, "host").where(F.col("n") >= SHARE * F.col("of")).select("host", "line")
     return each.join(site, ["host", "line"]).groupBy("host", "key").agg(F.collect_set("line").alias("site"))
 
 
