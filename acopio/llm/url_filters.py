@@ -1,8 +1,8 @@
 """URL filters: given prefix rules first, then association rules mined from labelled URLs.
 
-Mining: a labelled URL is a basket of its tokens and its label; Spark's FP-growth finds the frequent
-token combinations, rules ``tokens -> block`` are kept by support and confidence, and a rule that a
-part of it already states at least as confidently is pruned. Matching: each rule is posted under its
+Mining: a labelled URL is a basket of its tokens and its label; frequent token combinations are grown
+level by level, rules ``tokens -> block`` are kept by support and confidence, and a rule that a part of
+it already states at least as confidently is pruned. Matching: each rule is posted under its
 rarest token only; a URL looks up its tokens in that index and keeps the rules all of whose tokens
 it has. No Python runs on the executors.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +18,6 @@ from ..session import stage
 from .common import ascii_lower, table
 from .registry import query
 
-BLOCK = "label:block"
-
 #: (host, path, verdict). Fixed values of the query's contract.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -28,13 +25,11 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 @dataclass(frozen=True)
 class Mining:
-    """Production parameters: least share and number of labelled URLs that bear a rule out, its least
-    share of blocked ones, and its longest combination (three at most)."""
+    """Production parameters: least number of labelled URLs that bear a rule out, at every size of the table,
+    and its least share of blocked ones."""
 
-    min_support: float = 0.005
     min_count: int = 10
     min_confidence: float = 0.6
-    max_tokens: int = 3
 
 
 def host_of(url: Column) -> Column:
@@ -70,37 +65,45 @@ def judge_by_rules(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES)
             .withColumn("rule_verdict", F.col("_best.verdict")).drop("_best"))
 
 
-def _no_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "tokens array<string>, support bigint, confidence double, rule_id string")
-
-
 def mine_rules(baskets: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """(rule_id, tokens, support, confidence) from ``baskets`` (tokens array, blocked boolean).
+    """(rule_id, tokens, support, confidence) from ``baskets`` (tokens array, sorted; blocked boolean).
 
-    Support counts baskets that hold the tokens and are blocked. Fewer baskets than ``min_count`` give no rules.
+    Support counts baskets that hold the tokens and are blocked. Combinations grow by one token a round, to
+    any length. One goes on only while each of its tokens narrows it down and some of its baskets are not
+    blocked: beyond that no longer one could be more confident than its part, and it would be pruned.
     """
-    items = baskets.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK))))
-                           .otherwise(F.col("tokens")).alias("items"))
-    support = max(mining.min_support, mining.min_count / max(1, items.count()))
-    if support > 1:
-        return _no_rules(baskets.sparkSession)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(items)
-    small = model.freqItemsets.where(F.size("items") <= mining.max_tokens + 1)
-    sets = stage(small.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    body = F.array_remove("items", BLOCK).alias("tokens")
-    heads = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(body, F.col("freq").alias("support"))
-    whole = sets.where(~F.array_contains("items", BLOCK)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
-    rules = (heads.join(whole, "tokens").withColumn("confidence", F.col("support") / F.col("n"))
-             .where(F.col("confidence") >= mining.min_confidence))
-    rules = stage(rules.select("tokens", "support", "confidence", F.array_join("tokens", "\x01").alias("rule_id")), "rules")
-    # the proper parts of a rule: with at most three tokens, what is left without one or two of them
-    less = F.explode(F.flatten(F.array(
-        F.transform("tokens", lambda t: F.array_remove("tokens", t)),
-        F.transform("tokens", lambda t: F.array(t))))).alias("part")
-    parts = rules.select("rule_id", "confidence", less).where(F.size("part") > 0).where(F.array_join("part", "\x01") != F.col("rule_id"))
-    said = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("said"))
-    pruned = parts.join(said, "part").where("said >= confidence").select("rule_id").distinct()
-    return rules.join(pruned, "rule_id", "left_anti")
+    rows = baskets.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("bigint")).alias("b"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "token-sets")
+    held = rows.select("row", "n", "b", F.explode("tokens").alias("token")).select(
+        "row", "n", "b", F.array("token").alias("tokens"))
+    ones = rules = live = None
+    while True:
+        sets = held.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= mining.min_count)
+        sets = sets.withColumn("confidence", F.col("b") / F.col("n"))
+        if live is None:
+            sets = sets.withColumn("below", F.lit(0.0))
+        else:
+            part = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
+            known = live.select(F.col("tokens").alias("part"), F.col("n").alias("pn"), F.greatest("confidence", "below").alias("said"))
+            of = sets.select("tokens", "n", "b", "confidence", part).join(known, "part").where("pn > n")
+            sets = (of.groupBy("tokens", "n", "b", "confidence").agg(F.max("said").alias("below"), F.count(F.lit(1)).alias("parts"))
+                    .where(F.col("parts") == F.size("tokens")).drop("parts"))
+        sets = stage(sets, "itemsets")
+        found = sets.where((F.col("confidence") >= mining.min_confidence) & (F.col("confidence") > F.col("below")))
+        rules = found if rules is None else rules.unionByName(found)
+        live = sets.where("confidence < 1")
+        if live.isEmpty():
+            break
+        held = held.join(live.select("tokens"), "tokens", "left_semi")
+        if ones is None:
+            held = ones = stage(held, "held")
+        else:
+            held = stage(held, "held")
+        more = ones.select("row", F.col("tokens")[0].alias("token"))
+        held = held.join(more, "row").where(F.col("token") > F.element_at("tokens", -1)).select(
+            "row", "n", "b", F.concat("tokens", F.array("token")).alias("tokens"))
+    return stage(rules.select("tokens", F.col("b").alias("support"), "confidence",
+                              F.array_join("tokens", "\x01").alias("rule_id")), "rules")
 
 
 def post_rules(rules: DataFrame, baskets: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 from collections import defaultdict
+from itertools import combinations
 
 import corpus_pipeline
-from acopio.llm import html_extract, near_dup
+from acopio.llm import html_extract, near_dup, url_filters
 
 
 def sets_of(text, n=5):
@@ -107,3 +109,29 @@ def test_what_stands_in_every_article_of_a_host_is_the_sites(spark):
     got = extracted(spark, rows)
     assert all("letter" not in t and "line 11" in t for t in got[:6]) and "A quote of two." in got[0] and "A quote of two." in got[1]
     assert all("letter" in t for t in got[6:])      # two pages are no sign of a site
+
+
+def test_ten_blocked_urls_bear_a_rule_out_in_a_large_table_too(spark):
+    rows = [(i, f"http://{'bad.org' if i < 12 else 'good%d.org' % (i % 50)}/p{i % 9}/{i}") for i in range(6000)]
+    labels = spark.createDataFrame([(i, int(i >= 10), 0) for i in range(6000) if i not in (10, 11)], "doc_id bigint, quality int, toxic int")
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id bigint, url string"), labels)
+    assert [r.page_id for r in got.where("verdict = 'block'").orderBy("page_id").collect()] == list(range(12))
+
+
+def test_rules_of_any_length_as_brute_force(spark):
+    rng = random.Random(8)
+    baskets = []
+    for _ in range(1200):
+        tokens = sorted(x for x in "abcdef" if rng.random() < .6)
+        if tokens:
+            baskets.append((tokens + ["x", "y"], set("abcd") <= set(tokens) or rng.random() < .3))
+    count, hit = defaultdict(int), defaultdict(int)
+    for tokens, blocked in baskets:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(tokens, k):
+                count[c] += 1
+                hit[c] += blocked
+    conf = {c: hit[c] / count[c] for c in count if hit[c] >= 10}
+    want = {c: hit[c] for c, v in conf.items() if v >= .6 and not any(conf[p] >= v for k in range(1, len(c)) for p in combinations(c, k))}
+    got = url_filters.mine_rules(spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")).collect()
+    assert {tuple(r.tokens): r.support for r in got} == want and ("a", "b", "c", "d") in want
