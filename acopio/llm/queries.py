@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import (bpe, exact_search, fill_middle, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts,  # noqa: F401
+from . import (bpe, conversation_trie, doc_sketch, exact_search, fill_middle, html_extract, line_dedup, mixing, pii, quality, simhash, token_counts,  # noqa: F401
                url_filters)
 from .registry import ORACLE, QUERIES, query
 

@@ -42,7 +42,7 @@ def low(text):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n != "pipeline"))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
@@ -316,7 +316,7 @@ def test_queries_match_their_sql(spark):
 
     from tools.check import rows_of
     con, base = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
     for name, sql in ORACLE.items():
         df, res = QUERIES[name](spark, base), con.execute(sql)
