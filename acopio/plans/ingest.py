@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,8 @@ from ..operators.joins import attach
 from ..operators.matching import mapping_arrays, match_columns, match_scores
 from ..session import pin, stage
 from ..sources.files import file_name, folder_category
+from . import snapshots
+from .snapshots import KEYS
 
 FILE = ["_path"]
 
@@ -151,71 +152,74 @@ def assign_year(df: DataFrame, years: DataFrame, column: str, by: str = "_path")
 # --- masters on disk ------------------------------------------------------------------------------------------
 
 def upsert_by_year(rows: DataFrame, root: str, on_duplicate: str = "replace") -> None:
-    """Write rows (tipo, anio, ...) into a parquet master; years they bring replace the stored ones.
+    """Write rows (tipo, anio, ...) into a master; years they bring replace the stored ones.
 
-    Partition overwrite touches only those years, and writing the same rows again changes nothing.
+    Readers see all of it at once or nothing (``snapshots``), and writing the same rows again changes nothing.
     ``on_duplicate='skip'`` leaves years that are already stored alone.
     """
-    if on_duplicate == "skip":
-        have = stored_years(rows.sparkSession, root)
-        if have is not None:
-            rows = attach(rows, have, ["tipo", "anio"], "left_anti")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("tipo", "anio").parquet(root))
+    spark = rows.sparkSession
+    if on_duplicate != "skip":
+        snapshots.commit(spark, root, snapshots.put_all(snapshots.write(rows, root)))
+        return
+    have = stored_years(spark, root)
+    if have is not None:
+        rows = attach(rows, have, KEYS, "left_anti")
+    written = snapshots.write(rows, root)
+
+    def decide(state: snapshots.State) -> list[dict]:
+        new = [written.put(k) for k in written.folders if k not in state.held]
+        return [written.declared(), *new] if new else []
+    snapshots.commit(spark, root, decide)
 
 
 def stored_years(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(root).select("tipo", "anio").distinct()
-    except AnalysisException:
-        return None
-
-
-def read_master(spark: SparkSession, root: str, category: str | None = None, year: int | None = None) -> DataFrame:
-    """Partition columns prune the scan."""
-    df = spark.read.parquet(root)
-    if category is not None:
-        df = df.where(F.col("tipo") == category)
-    if year is not None:
-        df = df.where(F.col("anio") == year)
-    return df
-
-
-def rewrite_master(df: DataFrame, root: str, category: str) -> DataFrame:
-    """Replace one category's contents that were derived from the master itself: staged first, then swapped
-    in; a year of which nothing is left goes."""
-    staged = stage(df, "rewrite")
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("tipo", "anio").parquet(root))
-    years = staged.select("anio").distinct()
-    emptied = read_master(df.sparkSession, root, category).select("anio").distinct().join(years, "anio", "left_anti")
-    for r in emptied.toLocalIterator():    # calendar years
-        delete_stored(df.sparkSession, root, category, r["anio"])
-    return staged
+    """(tipo, anio) of what a master holds, from its log alone; None when it holds nothing."""
+    state = snapshots.current(spark, root)
+    return snapshots.stored(spark, state) if state.held else None
+
+
+def read_master(spark: SparkSession, root: str, category: str | None = None, year: int | None = None,
+                state: snapshots.State | None = None) -> DataFrame:
+    """The rows of a master as last published (or as of ``state``); only folders of the asked categories and years
+    are opened."""
+    state = state or snapshots.current(spark, root)
+    if not state.schemas:
+        raise FileNotFoundError(f"no master at {root}")
+    keys = [k for k in state.held if category in (None, k[0]) and year in (None, k[1])]
+    return snapshots.read(spark, root, state, keys)
+
+
+def rewrite_master(df: DataFrame, root: str, category: str, base: snapshots.State | None = None) -> DataFrame:
+    """Replace one category's contents by what was derived from the master itself; a year of which nothing is left
+    goes. One commit publishes all of it, and it is refused (``snapshots.Conflict``) if the category is not any more
+    what it was at ``base``, the state that ``df`` was read from."""
+    spark = df.sparkSession
+    base = base or snapshots.current(spark, root)
+    written = snapshots.write(df, root)
+    snapshots.commit(spark, root, snapshots.rewritten(written, category, base))
+    return read_master(spark, root, category)
 
 
 def delete_stored(spark: SparkSession, root: str, category: str, year: int | None = None) -> int:
-    """Delete one year of a category, or the category, from a stored master; the number of folders deleted.
+    """Delete one year of a category, or the category, from a stored master; the number of years deleted.
 
-    A master has one folder per category and year, so only those are named to the driver. What is not stored
-    deletes nothing.
+    The log says so; ``snapshots.vacuum`` removes the files. What is not stored deletes nothing.
     """
-    if stored_years(spark, root) is None:
-        return 0
-    folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)
-    folders = [r[0] for r in read_master(spark, root, category, year).select(folder).distinct().collect()]
-    hadoop, net = spark._jvm.org.apache.hadoop.fs, spark._jvm.java.net
-    for name in folders:
-        path = hadoop.Path(net.URI(name))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(folders)
+    gone: list[dict] = []
+
+    def decide(state: snapshots.State) -> list[dict]:
+        gone[:] = snapshots.drop(lambda k: k[0] == category and year in (None, k[1]))(state)
+        return list(gone)
+    snapshots.commit(spark, root, decide)
+    return len(gone)
 
 
 def clean_master(spark: SparkSession, root: str, category: str, out: str | None = None,
                  institutions: list[str] | None = None) -> DataFrame:
     """Base cleaning of one category's master, in place or to another folder."""
     keep = K.CANONICAL_HEADERS.get(category)
-    df = read_master(spark, root, category)
+    base = snapshots.current(spark, root)
+    df = read_master(spark, root, category, state=base)
     data = [c for c in (keep or df.columns) if c in df.columns and c not in ("tipo", "anio")]
     tech = [c for c in df.columns if c.startswith("_")]
     df = df.select(F.col("tipo").alias("_tipo"), F.col("anio").alias("_anio"), *tech, *[f"`{c}`" for c in data])
@@ -223,7 +227,7 @@ def clean_master(spark: SparkSession, root: str, category: str, out: str | None
     if out is None:
         # masters stay text, so that every category keeps one schema across years
         texts = [F.col(f"`{c}`").cast("string").alias(c) if c in data else F.col(f"`{c}`") for c in clean.columns]
-        return rewrite_master(clean.select(*texts), root, category)
+        return rewrite_master(clean.select(*texts), root, category, base)
     upsert_by_year(clean, out)
     return read_master(spark, out, category)
 

@@ -210,21 +210,25 @@ def stream_new_files(spark, sf_dir):
 
 @query("stream_counts", "SELECT event_type, CAST(ts AS DATE) AS dia, count(*) AS registros FROM events GROUP BY 1, 2")
 def stream_counts(spark, sf_dir):
+    """Two files a batch; every batch writes only the keys it changed."""
     path, schema = _event_files(spark, sf_dir)
     table = new_path(spark, "counts")
-    R.stream_counts(R.file_stream(spark, path, schema), [F.col("event_type"), F.to_date("ts").alias("dia")], new_path(spark, "ck"), table)
-    return spark.read.parquet(table)
+    stream = R.file_stream(spark, path, schema, max_files=2)
+    R.stream_counts(stream, [F.col("event_type"), F.to_date("ts").alias("dia")], new_path(spark, "ck"), table)
+    return R.read_counts(spark, table)
 
 
 @query("stream_upsert", "SELECT 'eventos' AS tipo, month(ts) AS anio, count(*) AS n FROM events GROUP BY 2")
 def stream_upsert(spark, sf_dir):
-    """Arriving deliveries of several part files replace their years: a first one, then a corrected one of everything."""
+    """Deliveries of several part files, one file a batch: a first one, a corrected one of everything of which a part
+    comes late, and an older one that comes last and does not win."""
     events = B.tables(spark, sf_dir, ["events"])["events"].select("event_id", "ts", "event_type")
     path, root, ledger = new_path(spark, "in"), new_path(spark, "upsert"), new_path(spark, "ledger")
     sink = R.upsert_sink(root, F.lit("eventos"), F.month("ts"))
-    for n, part in enumerate((events.where("event_type = 'view'"), events)):
-        part.repartition("event_id").write.parquet(f"{path}/entrega-{n}")
-        R.run_available(R.file_stream(spark, f"{path}/*", events.schema), sink, ledger)
+    late = F.col("event_id") % 3 == 0
+    for delivery, part in ((1, events.where("event_type = 'view'")), (2, events.where(~late)), (2, events.where(late)), (0, events)):
+        part.repartition(2).write.mode("append").parquet(f"{path}/entrega-{delivery}")
+        R.run_available(R.file_stream(spark, f"{path}/*", events.schema, max_files=1), sink, ledger)
     out = I.read_master(spark, root)
     return out.groupBy("tipo", F.col("anio").cast("bigint").alias("anio")).agg(F.count(F.lit(1)).alias("n"))
 
