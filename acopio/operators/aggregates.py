@@ -101,45 +101,67 @@ def top_values(df: DataFrame, columns: list[str], order: str, k: int, rank: str
     return top_n(counts, ["columna"], [F.desc("frecuencia"), F.asc("primera"), F.asc("valor")], k, rank)
 
 
+SPLITS = 1024     # parts that an interval of values is cut into per pass, ten bits
+
+
+def _binade(v: Column) -> Column:
+    """Which power of two a double is of, in the order of the doubles; NaN is the largest."""
+    of = lambda x: 2000 + F.floor(F.log2(x)).cast("int")
+    inf = F.lit(float("inf"))
+    return (F.when(F.isnan(v), 5000).when(v == inf, 4000).when(v == -inf, -4000).when(v > 0, of(v))
+            .when(v < 0, -of(-v)).otherwise(0))
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: (columna, prob, valor).
 
-    Values are counted first; per column, cut points from approximate quantiles split them into
-    ranges, cumulative range sizes tell which ranges hold the wanted ranks, and only those ranges
-    are ordered. No task receives a whole column.
+    Radix selection: the values are counted by their power of two, then, inside the intervals that hold a wanted
+    rank, by ten more bits a pass, until each interval is one value. A pass reads the columns and brings back a
+    bounded number of counts; values are neither ordered nor stored.
     """
-    nums = df.select(*[_c(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "columna", "v")
-    counted = pin(nums.where("v IS NOT NULL").groupBy("columna", "v").agg(F.count(F.lit(1)).alias("n")))
-    cut_probs = [i / 64 for i in range(1, 64)]
-    # one row per column of the schema
-    cuts = counted.groupBy("columna").agg(F.percentile_approx("v", cut_probs, 10_000).alias("cuts"),
-                                          F.sum("n").alias("total"))
-    ranged = counted.join(F.broadcast(cuts), "columna").select(
-        "columna", "v", "n", "total",
-        F.size(F.filter("cuts", lambda b: b < F.col("v"))).alias("range"))
-    ranged = pin(ranged)
-    sizes = ranged.groupBy("columna", "range", "total").agg(F.sum("n").alias("size"))
-    upto = Window.partitionBy("columna").orderBy("range")  # at most 64 rows per column
-    sizes = sizes.withColumn("last", F.sum("size").over(upto)).withColumn("base", F.col("last") - F.col("size"))
-    asked = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    ranks = sizes.select("columna", "range", "base", "last", "total", asked.alias("prob"))
-    at = F.col("prob") * (F.col("total") - 1)
-    ranks = ranks.withColumn("lo", F.floor(at)).withColumn("hi", F.ceil(at)).withColumn("part", at - F.floor(at))
-    need = ranks.select("columna", "range", "base", "last", "prob", "part",
-                        F.explode(F.array(F.struct(F.col("lo").alias("r"), (1 - F.col("part")).alias("w")),
-                                          F.struct(F.col("hi").alias("r"), F.col("part").alias("w")))).alias("x"))
-    need = need.where("x.r >= base AND x.r < last")
-    wanted = need.select("columna", "range", "base").distinct()
-    within = Window.partitionBy("columna", "range").orderBy("v")
-    placed = (ranged.join(F.broadcast(wanted), ["columna", "range"])
-              .withColumn("end", F.col("base") + F.sum("n").over(within))
-              .withColumn("begin", F.col("end") - F.col("n")))
-    hit = placed.alias("p").join(
-        F.broadcast(need.select("columna", "range", "prob", "x")).alias("q"),
-        (F.col("p.columna") == F.col("q.columna")) & (F.col("p.range") == F.col("q.range"))
-        & (F.col("x.r") >= F.col("begin")) & (F.col("x.r") < F.col("end")))
-    return hit.groupBy(F.col("p.columna").alias("columna"), "prob").agg(
-        F.sum(F.col("v") * F.col("x.w")).alias("valor"))
+    nums = df.select(*[_c(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "columna", "v").where("v IS NOT NULL")
+    counts = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    spark, keys = df.sparkSession, "columna string, low double, high double"
+    # per column at most one row for each power of two
+    cells = nums.groupBy("columna", _binade(F.col("v")).alias("at")).agg(*counts).collect()
+    by_column: dict[str, list] = {}
+    for r in sorted(cells, key=lambda r: (r["columna"], r["at"])):
+        by_column.setdefault(r["columna"], []).append(r)
+    wanted, found, open_ = [], {}, {}
+    for c, parts in by_column.items():
+        total = sum(r["n"] for r in parts)
+        for p in probs:
+            at = float(p) * (total - 1)
+            wanted.append((c, float(p), int(at), -int(-at // 1), at - int(at)))
+        for rank in {x for w in wanted if w[0] == c for x in w[2:4]}:
+            open_[(c, rank)] = (parts, 0)
+    while open_:
+        spans: dict[tuple, list] = {}
+        for (c, rank), (parts, base) in open_.items():
+            for r in parts:
+                if rank < base + r["n"]:
+                    break
+                base += r["n"]
+            if r["lo"] == r["hi"] or r["lo"] != r["lo"]:
+                found[(c, rank)] = r["lo"]
+            else:
+                spans.setdefault((c, r["lo"], r["hi"]), []).append((rank, base))
+        open_ = {}
+        if not spans:
+            break
+        # at most two intervals for each wanted quantile
+        table = F.broadcast(spark.createDataFrame(list(spans), keys))
+        inside = nums.join(table.withColumnRenamed("columna", "_c"), (F.col("columna") == F.col("_c")) & F.col("v").between(F.col("low"), F.col("high")))
+        part = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (SPLITS - 1)).cast("int").alias("at")
+        cut: dict[tuple, list] = {}
+        for r in inside.groupBy("columna", "low", "high", part).agg(*counts).collect():
+            cut.setdefault((r["columna"], r["low"], r["high"]), []).append(r)
+        for key, ranks in spans.items():
+            parts = sorted(cut[key], key=lambda r: r["at"])
+            for rank, base in ranks:
+                open_[(key[0], rank)] = (parts, base)
+    rows = [(c, p, found[(c, lo)] if lo == hi else found[(c, lo)] * (1 - part) + found[(c, hi)] * part) for c, p, lo, hi, part in wanted]
+    return spark.createDataFrame(rows, "columna string, prob double, valor double")
 
 
 def describe(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.similarity import sex_of_key
 from ..functions.text import (is_null_token, looks_numeric, match_key, normalize_text, nullified,
                               to_int_or_zero, trimmed)
 from ..functions.years import is_year_cell
+from .counts import Counts
 from .joins import attach
 
 
@@ -52,16 +53,24 @@ def year_column(columns: list[str]) -> str | None:
 
 # --- null tokens ----------------------------------------------------------------------------------
 
-def nullify_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def nullify_tokens(df: DataFrame, columns: list[str] | None = None, counts: Counts | None = None) -> DataFrame:
+    """``counts`` gets the blank cells as ``n_vacias`` and those that say there is no information as ``n_sin_info``."""
     cols = columns or text_columns(df)
+    if counts is not None:
+        blank, empty = _cell_counts(cols)
+        df = counts.watch_sums(df.withColumns({"_b": blank, "_e": empty}), n_vacias=F.col("_b"), n_sin_info=F.col("_e") - F.col("_b")).drop("_b", "_e")
     return df.withColumns({c: nullified(_c(c)) for c in cols})
 
 
-def nullify_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: blank cells, and cells that say there is no information."""
-    cols = columns or text_columns(df)
+def _cell_counts(cols: list[str]) -> tuple[Column, Column]:
     blank = sum((F.coalesce(trimmed(_c(c)) == "", F.lit(False)).cast("bigint") for c in cols), F.lit(0))
     empty = sum((is_null_token(_c(c)).cast("bigint") for c in cols), F.lit(0))
+    return blank, empty
+
+
+def nullify_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row: blank cells, and cells that say there is no information."""
+    blank, empty = _cell_counts(columns or text_columns(df))
     per_row = df.select(blank.alias("b"), empty.alias("e"))
     return per_row.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n_vacias"),
                        F.coalesce(F.sum(F.col("e") - F.col("b")), F.lit(0)).alias("n_sin_info"))
@@ -103,20 +112,24 @@ def with_footer_flag(df: DataFrame, columns: list[str] | None = None, year: str
 
 
 def trim_footer(df: DataFrame, order: str, file: str | None = None,
-                columns: list[str] | None = None, year: str | None = None) -> DataFrame:
+                columns: list[str] | None = None, year: str | None = None, counts: Counts | None = None) -> DataFrame:
     """Drop the run of footer rows at the end of each file.
 
     Per file one number, the last row that is not a footer, decides; a file is never brought
-    together in one task.
+    together in one task. ``counts`` gets the rows dropped as ``recortadas``.
     """
     flagged = with_footer_flag(df, columns, year)
     keep = [_c(c) for c in df.columns]
     last = F.max(F.when(~F.col("_footer"), _c(order))).alias("_last")
     if file is None:
         bound = flagged.agg(last).first()["_last"]
-        return df.where(_c(order) <= F.lit(bound)) if bound is not None else df.limit(0)
-    ends = flagged.groupBy(file).agg(last).where("_last IS NOT NULL")
-    return attach(df, ends, [file], "inner").where(_c(order) <= F.col("_last")).select(*keep)
+        rows = df.withColumn("_last", F.lit(None).cast("bigint") if bound is None else F.lit(bound))
+    else:
+        ends = flagged.groupBy(file).agg(last).where("_last IS NOT NULL")
+        rows = attach(df, ends, [file], "inner" if counts is None else "left")
+    if counts is not None:
+        rows = counts.watch(rows, recortadas=F.coalesce(_c(order) > F.col("_last"), F.lit(True)))
+    return rows.where(_c(order) <= F.col("_last")).select(*keep)
 
 
 # --- value normalisation ---------------------------------------------------------------------------
@@ -146,12 +159,13 @@ def convert_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def base_clean(df: DataFrame, order: str = "_ord", file: str | None = "_path",
-               institutions: list[str] | None = None) -> DataFrame:
-    """Footer trim, null tokens, empty rows, institution names, sex, numeric types."""
+               institutions: list[str] | None = None, counts: Counts | None = None) -> DataFrame:
+    """Footer trim, null tokens, empty rows, institution names, sex, numeric types. ``counts`` gets the rows trimmed
+    and the cells emptied."""
     file = file if file in df.columns else None
     if order in df.columns:
-        df = trim_footer(df, order, file)
-    return (df.transform(nullify_tokens)
+        df = trim_footer(df, order, file, counts=counts)
+    return (df.transform(nullify_tokens, None, counts)
             .transform(drop_all_null_rows)
             .transform(normalize_institutions, institutions)
             .transform(normalize_sex)

@@ -174,10 +174,15 @@ def master_year_column(df: DataFrame, order: str = "_ord", sample: int = 200) ->
     top = year_scan(grid, header=heads).where("orden = 1").first()
     if top is None:
         return None
-    mention = F.lit(str(top["anio"]))
-    head = df.orderBy(order).limit(sample)
-    seen = head.agg(*[F.max(F.contains(t, mention)).alias(str(i)) for i, t in enumerate(texts)]).first()
-    return next((c for i, c in enumerate(columns) if seen[i]), None)
+    # where each column first says it, as the number of rows before; a prefix that says nothing leads on to a longer one
+    mention = [F.contains(t, F.lit(str(top["anio"]))) for t in texts]
+    first = df.agg(*[F.min(F.when(m, F.col(order))).alias(str(i)) for i, m in enumerate(mention)]).first()
+    if all(v is None for v in first):
+        return None
+    before = df.agg(*[F.count_if(F.col(order) < F.lit(v)).alias(str(i)) for i, v in enumerate(first) if v is not None]).first().asDict()
+    while min(before.values()) >= sample:
+        sample *= 2
+    return next(c for i, c in enumerate(columns) if before.get(str(i), sample) < sample)
 
 
 def valid_years(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -221,7 +226,8 @@ def file_year(grid: DataFrame, rows: int = K.YEAR_ROWS, sheets: int = 8) -> Data
     """Year of each file without knowing its columns: (_path, anio, origen).
 
     First rows of up to 8 sheets (each sheet's years vote 4, 3, 2, 1, 1...), else the first bytes
-    of the text, else the file name.
+    of the text, else the file name. Only files in which all of these are silent are read to their end, for the first
+    year anywhere in them (``texto`` too).
     """
     pos = F.col("_sheet_pos") if "_sheet_pos" in grid.columns else F.col("_sheet")
     tagged = grid.withColumn("_pos", pos)
@@ -241,7 +247,19 @@ def file_year(grid: DataFrame, rows: int = K.YEAR_ROWS, sheets: int = 8) -> Data
     out = from_name.join(from_grid, "_path", "left").join(from_text, "_path", "left")
     origin = F.when(F.col("g").isNotNull(), "filas").when(F.col("t").isNotNull(), "texto").when(
         F.col("n").isNotNull(), "nombre")
-    return out.select("_path", F.coalesce("g", "t", "n").alias("anio"), origin.alias("origen"))
+    out = pin(out.select("_path", F.coalesce("g", "t", "n").alias("anio"), origin.alias("origen")))    # one row per file
+    silent = out.where("anio IS NULL").select("_path")
+    if silent.isEmpty():
+        return out
+    return out.join(_first_year(tagged, silent), "_path", "left").select(
+        "_path", F.coalesce("anio", "_far").alias("anio"), F.when(F.col("_far").isNotNull(), "texto").otherwise(F.col("origen")).alias("origen"))
+
+
+def _first_year(tagged: DataFrame, files: DataFrame) -> DataFrame:
+    """(_path, _far): the first year anywhere in the given files, by sheet and row. Rows are not brought together."""
+    years = extract_years(F.array_join("cells", ","))
+    said = attach(tagged, files, FILE, "left_semi", ready=True).select("_path", "_pos", "_ord", F.get(years, F.lit(0)).alias("y"))
+    return said.where("y IS NOT NULL").groupBy("_path").agg(F.min_by("y", F.struct("_pos", "_ord")).alias("_far"))
 
 
 def header_names(header_cells: Column) -> Column:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
-from ..session import pin
+from ..session import pin, stage
+from .aggregates import number_rows
+from .counts import Counts
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -56,9 +58,19 @@ def _parent_keys(column: str, parent: DataFrame, parent_key: str, ready: bool) -
     return keys if ready else keys.distinct()
 
 
-def fk_semi(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
-    """Rows whose key exists in the parent."""
-    return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_semi", ready=ready)
+def _known(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool) -> DataFrame:
+    """Add ``_known``: true if the key exists in the parent, else null."""
+    keys = _parent_keys(column, parent, parent_key, ready).withColumn("_known", F.lit(True))
+    return attach(df, keys, [column], "left", ready=ready)
+
+
+def fk_semi(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False,
+            counts: Counts | None = None) -> DataFrame:
+    """Rows whose key exists in the parent. ``counts`` gets the rows left out as ``descartadas``."""
+    if counts is None:
+        return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_semi", ready=ready)
+    out = counts.watch(_known(df, column, parent, parent_key, ready), descartadas=F.col("_known").isNull())
+    return out.where("_known").select(*[f"`{c}`" for c in df.columns])
 
 
 def fk_missing(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
@@ -66,10 +78,12 @@ def fk_missing(df: DataFrame, column: str, parent: DataFrame, parent_key: str, r
     return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_anti", ready=ready)
 
 
-def fk_nullify(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False) -> DataFrame:
-    """Every row kept; a key that does not exist in the parent becomes null."""
-    keys = _parent_keys(column, parent, parent_key, ready).withColumn("_known", F.lit(True))
-    out = attach(df, keys, [column], "left", ready=ready)
+def fk_nullify(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False,
+               counts: Counts | None = None) -> DataFrame:
+    """Every row kept; a key that does not exist in the parent becomes null. ``counts`` gets those as ``anuladas``."""
+    out = _known(df, column, parent, parent_key, ready)
+    if counts is not None:
+        out = counts.watch(out, anuladas=F.col(column).isNotNull() & F.col("_known").isNull())
     return out.withColumn(column, F.when(F.col("_known"), F.col(column))).select(*df.columns)
 
 
@@ -82,10 +96,12 @@ def text_lookup(dim: DataFrame, name: str = "nombre", id_col: str = "id",
 
 
 def fk_text(df: DataFrame, source: str, dim: DataFrame, out: str, name: str = "nombre",
-            id_col: str = "id", parent: tuple[str, str] | None = None, ready: bool = False) -> DataFrame:
+            id_col: str = "id", parent: tuple[str, str] | None = None, ready: bool = False,
+            texts: DataFrame | None = None) -> DataFrame:
     """Add the id of the dimension row whose name has the same match key; a miss is null.
 
-    ``parent=(column of df, column of dim)`` makes it a lookup on (name, parent id).
+    ``parent=(column of df, column of dim)`` makes it a lookup on (name, parent id). ``texts`` (source) are the
+    distinct texts of ``df``, if they are known: then only those get a key, and the rows are looked up by text.
     """
     lookup = text_lookup(dim, name, id_col, [parent[1]] if parent else None)
     lookup = lookup.withColumnRenamed(id_col, out)
@@ -93,6 +109,9 @@ def fk_text(df: DataFrame, source: str, dim: DataFrame, out: str, name: str = "n
     if parent:
         lookup = lookup.withColumnRenamed(parent[1], parent[0])
         on.append(parent[0])
+    elif texts is not None:
+        keyed = texts.select(source, match_key(F.col(source)).alias("_key")).where(F.col(source).isNotNull())
+        return attach(df, keyed.join(lookup, "_key").select(source, out), [source], "left").select(*df.columns, out)
     joined = attach(df.withColumn("_key", match_key(F.col(source))), lookup, on, "left", ready=ready)
     return joined.select(*df.columns, out)
 
@@ -130,45 +149,52 @@ def left_minus(df: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
     return attach(df, seen.select(*on).distinct(), on, "left_anti")
 
 
-def closure_of_corrections(rows: list[tuple[str, str, str, bool]]) -> list[tuple[str, str, str]]:
-    """Turn (column, current, canonical, invert) applied one after another into one mapping.
+def resolved_corrections(corrections: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(columna, _old, _new): what each value becomes when all corrections are applied one after another.
 
-    Later corrections also act on what earlier ones produced, so a->b then b->c sends a to c.
+    ``corrections``: columna, valor_actual, valor_canonico, and optionally pos (order), aplicar, invertir; those
+    without a value on either side say nothing. A correction hands its result to the next one of its column that
+    starts from it, so the corrections form chains that only lead on; every one finds the end of its chain by
+    doubling its pointer, in as many rounds as the logarithm of the longest chain. Nothing reaches the driver.
     """
-    final: dict[tuple[str, str], str] = {}
-    for column, current, canonical, invert in rows:
-        src, dst = (canonical, current) if invert else (current, canonical)
-        for key, value in final.items():
-            if key[0] == column and value == src:
-                final[key] = dst
-        final.setdefault((column, src), dst)
-    return [(c, a, b) for (c, a), b in final.items() if a != b]
+    have = set(corrections.columns)
+    wanted = corrections.where(F.col("aplicar")) if "aplicar" in have else corrections
+    turned = F.coalesce(F.col("invertir"), F.lit(False)) if "invertir" in have else F.lit(False)
+    rules = wanted.where("columna IS NOT NULL AND valor_actual IS NOT NULL AND valor_canonico IS NOT NULL").select(
+        F.col("pos") if "pos" in have else F.monotonically_increasing_id().alias("pos"), "columna",
+        F.when(turned, F.col("valor_canonico")).otherwise(F.col("valor_actual")).alias("src"),
+        F.when(turned, F.col("valor_actual")).otherwise(F.col("valor_canonico")).alias("dst")).where("src <> dst")
+    rules = stage(number_rows(rules, ["pos", "columna", "src", "dst"], "i"), "corrections")
+    # per value, what ends in it meets what starts from it, latest first; a value many end in is spread over salts
+    ends = rules.select("columna", F.col("dst").alias("value"), "i", F.lit(None).cast("bigint").alias("start"),
+                        F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int").alias("salt"))
+    starts = rules.select("columna", F.col("src").alias("value"), "i", F.col("i").alias("start"),
+                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    later = Window.partitionBy("columna", "value", "salt").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    led = ends.union(starts).withColumn("next", F.last("start", ignorenulls=True).over(later)).where("start IS NULL")
+    at = stage(led.select("i", F.coalesce("next", "i").alias("last")), "chains")
+    while True:
+        onward = at.select(F.col("i").alias("last"), F.col("last").alias("further"))
+        at = stage(at.join(onward, "last").select("i", F.col("further").alias("last"), (F.col("further") != F.col("last")).alias("moved")), "chains")
+        if at.where("moved").isEmpty():
+            break
+        at = at.select("i", "last")
+    first = rules.groupBy("columna", "src").agg(F.min("i").alias("i"))
+    end = rules.select(F.col("i").alias("last"), F.col("dst").alias("_new"))
+    found = first.join(at.select("i", "last"), "i").join(end, "last")
+    return found.where("src <> _new").select("columna", F.col("src").alias("_old"), "_new")
 
 
 def apply_corrections(df: DataFrame, corrections: DataFrame, scope: Column | None = None) -> DataFrame:
-    """Replace values by the reviewed corrections, in report order, only inside the scope.
-
-    ``corrections``: columna, valor_actual, valor_canonico, and optionally pos (order), aplicar,
-    invertir. The report is what a person reviewed (at most the variants of the top values per
-    column), so its chains are resolved on the driver.
-    """
-    have = set(corrections.columns)
-    wanted = corrections.where(F.col("aplicar")) if "aplicar" in have else corrections
-    if "pos" in have:
-        wanted = wanted.orderBy("pos")
-    rows = wanted.select("columna", "valor_actual", "valor_canonico",
-                         (F.col("invertir") if "invertir" in have else F.lit(False)).alias("inv"))
-    mapping = closure_of_corrections([tuple(r) for r in rows.collect()])
-    by_column: dict[str, list[tuple[str, str]]] = {}
-    for c, a, b in mapping:
-        by_column.setdefault(c, []).append((a, b))
-    spark = df.sparkSession
+    """Replace values by the reviewed corrections (see ``resolved_corrections``), in report order, only inside the
+    scope."""
+    mapping = pin(resolved_corrections(corrections))
+    # columns of the table, at most
+    touched = {r[0] for r in mapping.where(F.col("columna").isin(df.columns)).select("columna").distinct().collect()}
     out = df
-    for c, pairs in by_column.items():
-        if c not in df.columns:
-            continue
-        table = spark.createDataFrame(pairs, "_old string, _new string").withColumnRenamed("_old", "_match")
-        out = attach(out.withColumn("_match", F.col(f"`{c}`")), table, ["_match"], "left")
+    for c in [c for c in df.columns if c in touched]:
+        table = mapping.where(F.col("columna") == c).select(F.col("_old").alias("_match"), "_new")
+        out = attach(out.withColumn("_match", F.col(f"`{c}`")), table, ["_match"], "left", ready=True)
         new = F.coalesce(F.col("_new"), F.col(f"`{c}`"))
         if scope is not None:
             new = F.when(scope, new).otherwise(F.col(f"`{c}`"))

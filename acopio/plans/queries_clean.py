@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import joins as J
 from ..operators import matching as M
+from ..operators.counts import Counts
 from ..sources import masters
 from . import bindings as B
 from . import catalog
@@ -47,6 +48,10 @@ def nullify_counts(spark, sf_dir):
     return C.nullify_counts(_dirty(spark, sf_dir))
 
 
+_CELLS = ("SELECT " + " + ".join(f"count_if(trim({c}) = '')" for c in _COLS) + " AS b, "
+          + " + ".join(f"count_if({O.null_token(c)} AND trim({c}) <> '')" for c in _COLS) + f" AS e FROM ({_DIRTY}) t")
+
+
 @query("drop_all_null_rows", f"WITH n AS (SELECT _ord AS row_id, {_nulled('institucion')} AS institucion, "
        f"{_nulled('sector')} AS sector FROM ({_DIRTY}) t) SELECT * FROM n WHERE institucion IS NOT NULL OR sector IS NOT NULL")
 def drop_all_null_rows(spark, sf_dir):
@@ -99,6 +104,17 @@ def trim_footer(spark, sf_dir):
     return df.select(F.col("_path").alias("archivo"), F.col("_ord").alias("row_id"), *_FCOLS)
 
 
+@query("cleaner_counts", f"WITH f AS ({_FLAG}), e AS (SELECT _path, max(_ord) AS last FROM f WHERE NOT pie GROUP BY _path), c AS ({_CELLS}) "
+       "SELECT 'recortadas' AS paso, count_if(e.last IS NULL OR f._ord > e.last) AS n FROM f LEFT JOIN e ON f._path = e._path "
+       "UNION ALL SELECT 'n_vacias', CAST(b AS BIGINT) FROM c UNION ALL SELECT 'n_sin_info', CAST(e AS BIGINT) FROM c")
+def cleaner_counts(spark, sf_dir):
+    """Rows trimmed and cells emptied, counted while the cleaned tables are written."""
+    counts = Counts()
+    counts.written(C.trim_footer(B.derive(spark, sf_dir, _FOOT), "_ord", "_path", _FCOLS, "anio", counts=counts))
+    counts.written(C.nullify_tokens(_dirty(spark, sf_dir), counts=counts))
+    return spark.createDataFrame(list(counts.get().items()), "paso string, n bigint")
+
+
 _UPPER = ("trim(regexp_replace(upper(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'))")
 
 
@@ -224,6 +240,27 @@ def apply_corrections(spark, sf_dir):
     return _named(J.apply_corrections(B.derive(spark, sf_dir, B.VARIANTS), report))
 
 
+# A value of every order, and corrections among those values: chains, cycles, several from one value.
+_VALUED = "SELECT o_orderkey AS _ord, year(o_orderdate) AS anio, 'v' || CAST(o_custkey % 400 AS STRING) AS clave, o_orderpriority AS otra FROM {orders}"
+_CHOSEN = """SELECT c_custkey * 37 % 1009 * 100000 + c_custkey AS pos, CASE WHEN c_custkey % 9 = 0 THEN 'ausente' ELSE 'clave' END AS columna,
+  'v' || CAST(c_custkey % 400 AS STRING) AS valor_actual, 'v' || CAST((c_custkey * 7 + c_custkey % 13) % 400 AS STRING) AS valor_canonico,
+  c_custkey % 4 <> 0 AS aplicar, c_custkey % 5 = 0 AS invertir FROM {customer}"""
+
+
+@query("apply_corrections_chosen", f"""WITH RECURSIVE r AS (SELECT pos, CASE WHEN invertir THEN valor_canonico ELSE valor_actual END AS src,
+  CASE WHEN invertir THEN valor_actual ELSE valor_canonico END AS dst FROM ({B.sql_of(_CHOSEN)}) c WHERE aplicar AND columna = 'clave'),
+  n AS (SELECT a.pos, any_value(a.dst) AS dst, min(b.pos) AS nxt FROM r a LEFT JOIN r b ON b.src = a.dst AND b.pos > a.pos GROUP BY a.pos),
+  w AS (SELECT src AS v, min(pos) AS pos FROM r GROUP BY 1 UNION ALL SELECT w.v, n.nxt FROM w JOIN n USING (pos) WHERE n.nxt IS NOT NULL),
+  f AS (SELECT v, max(pos) AS pos FROM w GROUP BY 1)
+  SELECT _ord AS row_id, anio, CASE WHEN anio = 1995 THEN coalesce(n.dst, clave) ELSE clave END AS clave, otra
+  FROM ({B.sql_of(_VALUED)}) t LEFT JOIN f ON f.v = clave LEFT JOIN n ON n.pos = f.pos""")
+def apply_corrections_chosen(spark, sf_dir):
+    """Only the marked corrections, some inverted, one after another in report order, in one year."""
+    df = B.derive(spark, sf_dir, _VALUED)
+    out = J.apply_corrections(df, B.derive(spark, sf_dir, _CHOSEN), scope=C.in_year("anio", 1995))
+    return _named(out).withColumn("anio", F.col("anio").cast("bigint"))
+
+
 @query("null_counts", "SELECT columna, CAST(sum(nulo) AS BIGINT) AS nulos FROM ("
        + " UNION ALL ".join(f"SELECT '{c}' AS columna, CAST({_nulled(c)} IS NULL AS INTEGER) AS nulo FROM ({_DIRTY}) t" for c in _COLS) + ") u GROUP BY 1")
 def null_counts(spark, sf_dir):

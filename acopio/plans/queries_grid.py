@@ -245,3 +245,31 @@ def assign_file_year(spark, sf_dir):
 def latest_file_wins(spark, sf_dir):
     files = _ingested(spark, sf_dir).files.where("motivo IS NULL")
     return I.latest_file_wins(files, ["anio"]).withColumnRenamed("_path", "archivo")
+
+
+# Masters by order status whose year stands in a note: in the first rows, far down, or nowhere.
+_NOTED = """SELECT o_orderstatus AS maestro, o_orderkey AS _ord, CAST(o_custkey % 90 AS STRING) AS codigo, o_orderpriority AS texto,
+  CASE WHEN o_orderstatus = 'P' OR (o_orderstatus = 'O' AND o_orderkey < 2500) THEN 'sin fecha' ELSE 'Corte a 2017' END AS nota FROM {orders}"""
+
+
+@query("master_year_column", f"SELECT maestro, CASE WHEN count_if(nota = 'Corte a 2017') > 0 THEN 'nota' END AS columna FROM ({B.sql_of(_NOTED)}) t GROUP BY 1")
+def master_year_column(spark, sf_dir):
+    """Year column of a table without a header for it, however far down the year is first mentioned."""
+    df = B.derive(spark, sf_dir, _NOTED)
+    found = [(m, G.master_year_column(df.where(F.col("maestro") == m).drop("maestro"))) for m in ("F", "O", "P")]
+    return spark.createDataFrame(found, "maestro string, columna string")
+
+
+# A file for every order date month: its rows name a year only beyond any prefix, or its name does, or nothing.
+_FAR = """SELECT 'Docentes/m' || CAST(month(o_orderdate) AS STRING) || CASE WHEN month(o_orderdate) = 3 THEN ' 2011' ELSE '' END || '.csv' AS _path,
+  o_orderkey AS _ord, CASE WHEN o_orderkey > 3000 AND month(o_orderdate) <> 4 THEN 'visto en ' || CAST(year(o_orderdate) AS STRING) || '.'
+  ELSE 'una nota larga que nada dice del periodo ni del corte ni de la entidad que la hizo' END AS texto FROM {orders}"""
+
+
+@query("far_file_year", f"WITH f AS ({B.sql_of(_FAR)}), y AS (SELECT _path, arg_min(CAST(regexp_extract(texto, '[0-9]{{4}}') AS INTEGER), _ord) AS anio FROM f WHERE texto LIKE 'visto%' GROUP BY 1) "
+       "SELECT DISTINCT f._path AS archivo, CASE WHEN contains(f._path, '2011') THEN 2011 ELSE y.anio END AS anio, "
+       "CASE WHEN contains(f._path, '2011') THEN 'nombre' WHEN y.anio IS NOT NULL THEN 'texto' END AS origen FROM f LEFT JOIN y ON f._path = y._path")
+def far_file_year(spark, sf_dir):
+    """Files whose first bytes say nothing: the name decides if it can, else the first year further on."""
+    grid = B.derive(spark, sf_dir, _FAR).select("_path", F.lit("0").alias("_sheet"), "_ord", F.array("texto").alias("cells"))
+    return G.file_year(grid).withColumnRenamed("_path", "archivo")

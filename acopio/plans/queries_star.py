@@ -8,7 +8,8 @@ from .. import constants as K
 from ..functions.text import numeric_code
 from ..operators import aggregates as A
 from ..operators import joins as J
-from ..session import pin
+from ..operators.counts import Counts
+from ..session import pin, stage
 from ..sources import masters
 from . import bindings as B
 from . import oracle as O
@@ -173,16 +174,10 @@ _HIER = f"prog AS MATERIALIZED ({_PROG_RAW}), broad AS MATERIALIZED ({_BROAD}),
 _HIER3 = f"{_HIER}, detail AS MATERIALIZED ({_DETAIL})"
 
 
-def _programs(spark, sf_dir):
-    students = list(_students(spark, sf_dir).values())
-    return pin(S.dim_program_texts(students)), students
-
-
 def _hierarchy(spark, sf_dir):
-    programs, students = _programs(spark, sf_dir)
-    broad = S.dim_text(students, "cine_campo_amplio")
-    specific = S.dim_cine_specific(programs, broad)
-    return programs, students, broad, specific
+    scan = stage(S.dimension_scan(list(_students(spark, sf_dir).values()), ["PROGRAMA"], ["area_conocimiento", "nbc", "cine_campo_amplio"]), "scan")
+    programs, broad = pin(S.dim_program_texts(scan)), S.dim_text(scan, "cine_campo_amplio")
+    return programs, scan, broad, S.dim_cine_specific(programs, broad)
 
 
 @query("first_non_empty", _first("codigo", ["nombre", "sector"], _rows([({"codigo": O.code("institucion_codigo"), "nombre": O.clean("institucion_nombre"),
@@ -206,8 +201,8 @@ def dim_municipality(spark, sf_dir):
 
 @query("dim_institution", _INSTITUTION)
 def dim_institution(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
-    inst = S.fk_nullify(S.dim_institution(frames), "municipio_codigo", S.dim_municipality(frames), "codigo")
+    scan = stage(S.dimension_scan(_frames(spark, sf_dir), ["INSTITUCION", "MUNICIPIO"]), "scan")
+    inst = S.fk_nullify(S.dim_institution(scan), "municipio_codigo", S.dim_municipality(scan), "codigo")
     return S.with_valid_parents(pin(inst))
 
 
@@ -223,9 +218,10 @@ def parent_links(spark, sf_dir):
        f"LEFT JOIN specific s ON s.campo_amplio_id = b.id AND {O.key('s.nombre')} = {O.key('p.cine_campo_especifico')} "
        f"LEFT JOIN detail d ON d.campo_especifico_id = s.id AND {O.key('d.nombre')} = {O.key('p.cine_detallado')}")
 def dim_program(spark, sf_dir):
-    programs, students, broad, specific = _hierarchy(spark, sf_dir)
+    programs, scan, broad, specific = _hierarchy(spark, sf_dir)
     detail = S.dim_cine_detail(programs, broad, specific)
-    out = S.dim_program(programs, S.dim_text(students, "area_conocimiento"), S.dim_text(students, "nbc"), broad, specific, detail)
+    dims = S.text_dims(scan, ["area_conocimiento", "nbc"])
+    out = S.dim_program(programs, dims["area_conocimiento"], dims["nbc"], broad, specific, detail)
     return out.withColumnRenamed(K.PROGRAM_KEY, "codigo")
 
 
@@ -263,10 +259,10 @@ def dim_cine_detail(spark, sf_dir):
 @query("fk_text_lookup", f"WITH dim AS MATERIALIZED ({_text_dim('area_conocimiento')}) SELECT _ord AS row_id, institucion_codigo, programa_codigo, area_conocimiento, l.id AS area_id "
        f"FROM ({_STUDENTS}) t LEFT JOIN {_look('dim')} l ON l.k = {O.key('area_conocimiento')}")
 def fk_text_lookup(spark, sf_dir):
-    students = _students(spark, sf_dir)
-    dim = S.dim_text(list(students.values()), "area_conocimiento")
+    scan = stage(S.dimension_scan(list(_students(spark, sf_dir).values()), [], ["area_conocimiento"]), "scan")
+    dim = S.dim_text(scan, "area_conocimiento")
     df = B.derive(spark, sf_dir, B.STUDENTS).select(F.col("_ord").alias("row_id"), "institucion_codigo", "programa_codigo", "area_conocimiento")
-    return J.fk_text(df, "area_conocimiento", dim, "area_id")
+    return J.fk_text(df, "area_conocimiento", dim, "area_id", texts=S.texts_of(scan, "area_conocimiento"))
 
 
 @query("fk_hierarchy_lookup", f"WITH {_HIER3} SELECT p.codigo, d.id AS cine_detallado_id FROM prog p "
@@ -318,6 +314,20 @@ def fk_nullify(spark, sf_dir):
     return J.fk_nullify(df, "l_partkey", parents, "p_partkey")
 
 
+@query("reference_counts", f"WITH i AS ({_INST_RAW}) SELECT 'descartadas' AS paso, count(*) AS n FROM ({_LINES}) t WHERE l_partkey NOT IN ({_PARTS}) "
+       f"UNION ALL SELECT 'anuladas', count(*) FROM ({_LINES}) t WHERE l_partkey NOT IN ({_PARTS}) "
+       "UNION ALL SELECT 'omitidas', count(*) FROM i WHERE ies_padre_codigo IS NOT NULL AND ies_padre_codigo NOT IN (SELECT codigo FROM i)")
+def reference_counts(spark, sf_dir):
+    """Rows dropped, keys made null and parent links left out, counted while the results are written."""
+    counts = Counts()
+    df, parents = _lines(spark, sf_dir)
+    counts.written(J.fk_semi(df, "l_partkey", parents, "p_partkey", counts=counts))
+    counts.written(J.fk_nullify(df, "l_partkey", parents, "p_partkey", counts=counts))
+    inst = pin(S.dim_institution(_frames(spark, sf_dir)))
+    counts.written(S.valid_parent_links(inst, counts=counts))
+    return spark.createDataFrame(list(counts.get().items()), "paso string, n bigint")
+
+
 # --- loading and constraints ---------------------------------------------------------------------------------
 
 # Existing dimension: spellings with an upper-case first part; incoming: all spellings.

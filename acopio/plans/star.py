@@ -12,8 +12,9 @@ from .. import constants as K
 from ..functions.similarity import sex_of_key
 from ..functions.text import clean_value, match_key, numeric_code, to_int_or_zero
 from ..operators.aggregates import distinct_first, first_non_empty, number_rows
+from ..operators.counts import Counts
 from ..operators.joins import attach, fk_hierarchy, fk_nullify, fk_semi, fk_text, outer_merge
-from ..session import new_path, pin
+from ..session import new_path, pin, stage
 
 ORDER = "_ord"
 TEXT_TABLES = {
@@ -23,95 +24,92 @@ TEXT_TABLES = {
 }
 
 
+#: What each dimension with codes takes from a staging frame: its columns, the code first, under the names they have
+#: there. A dimension with several entries reads all of them from one row.
+CODED = {
+    "DEPARTAMENTO": [{"codigo": "departamento_ies_codigo", "nombre": "departamento_ies_nombre"},
+                     {"codigo": "departamento_programa_codigo", "nombre": "departamento_programa_nombre"}],
+    "MUNICIPIO": [{"codigo": "municipio_ies_codigo", "nombre": "municipio_ies_nombre", "departamento_codigo": "departamento_ies_codigo"},
+                  {"codigo": "municipio_programa_codigo", "nombre": "municipio_programa_nombre",
+                   "departamento_codigo": "departamento_programa_codigo"}],
+    "INSTITUCION": [{"codigo": "institucion_codigo", "nombre": "institucion_nombre", "sector": "sector_ies", "caracter": "caracter_ies",
+                     "tipo": "principal_seccional", "municipio_codigo": "municipio_ies_codigo", "ies_padre_codigo": "ies_padre_codigo"}],
+    "PROGRAMA": [{K.PROGRAM_KEY: "programa_codigo", "nombre": "programa_nombre", "nivel_academico": "nivel_academico",
+                  "nivel_formacion": "nivel_formacion_programa", "metodologia": "metodologia", "area_conocimiento": "area_conocimiento",
+                  "nbc": "nbc", "cine_campo_amplio": "cine_campo_amplio", "cine_campo_especifico": "cine_campo_especifico",
+                  "cine_detallado": "cine_detallado"}],
+}
+CODES = {"codigo", "departamento_codigo", "municipio_codigo", "ies_padre_codigo", K.PROGRAM_KEY}
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _ordered(frames: list[DataFrame], columns: list[dict[str, Column]]) -> DataFrame:
-    """Union of projections; frame number and row order make one BIGINT that orders all rows.
+def dimension_scan(frames: list[DataFrame], tables: list[str] | None = None, texts: list[str] | None = None) -> DataFrame:
+    """(tabla, valores, _ord): what all dimensions need of all frames, from one read of each.
 
-    ``_ord`` must stay below 2**56 (year * 2**44 + row, or a plain row number).
+    A row of a frame gives one entry for every dimension with codes (``tables``, all by default) and for every text
+    column (``texts``), uncleaned; equal entries collapse to their first position before they are moved. The
+    dimensions are cut from this small table (``dim_institution`` and the others take it in place of the frames).
+    Frame number and row order make one BIGINT that orders all rows: ``_ord`` must stay below 2**56 (year * 2**44 +
+    row, or a plain row number).
     """
     parts = []
-    for pos, (df, cols) in enumerate(zip(frames, columns)):
-        order = F.lit(pos).cast("bigint") * F.lit(1 << 56) + F.col(ORDER)
-        parts.append(df.select(*[c.alias(n) for n, c in cols.items()], order.alias(ORDER)))
-    return _union(parts)
+    for pos, df in enumerate(frames):
+        entries = [(t, list(names.values())) for t in (CODED if tables is None else tables) for names in CODED[t]]
+        entries += [(c, [c]) for c in texts or []]
+        found = [F.struct(F.lit(t).alias("tabla"), F.array(*[F.col(c).cast("string") for c in columns]).alias("valores"))
+                 for t, columns in entries if all(c in df.columns for c in columns)]
+        if found:
+            order = F.lit(pos).cast("bigint") * F.lit(1 << 56) + F.col(ORDER)
+            parts.append(df.select(order.alias(ORDER), F.inline(F.array(*found))).where(F.col("valores")[0].isNotNull()))
+    if not parts:
+        return frames[0].select(F.lit("").alias("tabla"), F.array(F.lit("")).alias("valores"), F.col(ORDER)).limit(0)
+    return _union(parts).groupBy("tabla", "valores").agg(F.min(ORDER).alias(ORDER))
 
 
-def _with_code(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """First non-empty value of every column per code; codes left without a name are dropped."""
-    known = df.where(F.col(key).isNotNull())
-    return first_non_empty(known, key, columns, ORDER).where(F.col("nombre").isNotNull())
+def _entries(source: list[DataFrame] | DataFrame, table: str) -> DataFrame:
+    scan = dimension_scan(source, [table]) if isinstance(source, list) else source
+    return scan.where(F.col("tabla") == table)
 
 
-def _pairs(frames: list[DataFrame], spec: list[dict[str, str]], codes: set[str]) -> DataFrame:
-    used, cols = [], []
-    for df in frames:
-        for names in spec:
-            if all(src in df.columns for src in names.values()):
-                used.append(df)
-                cols.append({n: (numeric_code if n in codes else clean_value)(F.col(src))
-                             for n, src in names.items()})
-    return _ordered(used, cols)
+def _coded(source: list[DataFrame] | DataFrame, table: str) -> DataFrame:
+    """First non-empty value of every column per code; codes left without a name are dropped."""
+    names = list(CODED[table][0])
+    cells = [(numeric_code if c in CODES else clean_value)(F.col("valores")[i]).alias(c) for i, c in enumerate(names)]
+    rows = _entries(source, table).select(*cells, ORDER).where(F.col(names[0]).isNotNull())
+    if "ies_padre_codigo" in names:     # an institution is not its own parent
+        rows = rows.withColumn("ies_padre_codigo", F.nullif("ies_padre_codigo", "codigo"))
+    return first_non_empty(rows, names[0], names[1:], ORDER).where(F.col("nombre").isNotNull())
 
 
-def dim_department(frames: list[DataFrame]) -> DataFrame:
-    rows = _pairs(frames, [
-        {"codigo": "departamento_ies_codigo", "nombre": "departamento_ies_nombre"},
-        {"codigo": "departamento_programa_codigo", "nombre": "departamento_programa_nombre"}], {"codigo"})
-    return _with_code(rows, "codigo", ["nombre"])
+def dim_department(source: list[DataFrame] | DataFrame) -> DataFrame:
+    return _coded(source, "DEPARTAMENTO")
 
 
-def dim_municipality(frames: list[DataFrame]) -> DataFrame:
-    rows = _pairs(frames, [
-        {"codigo": "municipio_ies_codigo", "nombre": "municipio_ies_nombre",
-         "departamento_codigo": "departamento_ies_codigo"},
-        {"codigo": "municipio_programa_codigo", "nombre": "municipio_programa_nombre",
-         "departamento_codigo": "departamento_programa_codigo"}], {"codigo", "departamento_codigo"})
-    return _with_code(rows, "codigo", ["nombre", "departamento_codigo"])
+def dim_municipality(source: list[DataFrame] | DataFrame) -> DataFrame:
+    return _coded(source, "MUNICIPIO")
 
 
-def dim_institution(frames: list[DataFrame]) -> DataFrame:
+def dim_institution(source: list[DataFrame] | DataFrame) -> DataFrame:
     """Institutions before any reference is checked; a parent equal to the code itself is null."""
-    rows = _pairs(frames, [{
-        "codigo": "institucion_codigo", "nombre": "institucion_nombre", "sector": "sector_ies",
-        "caracter": "caracter_ies", "tipo": "principal_seccional",
-        "municipio_codigo": "municipio_ies_codigo", "ies_padre_codigo": "ies_padre_codigo"}],
-        {"codigo", "municipio_codigo", "ies_padre_codigo"})
-    rows = rows.withColumn("ies_padre_codigo", F.nullif("ies_padre_codigo", "codigo"))
-    return _with_code(rows, "codigo", ["nombre", "sector", "caracter", "tipo", "municipio_codigo",
-                                       "ies_padre_codigo"])
+    return _coded(source, "INSTITUCION")
 
 
-def dim_program_texts(frames: list[DataFrame]) -> DataFrame:
+def dim_program_texts(source: list[DataFrame] | DataFrame) -> DataFrame:
     """Programmes with their classification still as text."""
-    rows = _pairs(frames, [{
-        K.PROGRAM_KEY: "programa_codigo", "nombre": "programa_nombre", "nivel_academico": "nivel_academico",
-        "nivel_formacion": "nivel_formacion_programa", "metodologia": "metodologia",
-        "area_conocimiento": "area_conocimiento", "nbc": "nbc", "cine_campo_amplio": "cine_campo_amplio",
-        "cine_campo_especifico": "cine_campo_especifico", "cine_detallado": "cine_detallado"}],
-        {K.PROGRAM_KEY})
-    return _with_code(rows, K.PROGRAM_KEY, [c for c in rows.columns if c not in (K.PROGRAM_KEY, ORDER)])
+    return _coded(source, "PROGRAMA")
 
 
-def text_dims(columns: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
+def text_dims(source: list[DataFrame] | DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """Several text dimensions from one pass: column -> (id, nombre).
 
-    Each frame is unfolded to (column, text) once. Distinct texts are kept in order of first
-    appearance, case and accents ignored, and numbered per column.
+    Distinct texts are kept in order of first appearance, case and accents ignored, and numbered per column.
     """
-    parts = []
-    frames: list[DataFrame] = []
-    for fs in columns.values():
-        frames += [f for f in fs if not any(f is g for g in frames)]
-    for pos, df in enumerate(frames):
-        mine = [c for c, fs in columns.items() if any(df is f for f in fs) and c in df.columns]
-        if mine:
-            order = F.lit(pos).cast("bigint") * F.lit(1 << 56) + F.col(ORDER)
-            cells = df.select(order.alias(ORDER), *[clean_value(F.col(c)).alias(c) for c in mine])
-            parts.append(cells.unpivot([ORDER], mine, "columna", "nombre"))
-    names = pin(distinct_first(_union(parts), "nombre", ORDER, by=["columna"]))
+    scan = dimension_scan(source, [], columns) if isinstance(source, list) else source
+    cells = scan.where(F.col("tabla").isin(columns)).select(F.col("tabla").alias("columna"), clean_value(F.col("valores")[0]).alias("nombre"), ORDER)
+    names = pin(distinct_first(cells, "nombre", ORDER, by=["columna"]))
     numbered = pin(number_rows(names, ["columna", ORDER, "nombre"]))
     # one row per dimension
     first = F.broadcast(numbered.groupBy("columna").agg(F.min("id").alias("_first")))
@@ -119,21 +117,25 @@ def text_dims(columns: dict[str, list[DataFrame]]) -> dict[str, DataFrame]:
     return {c: own.where(F.col("columna") == c).select("id", "nombre") for c in columns}
 
 
-def dim_text(frames: list[DataFrame], column: str) -> DataFrame:
-    return text_dims({column: frames})[column]
+def dim_text(source: list[DataFrame] | DataFrame, column: str) -> DataFrame:
+    return text_dims(source, [column])[column]
+
 
+def texts_of(scan: DataFrame, column: str) -> DataFrame:
+    """The distinct texts of one column, as they stand in the frames (for ``fk_text``'s ``texts``)."""
+    return scan.where(F.col("tabla") == column).select(F.col("valores")[0].alias(column))
 
-def sex_values(frames: list[DataFrame]) -> DataFrame:
+
+def sex_values(source: list[DataFrame] | DataFrame) -> DataFrame:
     """Category of each distinct sex text with its first position; few rows reach the fuzzy step."""
-    used = [df for df in frames if "sexo" in df.columns]
-    raw = _ordered(used, [{"sexo": F.col("sexo")}] * len(used))
-    once = raw.where("sexo IS NOT NULL").groupBy("sexo").agg(F.min(ORDER).alias(ORDER))
+    scan = dimension_scan(source, [], ["sexo"]) if isinstance(source, list) else source
+    once = scan.where("tabla = 'sexo'").select(F.col("valores")[0].alias("sexo"), ORDER)
     keyed = once.withColumn("_key", match_key(F.col("sexo")))
     return keyed.select(clean_value(sex_of_key(F.col("sexo"), F.col("_key"))).alias("nombre"), ORDER)
 
 
-def dim_sex(frames: list[DataFrame]) -> DataFrame:
-    names = distinct_first(pin(sex_values(frames)), "nombre", ORDER)
+def dim_sex(source: list[DataFrame] | DataFrame) -> DataFrame:
+    names = distinct_first(pin(sex_values(source)), "nombre", ORDER)
     return number_rows(names, [ORDER, "nombre"]).select("id", "nombre")
 
 
@@ -212,44 +214,47 @@ def fact_students(students: dict[str, DataFrame]) -> DataFrame:
                                           for m in K.STUDENT_MEASURES.values()])
 
 
-def valid_parent_links(institutions: DataFrame) -> DataFrame:
-    """(codigo, ies_padre_codigo) whose both ends exist and differ."""
-    links = institutions.select("codigo", "ies_padre_codigo").where(
-        "ies_padre_codigo IS NOT NULL AND ies_padre_codigo <> codigo")
-    return fk_semi(links, "ies_padre_codigo", institutions, "codigo")
+def valid_parent_links(institutions: DataFrame, counts: Counts | None = None) -> DataFrame:
+    """(codigo, ies_padre_codigo) whose both ends exist and differ. ``counts`` gets the links that name a parent and
+    are left out as ``omitidas``."""
+    links = institutions.select("codigo", "ies_padre_codigo").where("ies_padre_codigo IS NOT NULL")
+    other = F.col("ies_padre_codigo") != F.col("codigo")
+    if counts is None:
+        return fk_semi(links.where(other), "ies_padre_codigo", institutions, "codigo")
+    known = fk_nullify(links.withColumn("_parent", F.col("ies_padre_codigo")), "_parent", institutions, "codigo")
+    valid = F.col("_parent").isNotNull() & other
+    return counts.watch(known, omitidas=~valid).where(valid).drop("_parent")
 
 
-def with_valid_parents(institutions: DataFrame) -> DataFrame:
-    return fk_nullify(institutions, "ies_padre_codigo", institutions, "codigo", ready=True)
+def with_valid_parents(institutions: DataFrame, counts: Counts | None = None) -> DataFrame:
+    return fk_nullify(institutions, "ies_padre_codigo", institutions, "codigo", ready=True, counts=counts)
 
 
 # --- whole star -------------------------------------------------------------------------------------------
 
 def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All 16 tables. Dimensions are computed once (reliable checkpoints); facts stay lazy."""
+    """All 16 tables. Each frame is read once for all dimensions (``dimension_scan``) and once for its fact;
+    dimensions are computed once (reliable checkpoints), facts stay lazy."""
     students = {K.STUDENT_MEASURES[c]: staged[c] for c in K.STUDENT_MEASURES if c in staged}
     admin, staff = staged.get("Administrativos"), staged.get("Docentes")
     frames = [f for f in (admin, staff, *students.values()) if f is not None]
+    texts = [] if staff is None else ["nivel_formacion_docente", "tiempo_dedicacion", "tipo_contrato"]
+    texts += ["area_conocimiento", "nbc", "cine_campo_amplio"] if students else []
+    sexed = staff is not None or bool(students)
+    scan = stage(dimension_scan(frames, None, texts + ["sexo"] * sexed), "dimension-scan")
     star: dict[str, DataFrame] = {}
-    star["DEPARTAMENTO"] = pin(dim_department(frames))
-    star["MUNICIPIO"] = pin(fk_nullify(dim_municipality(frames), "departamento_codigo",
+    star["DEPARTAMENTO"] = pin(dim_department(scan))
+    star["MUNICIPIO"] = pin(fk_nullify(dim_municipality(scan), "departamento_codigo",
                                        star["DEPARTAMENTO"], "codigo", ready=True))
-    inst = pin(fk_nullify(dim_institution(frames), "municipio_codigo", star["MUNICIPIO"], "codigo", ready=True))
+    inst = pin(fk_nullify(dim_institution(scan), "municipio_codigo", star["MUNICIPIO"], "codigo", ready=True))
     star["INSTITUCION"] = pin(with_valid_parents(inst))
-    sexed = [f for f in (staff, *students.values()) if f is not None]
-    texts: dict[str, list[DataFrame]] = {}
     if sexed:
-        star["SEXO"] = pin(dim_sex(sexed))
-    if staff is not None:
-        texts.update({c: [staff] for c in ("nivel_formacion_docente", "tiempo_dedicacion", "tipo_contrato")})
-    sf = list(students.values())
-    if students:
-        texts.update({c: sf for c in ("area_conocimiento", "nbc", "cine_campo_amplio")})
+        star["SEXO"] = pin(dim_sex(scan))
     if texts:
-        dims = text_dims(texts)
+        dims = text_dims(scan, texts)
         star.update({t: dims[c] for t, c in TEXT_TABLES.items() if c in dims})
     if students:
-        programs = pin(dim_program_texts(sf))
+        programs = pin(dim_program_texts(scan))
         star["CINE_CAMPO_ESPECIFICO"] = pin(dim_cine_specific(programs, star["CINE_CAMPO_AMPLIO"]))
         star["CINE_DETALLADO"] = pin(dim_cine_detail(programs, star["CINE_CAMPO_AMPLIO"],
                                                      star["CINE_CAMPO_ESPECIFICO"]))
@@ -375,5 +380,6 @@ def write_jdbc(star: dict[str, DataFrame], url: str, properties: dict[str, str],
                partitions: int = 16) -> None:
     """Optional copy to a relational database; URL and driver come from the caller."""
     for table in [t for t in K.STAR if t in star]:
-        (star[table].coalesce(partitions).write.mode("append").option("batchsize", batch)
+        # computed with all tasks first; only the connections are few
+        (stage(star[table], "jdbc").repartition(partitions).write.mode("append").option("batchsize", batch)
          .jdbc(url, table, properties=properties))

@@ -51,11 +51,11 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """Write a large intermediate as a parquet table in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write
+    writer = df.write.option("compression", codec) if codec else df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

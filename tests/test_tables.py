@@ -8,6 +8,7 @@ from acopio.operators import cleaning as C
 from acopio.operators import grid as G
 from acopio.operators import joins as J
 from acopio.operators import matching as M
+from acopio.operators.counts import Counts
 from acopio.plans import ingest as I
 from acopio.plans import segmentation as S
 from acopio.plans import star
@@ -91,6 +92,40 @@ def test_quantiles_exact(spark):
     assert got == want
 
 
+def test_quantiles_of_odd_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    cols = {"same": np.full(500, 7.25), "wide": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 250)), 10.0 ** rng.uniform(-300, 300, 250)]),
+            "near": 1e15 + rng.integers(0, 40, 500) / 8, "tiny": rng.choice([5e-324, -5e-324, 0.0, -0.0, 1e-310], 500),
+            "ints": rng.integers(-1000, 1000, 500).astype(float), "ends": rng.choice([float("inf"), -float("inf"), 1.0], 500, p=[.2, .2, .6])}
+    names = list(cols)
+    df = spark.createDataFrame([tuple(float(cols[c][i]) for c in names) for i in range(500)], ", ".join(f"{c} double" for c in names))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    got = {(r.columna, r.prob): r.valor for r in A.quantiles(df, names, probs).collect()}
+    for c in names:
+        ordered = np.sort(cols[c])
+        for p in probs:
+            at = p * 499
+            lo, hi, part = ordered[int(np.floor(at))], ordered[int(np.ceil(at))], at - np.floor(at)
+            assert got[(c, p)] == pytest.approx(lo if lo == hi else lo * (1 - part) + hi * part, rel=1e-12), (c, p)
+    assert A.quantiles(df.limit(0), names, probs).collect() == []
+
+
+def test_counts_come_with_the_result(spark):
+    counts = Counts()
+    foot = [("f1", 0, "2020", "a"), ("f1", 1, "", "Fuente x"), ("f2", 0, "", "Nota y"), ("f2", 1, "", "")]
+    df = spark.createDataFrame(foot, "_path string, _ord bigint, anio string, t string")
+    out = counts.written(C.nullify_tokens(C.trim_footer(df, "_ord", "_path", ["anio", "t"], "anio", counts), counts=counts))
+    assert out.count() == 1 and counts.get() == {"recortadas": 3, "n_vacias": 0, "n_sin_info": 0}
+    keys = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "z"), ("d", None)], "codigo string, ies_padre_codigo string")
+    for call, n in ((lambda k: J.fk_semi(keys, "ies_padre_codigo", keys, "codigo", counts=k), {"descartadas": 2}),
+                    (lambda k: J.fk_nullify(keys, "ies_padre_codigo", keys, "codigo", counts=k), {"anuladas": 1}),
+                    (lambda k: star.valid_parent_links(keys, counts=k), {"omitidas": 2})):
+        counts = Counts()
+        rows = counts.written(call(counts)).count()
+        assert counts.get() == n and rows == {"descartadas": 2, "anuladas": 4, "omitidas": 1}[next(iter(n))]
+
+
 def test_greedy_match_is_one_to_one(spark):
     heads = ["Código de la Institución", "Sexo", "ID Sexo", "Admisiones 2018", "AÑO", "Año", "Semestre"]
     df = spark.createDataFrame([("f", i, h) for i, h in enumerate(heads)], "file string, pos int, name string")
@@ -142,9 +177,47 @@ def test_variants_of_all_values_are_those_of_a_plain_fold(spark):
         assert {(r.a, r.b) for r in M.fuzzy_pairs(df, ["programa"], "_ord", t).collect()} == near
 
 
-def test_corrections_compose():
-    assert J.closure_of_corrections([("c", "a", "b", False), ("c", "b", "d", False)]) == [("c", "a", "d"), ("c", "b", "d")]
-    assert J.closure_of_corrections([("c", "a", "b", True)]) == [("c", "b", "a")]
+def one_after_another(rules, values):
+    """(column, value) -> value after every chosen rule, the plain way."""
+    out = {}
+    for column, value in values:
+        now = value
+        for _, c, actual, canonical, chosen, turned in sorted(rules):
+            src, dst = (canonical, actual) if turned else (actual, canonical)
+            if c == column and chosen and now == src:
+                now = dst
+        out[(column, value)] = now
+    return out
+
+
+RULES = "pos bigint, columna string, valor_actual string, valor_canonico string, aplicar boolean, invertir boolean"
+
+
+def test_corrections_compose(spark):
+    def resolved(*rules):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "pos int, columna string, valor_actual string, valor_canonico string, invertir boolean")
+        return sorted(map(tuple, J.resolved_corrections(df).collect()))
+    assert resolved(("c", "a", "b", False), ("c", "b", "d", False)) == [("c", "a", "d"), ("c", "b", "d")]
+    assert resolved(("c", "a", "b", True)) == [("c", "b", "a")]
+    assert resolved(("c", "a", "b", False), ("c", "b", "a", False)) == [("c", "b", "a")]
+    assert resolved(("c", "a", None, False), ("c", None, "b", False), ("c", "a", "a", False)) == [] == resolved()
+
+
+def test_corrections_are_applied_one_after_another(spark):
+    import random
+    rng = random.Random(3)
+    rules = [(i * 3, rng.choice("xy"), f"v{rng.randrange(40)}", f"v{rng.randrange(40)}", rng.random() < .8, rng.random() < .3) for i in range(150)]
+    rules += [(1000 + i, "x", f"c{i}", f"c{i + 1}", True, False) for i in range(100)]      # a long chain
+    rules += [(2000 + i, "y", f"s{i}", "hub", True, None) for i in range(60)] + [(2030, "y", "hub", "early", True, False), (3000, "y", "hub", "late", True, False)]
+    values = {(c, v) for _, c, a, b, _, _ in rules for v in (a, b)} | {("x", None), ("y", "other")}
+    want = one_after_another([(*r[:5], bool(r[5])) for r in rules], values)
+    df = spark.createDataFrame([(c, v, 2020) for c, v in values], "col string, v string, anio int")
+    corrections = spark.createDataFrame(rules, RULES)
+    wide = df.select("col", "v", "anio", *[F.when(F.col("col") == c, F.col("v")).alias(c) for c in "xy"])
+    got = {(r.col, r.v): r[r.col] for r in J.apply_corrections(wide, corrections).collect()}
+    assert got == want
+    none = J.apply_corrections(wide, corrections, scope=F.col("anio") == 1999).collect()
+    assert all(r[r.col] == r.v for r in none)
 
 
 def test_scoped_clean_leaves_other_years(spark):
