@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -100,12 +100,27 @@ def _variant_values(df: DataFrame, columns: list[str], order: str, max_distinct:
     return stage(counts.select("columna", "valor", "frecuencia", match_key(F.col("valor")).alias("k"), rank.alias("o")), "values")
 
 
+SPARE = (1, 2, 4, 8)    # segments that must agree; a column takes the fewest that keep its keys from crowding
+CROWD = 20              # meetings per key from which on another number is tried
+
+
 def similar_keys(keys: DataFrame, threshold: float) -> DataFrame:
     """(columna, a, b): each pair of different keys of a column with a ratio from the threshold on, once.
 
-    ``keys`` (columna, k) are distinct. Within distance d, one of d + 1 segments of the longer key stands in the
-    shorter one, shifted by no more than the errors left of it and right of it allow; keys meet on that segment,
-    its number and the longer key's length, and the pairs that meet are verified. No other pair is looked at.
+    ``keys`` (columna, k) are distinct. Only pairs that ``meeting_keys`` finds are verified.
+    """
+    met = meeting_keys(keys, threshold).where(key_ratio_at_least(F.col("a"), F.col("b"), threshold))
+    return met.select("columna", "a", "b").distinct()
+
+
+def meeting_keys(keys: DataFrame, threshold: float) -> DataFrame:
+    """(columna, a, b): the pairs of keys that can be similar enough, some more than once.
+
+    The longer key is cut into d + s segments, d being the distance allowed: at least s of them stand in the shorter
+    one, moved by no more than the errors allow. So one of its d + 1 rarest segments does, and keys meet on those
+    alone, on the segment, its number and the longer key's length. With s = 1 all segments are used; a column in
+    which many keys share a segment (a common first word) takes a larger s, and with it leaves out its s - 1 most
+    common segments of each key, until its keys meet few others.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -113,28 +128,52 @@ def similar_keys(keys: DataFrame, threshold: float) -> DataFrame:
     def errors(n: Column) -> Column:
         return F.floor(n * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
 
-    def start(i: Column) -> Column:
-        return F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
-
     def cut(rows: DataFrame) -> DataFrame:
-        each = rows.withColumn("d", errors(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        """Rows (n, s, ...) with a row for each segment of a key of length n."""
+        d = errors(F.col("n"))
+        parts = rows.withColumns({"d": d, "parts": d + F.greatest(F.lit(1), F.least("s", F.col("n") - d))})
+        each = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        start = lambda i: F.floor(i * F.col("n") / F.col("parts")).cast("int")
         return each.withColumn("at", start(F.col("i"))).withColumn("size", start(F.col("i") + 1) - F.col("at"))
 
+    def posted(sized: DataFrame, s: int) -> DataFrame:
+        """The d + 1 rarest segments of each key, with how many keys share each."""
+        place = ["columna", "s", "n", "i", "seg"]
+        held = cut(sized.withColumn("s", F.lit(s)).select("columna", "s", F.col("k").alias("b"), F.col("m").alias("n"))).select(
+            "columna", "s", "n", "i", F.substring("b", F.col("at") + 1, F.col("size")).alias("seg"), "b", "d", "parts")
+        shared = held.join(held.groupBy(*place).agg(F.count(F.lit(1)).alias("shared")), place)
+        if s > 1:
+            rank = F.row_number().over(Window.partitionBy("columna", "b").orderBy("shared", "i"))     # segments of one key
+            shared = shared.withColumn("rank", rank).where(F.col("rank") <= F.col("d") + 1)
+        return shared.select(*place, "b", "shared")
+
     sized = keys.where("k <> ''").select("columna", "k", F.char_length("k").alias("m"))
-    held = cut(sized.select("columna", F.col("k").alias("b"), F.col("m").alias("n"))).select(
-        "columna", "n", "i", F.substring("b", F.col("at") + 1, F.col("size")).alias("seg"), "b")
+    held = stage(posted(sized, SPARE[0]), "segments")
+    for last, s in zip(SPARE, SPARE[1:]):
+        # per column, the meetings that its segments make
+        load = held.where(F.col("s") == last).groupBy("columna", "s").agg(F.sum(F.col("shared").cast("double")).alias("met"), F.count_distinct("b").alias("keys"))
+        crowded = pin(load.where(F.col("met") > CROWD * F.col("keys")).select("columna"))
+        if crowded.isEmpty():
+            break
+        more = sized.join(F.broadcast(crowded), "columna", "left_semi")       # one row per column
+        held = stage(held.unionByName(posted(more, s)), "segments")
+    load = held.groupBy("columna", "s").agg(F.sum(F.col("shared").cast("double")).alias("met"))
+    best = pin(load.groupBy("columna").agg(F.min(F.struct("met", "s")).getField("s").alias("s")))
+    held = held.join(F.broadcast(best), ["columna", "s"], "left_semi").select("columna", "n", "i", "seg", "b")
     reach = F.floor(F.col("m") / F.lit(threshold) + F.lit(1e-9)).cast("int")
-    asked = cut(sized.withColumn("n", F.explode(F.sequence("m", reach))))
+    asked = cut(sized.join(F.broadcast(best), "columna").withColumn("n", F.explode(F.sequence("m", reach))))
     moved, after = F.col("m") - F.col("n"), F.col("d") - F.col("i")
-    low = F.greatest(F.lit(0), F.col("at") - F.col("i"), F.col("at") + moved - after)
-    high = F.least(F.col("m") - F.col("size"), F.col("at") + F.col("i"), F.col("at") + moved + after)
-    asked = asked.withColumns({"low": low, "high": high}).where("low <= high").withColumn(
+    # with d + 1 segments one has its number of errors at most before it; with more, errors before and behind add up to d
+    alone = F.col("parts") == F.col("d") + 1
+    low = F.greatest(F.lit(0), F.when(alone, F.greatest(F.col("at") - F.col("i"), F.col("at") + moved - after)).otherwise(
+        F.col("at") + F.ceil((moved - F.col("d")) / 2)))
+    high = F.least(F.col("m") - F.col("size"), F.when(alone, F.least(F.col("at") + F.col("i"), F.col("at") + moved + after)).otherwise(
+        F.col("at") + F.floor((moved + F.col("d")) / 2)))
+    asked = asked.withColumns({"low": low.cast("int"), "high": high.cast("int")}).where("low <= high").withColumn(
         "p", F.explode(F.sequence("low", "high"))).select(
         "columna", "n", "i", F.substring("k", F.col("p") + 1, F.col("size")).alias("seg"), F.col("k").alias("a"), "m")
     once = (F.col("m") < F.col("n")) | (F.col("a") < F.col("b"))
-    met = asked.join(held, ["columna", "n", "i", "seg"]).where(
-        (F.col("a") != F.col("b")) & once & key_ratio_at_least(F.col("a"), F.col("b"), threshold))
-    return met.select("columna", "a", "b").distinct()
+    return asked.join(held, ["columna", "n", "i", "seg"]).where((F.col("a") != F.col("b")) & once).select("columna", "a", "b")
 
 
 def _leaders(keys: DataFrame, earlier: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -56,6 +57,8 @@ def describe_features(spark, sf_dir):
     return A.describe(B.tables(spark, sf_dir, ["lineitem"])["lineitem"], _LINES)
 
 
+_N = f"(SELECT count(*) FROM ({_TOT}) t)"
+
 # Labels by nation stand in for clusters, so that the exact score has a statement to agree with.
 _LABELLED = f"SELECT z.*, c.g FROM ({_Z}) z JOIN (SELECT s_suppkey, s_nationkey % 3 AS g FROM supplier) c ON c.s_suppkey = z.id"
 _DIST = " + ".join(f"pow(a.{f} - b.{f}, 2)" for f in K.FEATURES)
@@ -122,6 +125,43 @@ def cluster_profile_given(spark, sf_dir):
     return S.cluster_profile(_features(spark, sf_dir).join(sup, "id"), K.FEATURES)
 
 
+# Suppliers' nations stand in for many clusters of different sizes.
+_BY_NATION = f"SELECT f.*, CAST(s_nationkey AS INTEGER) AS \"Cluster\" FROM ({_FEATURES}) f JOIN supplier ON s_suppkey = f.id"
+
+
+def _by_nation(spark, sf_dir):
+    sup = B.tables(spark, sf_dir, ["supplier"])["supplier"].select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("int").alias("Cluster"))
+    return pin(_features(spark, sf_dir).join(sup, "id"))
+
+
+@query("cluster_sizes_given", f"SELECT \"Cluster\", count(*) AS n FROM ({_BY_NATION}) t GROUP BY 1 ORDER BY 1")
+def cluster_sizes_given(spark, sf_dir):
+    return S.cluster_sizes(_by_nation(spark, sf_dir)).orderBy("Cluster")
+
+
+@query("cluster_outliers_given", f"""WITH t AS ({_BY_NATION}), n AS (SELECT "Cluster", count(*) AS n FROM t GROUP BY 1)
+  SELECT id, "Cluster" FROM t WHERE "Cluster" IN (SELECT "Cluster" FROM n WHERE n < (SELECT ceil(avg(n)) FROM n))""")
+def cluster_outliers_given(spark, sf_dir):
+    """Members of the clusters below the mean size."""
+    assigned = _by_nation(spark, sf_dir)
+    mean = S.cluster_sizes(assigned).agg(F.ceil(F.avg("n")).alias("m")).first()["m"]
+    return S.cluster_outliers(assigned, mean).select("id", "Cluster")
+
+
+@query("cluster_checks", f"SELECT {_N} AS filas, true AS tamanos_ok, true AS atipicos_ok, true AS reagrupados_ok")
+def cluster_checks(spark, sf_dir):
+    """Whatever the fit: sizes fall with the label and add up, the members of all but the largest cluster are what that
+    leaves, and clustering again without small clusters labels exactly the others."""
+    df = pin(_features(spark, sf_dir))
+    assigned = pin(S.kmeans_assign(df, "id", K.FEATURES))
+    sizes = [r["n"] for r in S.cluster_sizes(assigned).orderBy("Cluster").collect()]       # one row per cluster
+    rest = S.cluster_outliers(assigned, sizes[0]).count() if sizes else 0
+    small, again = S.cluster_outliers(assigned, 5).count(), S.kmeans_without_outliers(df, "id", K.FEATURES, min_size=5).count()
+    rows = df.count()
+    return spark.createDataFrame([(rows, sum(sizes) == rows and sizes == sorted(sizes, reverse=True), rest == rows - sizes.count(sizes[0]) * sizes[0],
+                                   again == rows - small)], "filas bigint, tamanos_ok boolean, atipicos_ok boolean, reagrupados_ok boolean")
+
+
 @query("pca_project")
 def pca_project(spark, sf_dir):
     return S.pca(pin(_features(spark, sf_dir)), "id", K.FEATURES)[0]
@@ -135,9 +175,6 @@ def pca_variance(spark, sf_dir):
 
 # --- what holds for every fit, as statements ------------------------------------------------------------
 
-_N = f"(SELECT count(*) FROM ({_TOT}) t)"
-
-
 @query("kmeans_checks", f"SELECT {_N} AS filas, CAST(0 AS BIGINT) AS sin_cluster, true AS clusters_ok, {_N} AS suma_tamanos, "
        "CAST(0 AS BIGINT) AS desordenados, CAST(0 AS BIGINT) AS fuera_de_centro")
 def kmeans_checks(spark, sf_dir):
@@ -145,14 +182,16 @@ def kmeans_checks(spark, sf_dir):
     return S.assignment_checks(df, S.kmeans_assign(df, "id", K.FEATURES), "id", K.FEATURES, K.K_FINAL)
 
 
-@query("sweep_checks", f"SELECT CAST(k AS INTEGER) AS k, true AS en_rango FROM (SELECT unnest({list(K.K_SWEEP)}) AS k) u WHERE k < {_N}")
+@query("sweep_checks", f"SELECT CAST(k AS INTEGER) AS k, true AS en_rango, true AS no_sube FROM (SELECT unnest({list(K.K_SWEEP)}) AS k) u WHERE k < {_N}")
 def sweep_checks(spark, sf_dir):
     """Each k of the sweep, and whether its cost lies between 0 and the cost of one cluster (rows times features
-    that vary) and its score between -1 and 1."""
+    that vary) and its score between -1 and 1, and whether it costs no more than the k before."""
     df = pin(_features(spark, sf_dir))
     most = df.count() * len(K.FEATURES) * (1 + 1e-9)
+    before = F.lag("inercia").over(Window.orderBy("k"))     # one row per k
     return S.kmeans_sweep(df, K.FEATURES).select(
-        "k", (F.col("inercia").between(0.0, most) & F.col("silueta").between(-1.0, 1.0)).alias("en_rango"))
+        "k", (F.col("inercia").between(0.0, most) & F.col("silueta").between(-1.0, 1.0)).alias("en_rango"),
+        F.coalesce(F.col("inercia") <= before * (1 + 1e-9), F.lit(True)).alias("no_sube"))
 
 
 @query("pca_checks", f"""WITH z AS MATERIALIZED ({_Z}) SELECT count(*) AS filas, true AS centrada, true AS ortogonal, true AS ordenada, true AS varianza_ok FROM z""")

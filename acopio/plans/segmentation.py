@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import pin
 
+SAMPLE = 10_000     # rows from which fits start
+
+
 def institution_rates(totals: DataFrame) -> DataFrame:
     """Rates inferred from their names: graduates/enrolled, admitted/applied, enrolled/admitted,
     staff/enrolled. A zero denominator gives null."""
@@ -47,53 +51,126 @@ def with_vector(df: DataFrame, features: list[str], out: str = "features") -> Da
     return VectorAssembler(inputCols=features, outputCol=out).transform(df)
 
 
-def _fit(df: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="Cluster").fit(df)
+@dataclass
+class Fit:
+    """One K-Means fit: its centres, and once it has been rated its cost and the sizes of its clusters."""
+
+    centres: np.ndarray
+    seed: int = 0
+    cost: float = np.inf
+    sizes: np.ndarray | None = None
+
+
+def starting_centres(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k points, each chosen with a chance that grows with its squared distance to those chosen before."""
+    rng = np.random.default_rng([seed, k])
+    chosen = [points[rng.integers(len(points))]]
+    near = np.full(len(points), np.inf)
+    while len(chosen) < k:
+        near = np.minimum(near, ((points - chosen[-1]) ** 2).sum(axis=1))
+        total = near.sum()
+        chosen.append(points[rng.choice(len(points), p=near / total) if total > 0 else rng.integers(len(points))])
+    return np.array(chosen)
+
+
+def _round(scaled: DataFrame, features: list[str], fits: list[Fit]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(sizes, sums, cost) of each fit's clusters, all fits in one pass. Tasks add up before anything is moved."""
+    centres = [f.centres for f in fits]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(c), dtype=np.int64) for c in centres]
+        sums, costs = [np.zeros_like(c) for c in centres], np.zeros(len(centres))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            norms = (x * x).sum(axis=1)
+            for i, c in enumerate(centres):
+                far = norms[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
+                own = far.argmin(axis=1)
+                costs[i] += np.maximum(far[np.arange(len(x)), own], 0).sum()
+                n[i] += np.bincount(own, minlength=len(c))
+                np.add.at(sums[i], own, x)
+        at = [(i, j) for i, c in enumerate(centres) for j in range(len(c))]
+        columns = [[i for i, _ in at], [j for _, j in at], np.concatenate(n), [costs[i] if j == 0 else 0.0 for i, j in at], *np.concatenate(sums).T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    names = ["fit", "cluster", "n", "cost", *[f"s{i}" for i in range(len(features))]]
+    schema = "fit bigint, cluster bigint, n bigint, cost double, " + ", ".join(f"{s} double" for s in names[4:])
+    parts = scaled.select(*features).mapInArrow(add, schema).groupBy("fit", "cluster").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    out = [(np.zeros(len(c), dtype=np.int64), np.zeros_like(c), 0.0) for c in centres]
+    for r in parts.collect():       # a row per fit and cluster
+        n, sums, cost = out[r["fit"]]
+        n[r["cluster"]], sums[r["cluster"]] = r["n"], [r[c] for c in names[4:]]
+        out[r["fit"]] = n, sums, cost + r["cost"]
+    return out
+
+
+def advance(scaled: DataFrame, features: list[str], fits: list[Fit], rounds: int = 300, tol: float = 1e-4) -> None:
+    """Lloyd's iteration of all fits together: a pass over the data moves every centre of every fit that still moves.
+    A last pass rates them."""
+    moving = list(fits)
+    for _ in range(rounds):
+        still = []
+        for fit, (n, sums, _) in zip(moving, _round(scaled, features, moving)):
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], fit.centres)
+            if ((new - fit.centres) ** 2).sum(axis=1).max() > tol * tol:
+                still.append(fit)
+            fit.centres = new
+        moving = still
+        if not moving:
+            break
+    for fit, (n, _, cost) in zip(fits, _round(scaled, features, fits)):
+        fit.sizes, fit.cost = n, cost
+
 
+def _scaled(df: DataFrame, features: list[str], keep: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """Standardised features, and a sample of at most ``SAMPLE`` rows from which fits start."""
+    scaled = pin(standardize(df.select(*keep, *features), features))
+    drawn = scaled.select(*features).orderBy(F.xxhash64(*features)).limit(SAMPLE).collect()
+    return scaled, np.array([list(r) for r in drawn], dtype=float).reshape(-1, len(features))
 
-def best_kmeans(df: DataFrame, k: int = K.K_FINAL, seed: int = K.KMEANS_SEED, inits: int = K.KMEANS_INITS,
-                parallelism: int = 4):
-    """Lowest cost of several seeded fits; they run side by side on the cached features."""
-    with ThreadPool(min(parallelism, inits)) as pool:
-        models = pool.map(lambda s: _fit(df, k, s), range(seed, seed + inits))
-    return min(models, key=lambda m: m.summary.trainingCost)
 
+def best_fits(scaled: DataFrame, features: list[str], sample: np.ndarray, ks, seed: int, inits: int) -> dict[int, Fit]:
+    """Per k the cheapest of several seeded fits. The cost never rises with k: a k that is not cheaper than the one
+    before starts once more from the centres of that one and the point furthest from them."""
+    fits = {k: [Fit(starting_centres(sample, k, s), s) for s in range(seed, seed + inits)] for k in ks}
+    advance(scaled, features, [f for some in fits.values() for f in some])
+    best = {k: min(some, key=lambda f: (f.cost, f.seed)) for k, some in fits.items()}
+    for k in sorted(best):
+        if k - 1 in best and best[k].cost > best[k - 1].cost:
+            before = best[k - 1].centres
+            far = ((sample[:, None, :] - before) ** 2).sum(axis=2).min(axis=1)
+            best[k] = Fit(np.vstack([before, sample[far.argmax()]]), seed)
+            advance(scaled, features, [best[k]])
+    return best
 
-def ordered_labels(model) -> dict[int, int]:
-    """Cluster numbers by falling size are stable names across runs."""
-    sizes = model.summary.clusterSizes
-    order = sorted(range(len(sizes)), key=lambda c: (-sizes[c], c))
-    return {c: i for i, c in enumerate(order)}
+
+def labelled(scaled: DataFrame, features: list[str], fit: Fit) -> DataFrame:
+    """Add ``Cluster``, the nearest centre; clusters are numbered by falling size, so that names are stable."""
+    order = sorted(range(len(fit.centres)), key=lambda c: (-fit.sizes[c], c))
+    far = [F.struct(sum(((F.col(f) - float(x)) ** 2 for f, x in zip(features, fit.centres[c])), F.lit(0.0)).alias("d"), F.lit(i).alias("c"))
+           for i, c in enumerate(order)]
+    return scaled.withColumn("Cluster", F.array_min(F.array(*far))["c"])
 
 
 def kmeans_assign(df: DataFrame, id_col: str, features: list[str], k: int = K.K_FINAL,
                   seed: int = K.KMEANS_SEED, inits: int = K.KMEANS_INITS) -> DataFrame:
-    """Input rows with a ``Cluster`` number."""
-    scaled = with_vector(standardize(df.select(id_col, *features), features), features)
-    scaled = scaled.select(id_col, "features").persist()
-    model = best_kmeans(scaled, k, seed, inits)
-    labels = F.create_map(*[F.lit(x) for kv in ordered_labels(model).items() for x in kv])
-    out = pin(model.transform(scaled).select(id_col, labels[F.col("Cluster")].alias("Cluster")))
-    scaled.unpersist()
-    return df.join(out, id_col)
+    """Input rows with a ``Cluster`` number, of the cheapest of several seeded fits."""
+    scaled, sample = _scaled(df, features, [id_col])
+    if not len(sample):
+        return df.withColumn("Cluster", F.lit(0))
+    best = best_fits(scaled, features, sample, [k], seed, inits)[k]
+    return df.join(pin(labelled(scaled, features, best).select(id_col, "Cluster")), id_col)
 
 
 def kmeans_sweep(df: DataFrame, features: list[str], ks=K.K_SWEEP, seed: int = K.KMEANS_SEED,
                  inits: int = K.KMEANS_INITS) -> DataFrame:
-    """(k, inercia, silueta) for each k."""
+    """(k, inercia, silueta) for each k below the number of rows; the fits of all k advance together."""
     spark = df.sparkSession
-    base = pin(df.select(F.monotonically_increasing_id().alias("_id"), *features))
-    scaled = with_vector(standardize(base, features), features).persist()
+    base = df.select(F.monotonically_increasing_id().alias("_id"), *features)
+    scaled, sample = _scaled(base, features, ["_id"])
     n = scaled.count()
-    rows = []
-    for k in ks:
-        if k >= n:
-            break
-        model = best_kmeans(scaled, k, seed, inits)
-        got = model.transform(scaled)
-        score = silhouette(got.select("_id", "Cluster", *features), "_id", "Cluster", features)
-        rows.append((k, float(model.summary.trainingCost), score))
-    scaled.unpersist()
+    best = best_fits(scaled, features, sample, [k for k in ks if k < n], seed, inits)
+    rows = [(k, float(f.cost), silhouette(labelled(scaled, features, f), "_id", "Cluster", features)) for k, f in best.items()]
     return spark.createDataFrame(rows, "k int, inercia double, silueta double")
 
 

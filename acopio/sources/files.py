@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import sanitize_name
-from ..operators.joins import left_minus
+from ..operators.joins import attach, left_minus
+from ..session import pin, stage
 
 MOST_COLUMNS = 1 << 20  # the parser reports an error beyond, it never cuts
 
@@ -71,73 +72,100 @@ def _separators(text: Column, sep: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
 
 
-def _in_task() -> Column:
-    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+def _at() -> Column:
+    """Place of a line, growing along its file: a line takes at least one byte and only the last split of a file shares
+    a task with other files, so byte offset of the split + row number in the task."""
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def _lines(spark: SparkSession, paths: list[str], ends: str | None = None) -> DataFrame:
+    """(_path, _block, _at, value) of every line; ``ends`` is the only line end if it is given."""
+    reader = spark.read if ends is None else spark.read.option("lineSep", ends)
+    return reader.text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                                     _at().alias("_at"), "value")
 
 
 def profile_files(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """Per file, in one splittable scan: does UTF-8 fail, do records span lines, how wide is it, its first line.
+    """(_path, latin, multiline, width), a row per file from one splittable scan: does UTF-8 fail, do records span
+    lines, and how wide is a line at most.
 
-    A quoted line break leaves an odd number of quotes on a line, so files without one can be
-    read in parallel splits; a line of invalid UTF-8 sends its file to ISO-8859-1.
+    A quoted line break leaves an odd number of quotes on a line; a line of invalid UTF-8 sends its file to ISO-8859-1.
     """
-    line, at = F.col("value"), F.col("_metadata.file_block_start") + _in_task()
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"), at.alias("_at"))
-    return lines.groupBy("_path").agg(
+    line = F.col("value")
+    return _lines(spark, paths).groupBy("_path").agg(
         F.max(~F.is_valid_utf8(line)).alias("latin"),
         F.max(_separators(line, '"') % 2 == 1).alias("multiline"),
-        (F.max(_separators(line, sep)) + 1).cast("int").alias("width"),
-        F.min_by("value", "_at").alias("header"))
-
+        (F.max(_separators(line, sep)) + 1).cast("int").alias("width"))
 
-def _records(spark, paths, sep, encoding, multiline, width, extra=()) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(width)), *extra]])
-    return (spark.read.schema(schema).option("sep", sep).option("header", False)
-            .option("encoding", encoding).option("multiLine", multiline).option("quote", '"')
-            .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("maxColumns", MOST_COLUMNS)
-            .option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE").csv(paths))
 
+def _decoded(latin: Column) -> Column:
+    return F.when(latin, F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
 
-def _spanning_width(spark, paths, sep, encoding) -> int:
-    """No record of these files has more columns. Read as a single column, every wider record is reported with its
-    raw text, whose separators bound its width wherever its lines break."""
-    raw = _records(spark, paths, sep, encoding, True, 1, ["_corrupt_record"])
-    wide = F.coalesce(_separators(F.col("_corrupt_record"), sep) + 1, F.lit(1))
-    # the single column is counted because the raw text alone cannot be asked for
-    return raw.agg(F.max(wide).alias("w"), F.count("c0").alias("n")).first()["w"] or 1
 
+def _spanning(lines: DataFrame, sep: str) -> DataFrame:
+    """(_path, _at, text, width) of records that span lines. ``lines`` has (_path, _block, _at, value).
 
-def _read_grid(spark, paths, sep, encoding, multiline, width) -> DataFrame:
-    raw = _records(spark, paths, sep, encoding, multiline, width)
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    # A record takes at least one byte and only the last split of a file shares a task with
-    # other files, so byte offset of the split + row number in the task grows along a file.
-    return raw.select(
-        F.col("_metadata.file_path").alias("_path"), F.lit("0").alias("_sheet"),
-        (F.col("_metadata.file_block_start") + _in_task()).alias("_ord"),
-        # trailing nulls are the padding up to the widest file of the group
-        F.transform(cells, lambda v: F.coalesce(v, F.lit(""))).alias("cells"))
+    A line begins a record if the quotes before it in its file are even. They are counted inside splits, and the splits
+    of a file, a row each, are added up: no task holds more than a split or one record.
+    """
+    quotes = _separators(F.col("value"), '"')
+    blocks = lines.groupBy("_path", "_block").agg(F.sum(quotes).alias("_q"))
+    ahead = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = pin(blocks.select("_path", "_block", F.coalesce(F.sum("_q").over(ahead), F.lit(0)).alias("_ahead")))
+    inside = Window.partitionBy("_path", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    begun = lines.withColumn("_q", F.coalesce(F.sum(quotes).over(inside), F.lit(0)))
+    begun = attach(begun, blocks, ["_path", "_block"], "inner", ready=True).withColumn("_begins", (F.col("_q") + F.col("_ahead")) % 2 == 0)
+    # a line belongs to the last record that has begun; one that reaches over splits begins in the last split with a beginning
+    upto = Window.partitionBy("_path", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    own = stage(begun.select("_path", "_block", "_at", "value", F.last(F.when(F.col("_begins"), F.col("_at")), True).over(upto).alias("_record")), "spanning")
+    last = own.groupBy("_path", "_block").agg(F.max("_record").alias("_last"))
+    last = pin(last.select("_path", "_block", F.last("_last", True).over(ahead).alias("_open")))
+    whole = attach(own, last, ["_path", "_block"], "inner", ready=True).select("_path", F.coalesce("_record", "_open").alias("_record"), "_at", "value")
+    records = whole.groupBy("_path", "_record").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_l"))
+    text = F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["value"]), "\n"), "\r$", "")
+    return records.select("_path", F.col("_record").alias("_at"), text.alias("text")).withColumn("width", _separators(F.col("text"), sep) + 1)
+
+
+def _cells(records: DataFrame, sep: str, width: int) -> DataFrame:
+    """(_path, _at, cells, text) of records (_path, _at, text, width); blank ones are no records. A missing cell is empty."""
+    names = [f"c{i}" for i in range(width)]
+    options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "multiLine": "true", "maxColumns": str(MOST_COLUMNS), "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
+    parsed = records.where(F.col("text").rlike("[^\\x00-\\x20]")).select(
+        "_path", "_at", "width", "text", F.from_csv("text", ", ".join(f"{c} string" for c in names), options).alias("_r"))
+    cells = F.array(*[F.coalesce(F.col(f"_r.{c}"), F.lit("")) for c in names])
+    return parsed.select("_path", "_at", F.slice(cells, F.lit(1), "width").alias("cells"), "text")
+
+
+def _records(spark: SparkSession, paths: list[str], sep: str, encoding: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """(_path, _at, cells, text) of delimited files of any kind and number, in one plan: what each file needs is a row of its
+    profile, joined to its lines. Only numbers come to the driver: the largest width, and which kinds there are."""
+    prof = profile_files(spark, paths, sep)
+    if encoding is not None:
+        prof = prof.withColumn("latin", F.lit(encoding.upper() not in ("UTF-8", "UTF8")))
+    if multiline is not None:
+        prof = prof.withColumn("multiline", F.lit(multiline))
+    prof = pin(prof)
+    kinds = prof.groupBy("multiline").agg(F.max("width").alias("w")).collect()      # at most two
+    widths = {bool(r["multiline"]): r["w"] for r in kinds}
+    if not widths:
+        raise ValueError("no delimited files among the given paths")
+    parts = []
+    if False in widths:
+        lines = attach(_lines(spark, paths), prof.where("NOT multiline").drop("multiline"), ["_path"], "inner", ready=True)
+        parts.append(_cells(lines.withColumn("text", _decoded(F.col("latin"))), sep, widths[False]))
+    if True in widths:
+        lines = attach(_lines(spark, paths, "\n"), prof.where("multiline").select("_path", "latin"), ["_path"], "inner", ready=True)
+        records = stage(_spanning(lines.withColumn("value", _decoded(F.col("latin"))).drop("latin"), sep), "records")
+        wide = pin(records.groupBy("_path").agg(F.max("width").alias("width")))
+        records = attach(records.drop("width"), wide, ["_path"], "inner", ready=True)
+        parts.append(_cells(records, sep, wide.agg(F.max("width")).first()[0]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def raw_grid(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
-    """Delimited files as raw grids; encoding and line mode are chosen per file.
-
-    The file profile is one row per file, as the file listing itself is.
-    """
-    prof = profile_files(spark, paths, sep).collect()
-    groups: dict[tuple[str, bool], list] = {}
-    for r in prof:
-        enc = "ISO-8859-1" if r["latin"] else "UTF-8"
-        groups.setdefault((enc, bool(r["multiline"])), []).append(r)
-    out = None
-    for (enc, multi), rows in sorted(groups.items()):
-        names = [r["_path"] for r in rows]
-        width = _spanning_width(spark, names, sep, enc) if multi else max(r["width"] for r in rows)
-        part = _read_grid(spark, names, sep, enc, multi, width)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no delimited files among the given paths")
-    return out
+    """Delimited files as raw grids (_path, _sheet, _ord, cells); encoding and line mode are settled per file."""
+    return _records(spark, paths, sep).select("_path", F.lit("0").alias("_sheet"), F.col("_at").alias("_ord"), "cells")
 
 
 def grid_of(df: DataFrame, path: Column, order: Column, columns: list[Column],
@@ -150,38 +178,39 @@ def grid_of(df: DataFrame, path: Column, order: Column, columns: list[Column],
 
 # --- masters ------------------------------------------------------------------------------------------
 
+def _column_names(header: list[str]) -> list[str]:
+    """Names of a header's columns: one without a name gets its number, repeats (case ignored) get theirs behind."""
+    header = [h.lstrip("\ufeff") for h in header]
+    low = [h.lower() for h in header]
+    return [f"_c{i}" if not h else f"{h}{i}" if low.count(h.lower()) > 1 else h for i, h in enumerate(header)]
+
+
 def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep: str = ",",
                 encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
     """Delimited masters as all-text columns; missing cells are empty, not null.
 
-    Each file is read under its own header, so files may order or name their columns differently; a
-    column that only some of them have is empty for the others. ``columns`` selects and orders. Files
-    whose records span lines cannot be split; ``multiline=None`` finds out per header in the scan of
-    the text that reads the headers, so that masters without such records are read in parallel.
+    Each file is read under its own header, so files may order or name their columns differently; a column that only
+    some of them have is empty for the others. ``columns`` selects and orders. All files are read in one plan: a file's
+    header is a row that says where each column of the result stands, joined to its records. The driver sees the
+    different headers, not the files. ``multiline=None`` finds out per file whether records span lines.
     """
+    if encoding.upper() not in ("UTF-8", "UTF8", "ISO-8859-1", "LATIN1", "LATIN-1"):
+        raise ValueError(f"masters are UTF-8 or ISO-8859-1, not {encoding}")
     paths = [path] if isinstance(path, str) else list(path)
-    groups: dict[str, list] = {}
-    for r in profile_files(spark, paths, sep).collect():     # one row per file
-        # a header that itself spans lines is told apart by its file
-        odd = (r["header"] or "").count('"') % 2
-        groups.setdefault(r["_path"] if odd else (r["header"] or "").lstrip("\ufeff"), []).append(r)
-    out = None
-    for _, rows in sorted(groups.items()):
-        names, spans = [r["_path"] for r in rows], multiline
-        if spans is None:
-            spans = any(r["multiline"] for r in rows)
-        reader = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-                  .option("quote", '"').option("escape", '"').option("multiLine", spans).option("maxColumns", MOST_COLUMNS)
-                  .option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
-                  .option("ignoreTrailingWhiteSpace", False))
-        found = [c.lstrip("\ufeff") for c in reader.option("inferSchema", False).csv(names).columns]
-        part = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in found])).csv(names)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no delimited files among the given paths")
-    have = set(out.columns)
-    return out.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in have else F.lit("")).alias(c)
-                        for c in columns or out.columns])
+    records = _records(spark, paths, sep, encoding, multiline)
+    heads = records.groupBy("_path").agg(F.min_by(F.struct("cells", "text"), "_at").alias("h"), F.min("_at").alias("_head"))
+    # as many columns as the header names, whatever its longest record has
+    own = _separators(F.regexp_replace("h.text", '"(?:[^"]|"")*"', ""), sep) + 1
+    heads = pin(heads.select("_path", "_head", F.slice("h.cells", F.lit(1), own).alias("header")))
+    headers = [list(r["header"]) for r in heads.select("header").distinct().collect()]      # the different headers
+    named = {tuple(h): _column_names(h) for h in headers}
+    wanted = columns or list(dict.fromkeys(c for h in sorted(named) for c in named[h]))
+    places = [(list(h), [names.index(c) if c in names else None for c in wanted]) for h, names in named.items()]
+    known = spark.createDataFrame(places, "header array<string>, places array<int>")
+    plan = pin(heads.join(F.broadcast(known), "header").select("_path", "_head", "places"))
+    rows = attach(records, plan, ["_path"], "inner", ready=True).where(F.col("_at") > F.col("_head"))
+    cell = lambda i: F.coalesce(F.get("cells", F.get("places", F.lit(i))), F.lit(""))
+    return rows.select(*[cell(i).alias(c) for i, c in enumerate(wanted)])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

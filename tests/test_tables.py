@@ -193,6 +193,32 @@ def one_after_another(rules, values):
 RULES = "pos bigint, columna string, valor_actual string, valor_canonico string, aplicar boolean, invertir boolean"
 
 
+def test_keys_with_a_common_word_do_not_crowd(spark):
+    import random
+    rng = random.Random(5)
+    made, some = set(), set()
+    while len(made) < 2500:
+        rest = "".join(rng.choices("abcdefghijklmnop", k=rng.randint(9, 16)))
+        family = [f"universidad {rest}", f"universidad {rest[:4]}{rng.choice('xyz')}{rest[5:]}", f"universida {rest}z"]
+        made |= set(family)
+        some |= set(family) if len(some) < 300 else set()
+    df = spark.createDataFrame([("c", k) for k in made], "columna string, k string")
+    met = M.meeting_keys(df, 0.85).count()
+    assert met < 60 * len(made)         # every two keys share the first word: 3 million pairs
+    some = sorted(some) + ["a", "ab", "abc", "universidad", "universidad a"]
+    got = {(r.a, r.b) for r in M.similar_keys(spark.createDataFrame([("c", k) for k in some], "columna string, k string"), 0.85).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    want = {frozenset((a, b)) for i, a in enumerate(some) for b in some[:i] if abs(len(a) - len(b)) < 6 and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
+    assert {frozenset(p) for p in got} == want and len(got) == len(want) > 150
+
+
 def test_corrections_compose(spark):
     def resolved(*rules):
         df = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "pos int, columna string, valor_actual string, valor_canonico string, invertir boolean")
@@ -319,3 +345,35 @@ def test_masters_are_read_by_their_own_headers(spark, tmp_path):
     assert sorted(got.columns) == ["x", "y", "z"]
     assert {(r.x, r.y, r.z) for r in got.collect()} == {("1", "2", ""), ("3", "", ""), ("5", "4", ""), ("a\nb", "", "7"), ("8", "9", "")}
     assert {tuple(r) for r in scan_master(spark, str(tmp_path), ["y", "x"]).where("x = '5'").collect()} == {("4", "5")}
+
+
+def test_many_files_of_every_kind_in_one_plan(spark, tmp_path):
+    """Encodings, headers, blank lines, quotes and records over several lines, against Python's own reader."""
+    import csv
+    import random
+    rng, want = random.Random(6), []
+    for i in range(60):
+        names = rng.choice([["a", "b", "c"], ["b", "a", "ñ"], ["a", "c", "", "ñ"], ["c", "C", "b"]])
+        rows = [[rng.choice(["", "x", "Peña", 'q"t', "1,5", "  s ", f"v{i}", *(["two\nlines", "\n\nlong\n"] if i % 3 == 0 else [])]) for _ in names] for _ in range(rng.randrange(0, 12))]
+        rows = [r if any(c.strip() for c in r) else ["y", *r[1:]] for r in rows]
+        ragged = [r[:rng.randrange(1, len(r) + 1)] if rng.random() < .2 and r[0] else r for r in rows]
+        with open(tmp_path / f"f{i}.csv", "w", encoding="latin-1" if i % 7 == 1 else "utf-8", newline="") as f:
+            out = csv.writer(f, lineterminator="\r\n" if i % 2 else "\n")
+            out.writerow(names)
+            for r in ragged:
+                out.writerow(r)
+                if rng.random() < .1 and i % 3:
+                    f.write("\n")
+        low = [n.lower() for n in names]
+        shown = [f"_c{k}" if not n else f"{n}{k}" if low.count(n.lower()) > 1 else n for k, n in enumerate(names)]
+        if i % 7 != 1:
+            want += [{n: (r[k] if k < len(r) else "") for k, n in enumerate(shown)} for r in ragged]
+    (tmp_path / "empty.csv").write_text("")
+    grid = raw_grid(spark, [str(tmp_path)])
+    assert grid.select("_path").distinct().count() == 60
+    assert {c for r in grid.collect() for c in r.cells if "ñ" in c} <= {"Peña", "ñ"}
+    utf = [str(tmp_path / f"f{i}.csv") for i in range(60) if i % 7 != 1]
+    got = scan_master(spark, utf)
+    assert sorted(got.columns) == sorted({c for r in want for c in r})
+    key = lambda d: tuple(sorted((k, v) for k, v in d.items() if v))
+    assert sorted(key(r.asDict()) for r in got.collect()) == sorted(map(key, want))
