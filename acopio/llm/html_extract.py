@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import number_rows
+from ..operators.joins import fits_broadcast
 from ..session import stage
 from .common import table
 from .graph import components
@@ -29,6 +31,7 @@ from .url_filters import host_of, path_of
 # Fixed values of HTML: elements whose content is no text, that start a block, that stand alone, and that
 # hold what is not the article; words in a class, an id or a role that say the same.
 _RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object")
+_OPEN_RAW = ("script", "style")     # without an end tag these go on to the end of the page; the others hold nothing
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody
     td tfoot th thead title tr ul""".split())
@@ -43,13 +46,76 @@ _MAIN = re.compile(r"(?:^|[\s_-])(?:main|article(?:-?body)?|articleBody|post-?(?
 _STATE = re.compile(r"(?<![^\s])(?:has|have|with|without|no)[-_][^\s]*", re.I)
 _HEAD = re.compile(r"(?<![^\s])(?:article|post|entry|story)(?:[-_]+|(?=H))header(?![^\s])", re.I)
 _HOLDS = re.compile(r"</form\b|<(?:h1|main|article)\b", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# inside an article only an element whose class as a whole names what is beside it is left out
+_INSIDE = re.compile(r"""(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo|banner|cookies?|consent|notices?|nav|navbar|navigation|menu|
+    breadcrumbs?|sidebar|aside|widget|footer|comments?|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|
+    subscription|signup|login|popup|modal|overlay|toolbar|pagination|pager|search|complementary|contentinfo)
+    (?:[-_]*(?:list|box|signup|bar|area|section|form|links?|buttons?|icons?|block|unit|slot|container|wrap(?:per)?|thread|posts|articles|menu|\d+))?""", re.X | re.I)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _role(tag: str, attrs: str) -> int:
-    """1 for the page's article, -1 for what is beside it, -2 for what no article inside it lifts, 0 for neither."""
+class _Markup:
+    """Where the comments, tags and raw elements of a page end, in time in proportion to the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted, self.open = page, True, True
+        self.unclosed: set[str] = set()     # quotes and raw elements that are not closed from some place on
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, name, attributes) of the tag at ``at``; without a name for comments and declarations; None
+        if it is text. A ``>`` in quotes does not end a tag, unless some tag would then have no end at all."""
+        page = self.page
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return (end + 3 if end >= 0 else len(page)), "", "", ""
+        if page[at + 1:at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            return (end + 1 if end >= 0 else len(page)), "", "", ""
+        m = _NAME.match(page, at) if self.open else None
+        if not m:
+            return None
+        end = self._end(m.end())
+        if end < 0:
+            self.open = False       # no > is left on the page
+            return None
+        return end + 1, m[1], m[2].lower(), page[m.end():end]
+
+    def _end(self, at: int) -> int:
+        page, start = self.page, at
+        while self.quoted:
+            m = _STOP.search(page, at)
+            if not m:
+                self.quoted = False
+                break
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if m[0] not in self.unclosed:
+                close = page.find(m[0], at)
+                if close < 0:
+                    self.unclosed.add(m[0])
+                else:
+                    at = close + 1
+        return page.find(">", start)
+
+    def raw_end(self, name: str, at: int) -> int:
+        """The end of a raw element's content that begins at ``at``."""
+        if name not in self.unclosed:
+            for m in re.compile(rf"</{name}(?![^\s/>])", re.I).finditer(self.page, at):
+                end = self.page.find(">", m.end())
+                if end >= 0:
+                    return end + 1
+                break
+            self.unclosed.add(name)
+        return len(self.page) if name in _OPEN_RAW else at
+
+
+def _role(tag: str, attrs: str, inside: bool = False) -> int:
+    """1 for the page's article, -1 for what is beside it, -2 for what no article inside it lifts, 0 for neither.
+    ``inside``: the element stands in the article."""
     found = 0
     if tag in _SIDE:
         found = -2
@@ -62,7 +128,7 @@ def _role(tag: str, attrs: str) -> int:
                 return -2
             if name in ("class", "id", "role", "itemprop") and value:
                 plain = _HEAD.sub(" ", _STATE.sub(" ", value))
-                if _MARKED.search(plain):
+                if any(map(_INSIDE.fullmatch, plain.split())) if inside else _MARKED.search(plain):
                     found = min(found, -1) if found < 0 else -1
                 elif _MAIN.search(plain) or _HEAD.search(value):
                     found = found or 1
@@ -78,8 +144,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, int, str]] = []
     stack: list[tuple[str, int, int]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    role, lifted, at, frames = 0, 0, 0, True
+    role, lifted, at, frames, held = 0, 0, 0, True, None
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -89,16 +156,19 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def close(names: tuple[str, ...], stop: frozenset) -> None:
         nonlocal role, lifted
+        if not any(opened[x] for x in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 flush()
+                opened.subtract(x for x, _, _ in stack[i:])
                 del stack[i:]
                 role, lifted = stack[-1][1:] if stack else (0, 0)
                 return
             if stack[i][0] in stop:
                 return
 
-    n = len(page)
+    n, markup = len(page), _Markup(page)
     while at < n:
         cut = page.find("<", at)
         if cut < 0:
@@ -106,16 +176,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             break
         if cut > at:
             parts.append(page[at:cut])
-        m = _TOKEN.match(page, cut)
-        if not m:
+        token = markup.tag(cut)
+        if not token:
             parts.append("<")
             at = cut + 1
             continue
-        at = m.end()
-        if not m[2]:
+        at, slash, tag, attrs = token
+        if not tag:
             continue
-        tag, attrs = m[2].lower(), m[3]
-        if m[1]:
+        if slash:
             if tag in _BLOCK:
                 close((tag,), frozenset())
                 if tag == "p":
@@ -128,8 +197,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag == "svg" and attrs.endswith("/"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = markup.raw_end(tag, at)
             continue
         if tag == "br":
             parts.append(" ")
@@ -140,11 +208,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
             flush()
         if tag in _VOID or attrs.endswith("/"):
             continue
-        own = _role(tag, attrs)
+        own = _role(tag, attrs, role > 0)
         if own < 0 and tag in ("header", "label") and role > 0 and not _MARKED.search(attrs.replace("=", " ").replace('"', " ")):
             own = 0
         if tag == "form" and own < 0 and frames and not _role("div", attrs):
-            held = _HOLDS.search(page, at)
+            if held is None or held.start() < at:
+                held = _HOLDS.search(page, at)
             frames = held is not None     # none further on either
             if held and held[0][1] != "/":
                 own = 0
@@ -153,6 +222,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 flush()
             anew = 1 if tag in ("article", "main") and own > 0 and lifted == -1 else lifted if lifted < 0 else own or lifted
             stack.append((tag, role if role < 0 else own or role, anew))
+            opened[tag] += 1
             role, lifted = stack[-1][1:]
     flush()
     if all(r <= 0 for r, _, _ in out):
@@ -307,16 +377,19 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                         lines_of(F.col("html")).alias("l")).select("page_id", "url", "host", "path", "l.*")
-    rows = stage(rows, "pages")
+    rows = stage(rows, "pages", codec="zstd")
     found = _differenced(_ordered(rows))
-    taken = found.select("host", "key", "same").join(_site_lines(found), ["host", "key"], "left")
-    marked = F.exists("lines", lambda x: x["role"] > 0)
-    none = F.array().cast("array<bigint>")
-    gone = lambda i: F.coalesce(F.get("same", i), F.lit(False))
-    own = F.filter("lines", lambda x, i: (x["role"] > 0) & ~(gone(i) & F.array_contains(F.coalesce("site", none), F.get("hashes", i))))
-    rest = F.filter("lines", lambda x, i: ~gone(i))
-    return rows.join(taken, ["host", "key"], "left").select(
-        "page_id", "url", F.when(marked, _joined(own)).otherwise(_joined(rest)).alias("text"))
+    found = found.join(_site_lines(found), ["host", "key"], "left")
+    marked = F.exists("roles", lambda r: r > 0)
+    site = F.coalesce("site", F.array().cast("array<bigint>"))
+    each = F.arrays_zip("hashes", "roles", "same")
+    gone = F.when(marked, F.transform(each, lambda x: (x["roles"] > 0) & x["same"] & F.array_contains(site, x["hashes"]))).otherwise(F.col("same"))
+    # only pages that lose a line are looked up; their texts stay where they are unless those are too many
+    lost = stage(found.select("host", "key", gone.alias("gone")).where(F.exists("gone", lambda g: g)), "lost-lines")
+    joined = rows.join(F.broadcast(lost) if fits_broadcast(lost) else lost, ["host", "key"], "left")
+    least = F.when(F.exists("lines", lambda x: x["role"] > 0), 1).otherwise(0)
+    text = _joined(F.filter("lines", lambda x, i: (x["role"] >= F.col("least")) & ~F.coalesce(F.get("gone", i), F.lit(False))))
+    return joined.withColumn("least", least).select("page_id", "url", text.alias("text"))
 
 
 @query("op5_html")
