@@ -1,29 +1,29 @@
 """Personal data: exact patterns, then terms that reveal what the patterns found.
 
-Protected entities are the pattern matches. A term near an entity reveals it to the degree that the
-corpus shows the two together: its pointwise mutual information with the entity, as a share of the
-entity's information content. Terms from a threshold on become spans as well; all spans can be generalised
-or removed. Support is counted in distinct contexts, so copies of one passage count once.
+Protected entities are the pattern matches. A term reveals an entity to the degree that the corpus shows the two in
+the same texts: their pointwise mutual information as a share of the entity's information content. Everything is
+counted in different texts, so copies weigh as one. Terms from a threshold on become spans wherever they stand; all
+spans can be generalised or removed.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..operators.joins import attach, fits_broadcast
+from ..session import pin, stage
 from .common import table
 from .registry import query
 
 KINDS = ("email", "ip", "card", "phone", "term")
-FLUSH = 400_000    # distinct words a task gathers before it passes their counts on
+FLUSH = 48 << 20   # bytes, as reckoned, of the words that a task gathers before it passes their counts on
+ENTRY = 120        # bytes that a gathered word takes besides its letters
 
 # Patterns of the contract. A run of digits is entered at its start only, where a match can begin.
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -38,8 +38,8 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 class Disclosure:
     """Production parameters."""
 
-    window: int = 80          # characters on either side of an entity in which terms are weighed
-    min_contexts: int = 3     # distinct contexts that show a term with an entity
+    min_texts: int = 3        # different texts that show an entity, and a term with it
+    prior: float = 1.0        # texts that a term is taken to stand in without the entity, besides those seen
     threshold: float = 0.9    # least share of the entity's information that a term gives away
 
 
@@ -82,84 +82,164 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_SEEN = "struct<entity:string,term:string,start:int,end:int,context:bigint>"
-
-
-def _near(text: str, spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple]:
-    """Terms close to each entity, with a hash of the words around it."""
-    for a, kind, b in spans:
-        shown = text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b])
-        lo, hi = max(0, a - window), min(len(text), b + window)
-        terms = [(m.group().lower(), m.start(), m.end()) for m in _TERM.finditer(text, lo, hi)
-                 if (m.start() == 0 or m.start() > lo) and (m.end() == len(text) or m.end() < hi)
-                 and not any(x < m.end() and m.start() < y for x, _, y in spans)]
-        context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in terms).encode()) - (1 << 63)
-        for t, x, y in terms:
-            yield f"{KINDS[kind]}:{shown}", t, x, y, context
-
-
-def found(text: Column, window: int) -> Column:
-    """struct(spans, seen): a text's pattern matches, and the terms near them."""
-    @F.arrow_udf(f"struct<spans:array<{_SPAN}>,seen:array<{_SEEN}>>")
-    def scan(texts: pa.Array) -> pa.Array:
-        spans, seen = [], []
-        for x in texts:
-            text = x.as_py() or ""
-            got = base_spans(text)
-            spans.append([{"start": a, "kind": k, "end": b} for a, k, b in got])
-            seen.append([dict(zip(("entity", "term", "start", "end", "context"), t)) for t in _near(text, got, window)])
-        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()),
-                                   ("end", pa.int32()), ("context", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(spans, span), pa.array(seen, near)], ["spans", "seen"])
-    return scan(text)
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): in how many of all texts each term stands. Tasks add up before the shuffle."""
-    def batch_of(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+_TERM_KIND = len(KINDS) - 1
 
+
+def entity_of(text: str, span: tuple[int, int, int]) -> str:
+    """What a span names: the same address or number however it is written."""
+    a, kind, b = span
+    return f"{KINDS[kind]}:{text[a:b].lower() if kind < 2 else re.sub('[^0-9]', '', text[a:b])}"
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the terms of a text that no span touches. Both are in order, so each is passed once."""
+    if not spans:
+        yield from (m.span() for m in _TERM.finditer(text))
+        return
+    at, reach = 0, 0        # reach: the furthest end of the spans that begin before the term's end
+    for m in _TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            yield m.span()
+
+
+def term_set(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    if not spans:
+        return {t.lower() for t in _TERM.findall(text)}
+    return {text[a:b].lower() for a, b in terms_of(text, spans)}
+
+
+def _evidence(keyed: DataFrame) -> DataFrame:
+    """(kind, key, what, n) of ``keyed`` (text, key, share): with kind 0 the entities of each text, with kind 1 in how
+    many different texts each term stands. A copy counts for its share, so that all copies count for one; tasks add up
+    before the shuffle, and pass their counts on by size."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: dict[str, float] = {}
+        size = 0
+        for batch in batches:
+            found: set[tuple[int, str]] = set()
+            for x, key, share in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                text = x.as_py()
+                spans = base_spans(text)
+                found.update((key, entity_of(text, s)) for s in spans)
+                for t in term_set(text, spans):
+                    n = held.get(t)
+                    if n is None:
+                        size += ENTRY + len(t)
+                        held[t] = share
+                    else:
+                        held[t] = n + share
+                if size >= FLUSH:
+                    yield rows(1, [0] * len(held), list(held), list(held.values()))
+                    held, size = {}, 0
+            yield rows(0, [k for k, _ in found], [e for _, e in found], [0.0] * len(found))
+        yield rows(1, [0] * len(held), list(held), list(held.values()))
+
+    def rows(kind: int, key: list, what: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.int32()), pa.array(key, pa.int64()), pa.array(what, pa.string()),
+                                           pa.array(n, pa.float64())], ["kind", "key", "what", "n"])
+
+    found = keyed.select("text", "key", "share").mapInArrow(gather, "kind int, key bigint, what string, n double")
+    return found.groupBy("kind", "key", "what").agg(F.sum("n").alias("n"))
+
+
+def _text_terms(texts: DataFrame) -> DataFrame:
+    """(key, term) of ``texts`` (key, text): the terms of each."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                seen.update(set(_TERM.findall((x.as_py() or "").lower())))
-                if len(seen) >= FLUSH:
-                    yield batch_of(seen)
-                    seen = Counter()
-        yield batch_of(seen)
-
-    return docs.select("text").mapInArrow(gather, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def revealing(seen: DataFrame, counts: DataFrame, n_docs: int, rules: Disclosure = Disclosure()) -> DataFrame:
-    """(entity, term, disclosure) of the pairs from the threshold on."""
-    shown = seen.select("entity", "term", "context").distinct()
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = shown.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= rules.min_contexts)
-    both = pairs.join(entities, "entity").join(counts, "term")
-    n = F.greatest(F.lit(float(n_docs)), F.col("n"), F.col("n_entity"))
-    information = F.log(n / F.col("n_entity"))
-    mutual = F.log(n * F.col("n_both") / (F.col("n_entity") * F.greatest("n", "n_both")))
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py()
+                terms = sorted(term_set(text, base_spans(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["key", "term"])
+    return texts.select("key", "text").mapInArrow(each, "key bigint, term string")
+
+
+def revealing(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
+    """(entity, term, n_entity, n_term, n_both, disclosure) of the pairs from the threshold on.
+
+    All numbers count different texts of ``docs`` (text). disclosure is the pointwise mutual information of term and
+    entity as a share of the entity's information, with the chance of the entity given the term taken as
+    n_both / (n_term + prior). Only entities and pairs in at least ``min_texts`` different texts are judged.
+    """
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
+    n = float(texts.count())
+    copied = texts.where("copies > 1")
+    shared = attach(keyed, copied, ["key"], "left", ready=True).withColumn("share", 1 / F.coalesce("copies", F.lit(1)).cast("double"))
+    evidence = stage(_evidence(shared), "pii-evidence")
+    held = evidence.where("kind = 0").select("key", F.col("what").alias("entity"))
+    known = stage(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= rules.min_texts), "pii-entities")
+    # a term that stands in more texts than this cannot reveal the entity
+    most = (F.col("n_entity") * F.pow(F.lit(n) / F.col("n_entity"), 1 - rules.threshold) - rules.prior).alias("most")
+    widest = known.agg(F.max(most)).first()[0] or 0.0
+    terms = evidence.where("kind = 1").select(F.col("what").alias("term"), F.round("n").cast("bigint").alias("n_term"))
+    terms = terms.where(F.col("n_term").between(rules.min_texts, int(widest) + 1))
+    of = stage(held.join(known, "entity").select("key", "entity", "n_entity", most), "pii-known")
+    mine = attach(keyed, of.select("key").distinct(), ["key"], "left_semi").dropDuplicates(["key"])
+    near = _text_terms(mine).join(terms, "term").join(of, "key").where(F.col("n_term") <= F.col("most") + 1)
+    both = near.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= rules.min_texts)
+    information = F.log(F.lit(n) / F.col("n_entity"))
+    mutual = F.log(F.lit(n) * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + rules.prior)))
     share = F.when(information > 0, mutual / information).otherwise(0.0).alias("disclosure")
-    return both.select("entity", "term", share).where(F.col("disclosure") >= rules.threshold)
+    return both.select("*", share).where(F.col("disclosure") >= rules.threshold)
+
+
+def _marked(text: str, terms: frozenset) -> tuple[list, list]:
+    """A text's pattern matches, and the spans of its terms that are in ``terms``."""
+    spans = base_spans(text)
+    if not terms or terms.isdisjoint(term_set(text, spans)):
+        return spans, []
+    return spans, [(a, _TERM_KIND, b) for a, b in terms_of(text, spans) if text[a:b].lower() in terms]
+
+
+def _rows(spans: list[list[tuple]]) -> pa.Array:
+    return pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in spans], _SPANS)
 
 
 def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
-    """(row, doc_id, spans, terms) per row of ``docs`` (doc_id, text; the rest stays out): spans by pattern,
-    and the spans of revealing terms near the entities they reveal.
+    """(doc_id, text, spans, terms) per row of ``docs`` (doc_id, text; the rest stays out): spans by pattern, and the
+    spans of revealing terms, wherever in the corpus they stand outside of those.
 
-    Null and empty texts have no spans; repeated rows and null ids are kept; a text of any length is read whole.
+    Null and empty texts have no spans; repeated rows and null ids are kept, and copies of a text weigh as one; a text
+    of any length is read whole; an empty table gives an empty result. The terms to mark are broadcast if they are few
+    (``fits_broadcast``), else every term is looked up in a join.
     """
-    rows = docs.select("doc_id", found(F.col("text"), rules.window).alias("f")).select("doc_id", "f.spans", "f.seen")
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    seen = rows.select("row", F.inline("seen"))
-    strong = revealing(seen, term_counts(docs), rows.count(), rules)
-    marked = seen.join(strong, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(
-        F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end"))).alias("terms"))
+    strong = pin(revealing(docs, rules).select("term").distinct())
+    if not fits_broadcast(strong):
+        return _joined(docs, strong)
+    terms = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in strong.collect()))
+
+    @F.arrow_udf(f"struct<spans:array<{_SPAN}>,terms:array<{_SPAN}>>")
+    def mark(texts: pa.Array) -> pa.Array:
+        found = [_marked(x.as_py() or "", terms.value) for x in texts]
+        return pa.StructArray.from_arrays([_rows([s for s, _ in found]), _rows([t for _, t in found])], ["spans", "terms"])
+    return docs.select("doc_id", "text", mark("text").alias("m")).select("doc_id", "text", "m.spans", "m.terms")
+
+
+def _joined(docs: DataFrame, strong: DataFrame) -> DataFrame:
+    """``find`` for any number of terms."""
+    rows = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+
+    @F.arrow_udf(f"array<{_SPAN}>")
+    def base(texts: pa.Array) -> pa.Array:
+        return _rows([base_spans(x.as_py() or "") for x in texts])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py() or ""
+                at = list(terms_of(text, base_spans(text)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * len(at), pa.int64()), pa.array([text[a:b].lower() for a, b in at], pa.string()),
+                     pa.array([a for a, _ in at], pa.int32()), pa.array([b for _, b in at], pa.int32())], ["row", "term", "start", "end"])
+
+    stand = rows.select("row", "text").mapInArrow(each, "row bigint, term string, start int, end int").join(strong, "term", "left_semi")
+    terms = stand.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(_TERM_KIND).alias("kind"), "end"))).alias("terms"))
     none = F.array().cast(f"array<{_SPAN}>")
-    return rows.select("row", "doc_id", "spans").join(marked, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    return rows.join(terms, "row", "left").select("doc_id", "text", base("text").alias("spans"), F.coalesce("terms", none).alias("terms"))
 
 
 def sanitise(text: Column, spans: Column, terms: Column) -> Column:
@@ -185,9 +265,13 @@ def listed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(kind: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 @query("op9_pii")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [_of_kind(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return find(table(spark, sf_dir, "documents")).select(
         "doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"),
         listed(F.array_sort(F.concat("spans", "terms"))).alias("spans"))

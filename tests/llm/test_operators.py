@@ -238,12 +238,12 @@ def test_personal_data(docs):
 
 def test_terms_that_reveal(spark):
     rows = [(i, f"Item {w} saw Quixotl near the {w} of jane@corp.org and {w} left again today") for i, w in enumerate(("apple", "berry", "cedar", "daisy", "elder"))]
-    rows += [(100 + i, "the and left again today of near item saw") for i in range(60)]
+    rows += [(100 + i, f"the and left again today of near item saw {i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r for r in pii.find(df).collect()}
     words = {rows[0][1][s["start"]:s["end"]].lower() for s in got[0].terms}
     assert "quixotl" in words and not words & {"the", "and", "again", "apple"} and got[100].terms == []
-    clean = pii.find(df).join(df, "doc_id").where("doc_id = 0").select(pii.sanitise(F.col("text"), F.col("spans"), F.col("terms"))).first()[0]
+    clean = pii.find(df).where("doc_id = 0").select(pii.sanitise(F.col("text"), F.col("spans"), F.col("terms"))).first()[0]
     assert "Quixotl" not in clean and "[email]" in clean
 
 
