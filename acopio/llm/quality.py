@@ -4,6 +4,7 @@ lines go, and a document that loses too much of its text is rejected. DataFrame
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,13 @@ class Rules:
 
     min_words: int = 50           # base rule of the contract
     max_repeat_percent: int = 50  # base rule of the contract
-    max_marked: float = 0.3       # share of a line's words that end in !! or in two or more signs
-    max_separators: float = 0.2   # share of a line's words that are a lone separator
+    max_marked: float = 0.3       # share of a line's words that end in two or more signs
+    max_separators: float = 0.2   # share of a line's words without a letter or digit, but for single dashes
+    max_dashes: float = 0.3       # the same with them
+    max_signs: float = 0.3        # share of a line's characters that are punctuation or symbols, if there are as many as
+    min_signs: int = 5
+    entry_words: int = 3          # a line of at most so many words that nothing closes is an entry, and
+    entries: int = 4              # so many entries in a row are a menu
     boilerplate_words: int = 25   # a longer line is no notice
     max_lost: float = 0.5         # share of the words that may go with failing lines
 
@@ -78,19 +84,49 @@ def n_words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
-def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """True for a line with a word that breaks one of the line rules; blank lines never fail.
+_GAP = r"[\x20\x09-\x0D]"
+_SIGN = r"[\p{P}\p{S}]"
+#: A word's end of two signs that no sentence has, and the end of a line that is closed.
+_MARKED = r"(?:[!?]{2}|[\p{S}#*%&@/\\_]{2})"
+_CLOSED = r"""[.!?…:;,"”»)\]]""" + _GAP + "*"
 
-    Punctuation: many words end in ``!!`` or in two or more of ``#*$%&``. Navigation: many words are a
-    lone ``|``, ``>``, ``»`` or ``•``. Boilerplate: a short line with a phrase of a notice, or one word
-    over and over (six or more times).
+
+def measured(line: Column) -> Column:
+    """struct(n, signs): a line's words, and its characters that are punctuation or symbols."""
+    return F.struct(n_words(line).alias("n"), F.regexp_count(line, F.lit(_SIGN)).alias("signs"))
+
+
+def line_fails(line: Column, of: Column, rules: Rules = Rules()) -> Column:
+    """True for a line with a word that breaks a rule on the line alone (``of``: its ``measured``); blank lines never fail.
+
+    Punctuation: many words end in two signs (``!!``, ``??`` or any two symbols), or many of the characters are
+    punctuation and symbols. Navigation: many words have no letter or digit, whatever sign they are (separators,
+    rulers). Boilerplate: a short line with a phrase of a notice, or one word over and over (six or more times).
+    Lines with few signs cannot break the first two and are not looked at for them.
     """
-    n = n_words(line)
-    marked = F.regexp_count(line, F.lit(r"(?:!!|[#*$%&]{2})(?=[\x20\x09-\x0D]|$)"))
-    links = F.regexp_count(line, F.lit(r"(?:^|(?<=[\x20\x09-\x0D]))[|>»•](?=[\x20\x09-\x0D]|$)"))
+    n, signs = of["n"], of["signs"]
+    marked = F.regexp_count(line, F.lit(rf"{_MARKED}(?={_GAP}|\z)"))
+    lone = F.regexp_count(line, F.lit(rf"(?:^|(?<={_GAP})){_SIGN}+(?={_GAP}|\z)"))
+    dashes = F.regexp_count(line, F.lit(rf"(?:^|(?<={_GAP}))[-–—](?={_GAP}|\z)"))
+    dense = (signs >= rules.min_signs) & (signs > rules.max_signs * F.length(F.translate(line, " \t\x0b\x0c\r", "")))
+    signed = dense | (marked > rules.max_marked * n) | (lone - dashes > rules.max_separators * n) | (lone > rules.max_dashes * n)
+    # a marked word has two signs, a lone one has one, and no line has more words than characters
+    few = min(2 * rules.max_marked, rules.max_separators, rules.max_dashes, rules.max_signs)
     notice = (n <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
-    drone = line.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){5}(?:[\x20\x09-\x0D]|$)")
-    return (n > 0) & ((marked > rules.max_marked * n) | (links > rules.max_separators * n) | notice | drone)
+    drone = (n >= 6) & line.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){5}(?:[\x20\x09-\x0D]|$)")
+    return (n > 0) & (F.when(signs > few * n, signed).otherwise(False) | notice | drone)
+
+
+def is_entry(line: Column, n: Column, rules: Rules = Rules()) -> Column:
+    """True for a line of few words that no punctuation closes, as menus have them one below the other."""
+    return (n > 0) & (n <= rules.entry_words) & ~line.rlike(rf"{_CLOSED}\z")
+
+
+def in_runs(flags: Column, length: int) -> Column:
+    """Per place of an array of flags, whether it lies in a run of at least ``length`` true ones."""
+    at = lambda x, i: F.coalesce(F.get(x, i), F.lit(False))
+    begins = F.transform(flags, lambda f, i: reduce(lambda a, b: a & b, [at(flags, i + k) for k in range(length)]))
+    return bind(begins, lambda b: F.transform(b, lambda _, i: reduce(lambda x, y: x | y, [at(b, i - k) for k in range(length)])))
 
 
 def judge_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -107,14 +143,18 @@ def judge_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rows = rows.select(*names, *[c.alias(name) for name, c in counts.items()])
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"),
-                        lambda x: F.struct(x.alias("line"), n_words(x).alias("n"), line_fails(x, rules).alias("fails")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: bind(measured(x), lambda of: F.struct(
+        x.alias("line"), of["n"].alias("n"), line_fails(x, of, rules).alias("fails"), is_entry(x, of["n"], rules).alias("entry"))))
     rows = rows.withColumn("base_failed", failed).withColumn("_lines", lines)
+    menus = in_runs(F.transform("_lines", lambda x: x["entry"]), rules.entries)
+    some = F.exists("_lines", lambda x: x["entry"])
+    rows = rows.withColumn("_menus", F.when(some, menus)).withColumn("_lines", F.transform("_lines", lambda x, i: F.struct(
+        x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | F.coalesce(F.get("_menus", i), F.lit(False))).alias("fails"))))
     rows = rows.withColumn("lost_words", F.aggregate(
         "_lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0)))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost * F.col("n_words"))
     left = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines")
+    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines", "_menus")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -129,12 +169,15 @@ win AS (SELECT rid, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT
 dup AS (SELECT rid, g FROM win GROUP BY ALL HAVING count(*) > 1),
 pos AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win SEMI JOIN dup USING (rid, g)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM pos GROUP BY rid),
-lin AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-cnt AS (SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: regexp_matches(x, '(!!|[#*$%&][#*$%&])$'))) AS marked,
-    len(list_filter(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: x IN ('|', '>', '»', '•'))) AS links FROM lin),
-run AS (SELECT rid, line, n, marked, links, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v FROM cnt WHERE n > 0),
-jud AS (SELECT rid, line, n, marked > 0.3 * n OR links > 0.2 * n OR (n <= 25 AND regexp_matches(lower(line), '{phrases}'))
+lin AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+cnt AS (SELECT rid, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v, len(v) AS n,
+    len(list_filter(v, lambda x: regexp_matches(x, '([!?]{{2}}|[\p{{S}}#*%&@/\\_]{{2}})$'))) AS marked,
+    len(list_filter(v, lambda x: regexp_full_match(x, '[\p{{P}}\p{{S}}]+'))) AS lone, len(list_filter(v, lambda x: x IN ('-', '–', '—'))) AS dashes,
+    len(regexp_extract_all(line, '[\p{{P}}\p{{S}}]')) AS signs, length(array_to_string(v, '')) AS chars,
+    len(v) BETWEEN 1 AND 3 AND NOT regexp_matches(line, '[.!?…:;,"”»)\]][\x20\x09-\x0D]*$') AS entry FROM lin),
+beg AS (SELECT *, sum(CAST(entry AS INTEGER)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) = 4 AS begins FROM cnt),
+run AS (SELECT * FROM (SELECT *, max(CAST(begins AS INTEGER)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) = 1 AS menu FROM beg) m WHERE n > 0),
+jud AS (SELECT rid, line, n, marked > 0.3 * n OR lone - dashes > 0.2 * n OR lone > 0.3 * n OR (signs >= 5 AND signs > 0.3 * chars) OR menu OR (n <= 25 AND regexp_matches(lower(line), '{phrases}'))
     OR len(list_filter(generate_series(1, len(v) - 5), lambda i: v[i] = v[i+1] AND v[i] = v[i+2] AND v[i] = v[i+3] AND v[i] = v[i+4] AND v[i] = v[i+5])) > 0 AS fails FROM run),
 los AS (SELECT rid, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) - count(DISTINCT line) AS dups FROM jud GROUP BY rid),
 base AS (SELECT d.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -143,7 +186,7 @@ base AS (SELECT d.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(ar
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost <= 0.5 * n_words AS kept FROM base
-""".replace("{phrases}", "|".join(BOILERPLATE))
+""".replace("{phrases}", "|".join(BOILERPLATE)).replace("{{", "{").replace("}}", "}")
 
 
 @query("op6_quality_rules", _SQL)
