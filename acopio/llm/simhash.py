@@ -176,6 +176,12 @@ def links(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
     return members.groupBy("depth", "home").applyInPandas(lambda g: _links(g, budget), "a bigint, b bigint")
 
 
+def _roots(prints: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """(fp, root) for each of the distinct fingerprints ``prints`` (fp): one fingerprint names its component."""
+    parts = stage(components(links(prints, budget, leaf)), "components")
+    return prints.join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text; the rest stays out).
 
@@ -185,15 +191,31 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) ->
     """
     rows = stage(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    parts = stage(components(links(prints.select("fp"), budget, leaf)), "components")
-    rooted = prints.join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = prints.join(_roots(prints.select("fp"), budget, leaf), "fp")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = stage(rooted.join(least, "root").select("fp", "component_id"), "component-ids")
     return rows.join(final, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) of which each component of near-duplicates keeps one: that
+    with the smallest doc_id, null last, and of several the one whose columns hash lowest.
+
+    Rows are told apart by all their columns, so rows of one id with different texts are judged each; of rows
+    that are equal throughout one stays. Null and empty texts are alike. Whole rows are moved once.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = [x for c in names for x in (c, c.isNull())]
+    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(*marked).alias("row_1"), F.xxhash64(F.lit(1), *marked).alias("row_2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_1", "row_2")).alias("first")
+    slim = stage(rows.select("row.doc_id", "row_1", "row_2", fingerprint(F.col("row.text")).alias("fp")), "fingerprints")
+    prints = stage(slim.groupBy("fp").agg(first), "prints")
+    rooted = prints.join(_roots(prints.select("fp"), budget, leaf), "fp")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row_1", "first.row_2")
+    return rows.dropDuplicates(["row_1", "row_2"]).join(stage(kept, "kept-rows"), ["row_1", "row_2"], "left_semi").select("row.*")
+
+
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

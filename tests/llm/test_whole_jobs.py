@@ -1,65 +1,77 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import re
 from collections import defaultdict
 from itertools import combinations
 
-import corpus_pipeline
-from acopio.llm import html_extract, near_dup, url_filters
-
-
-def sets_of(text, n=5):
-    w = (text or "").lower().split()
-    return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
-
-
-def brute_components(rows, least=0.8):
-    sets = [(i, sets_of(t)) for i, t in rows]
-    at, root = defaultdict(set), list(range(len(rows)))
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for k, (_, s) in enumerate(sets):
-        for g in s or [()]:
-            at[g].add(k)
-    for j, (_, s) in enumerate(sets):
-        for k in set().union(*(at[g] for g in s or [()])):
-            o = sets[k][1]
-            if k < j and (s == o or len(s & o) / len(s | o) >= least):
-                root[max(top(j), top(k))] = min(top(j), top(k))
-    ids = defaultdict(list)
-    for k, (i, _) in enumerate(sets):
-        ids[top(k)].append(i)
-    return sorted((i, min(g)) for g in ids.values() for i in g)
-
-
-def test_near_duplicates_as_brute_force_jaccard(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    want = brute_components([tuple(r) for r in docs.collect()])
-    assert sorted(map(tuple, near_dup.near_duplicates(docs).collect())) == want
-    assert (56, 2) in want and (255, 1) in want
-
-
-def test_a_group_of_near_copies_and_pairs_at_the_threshold(spark):
-    base = [f"w{i}" for i in range(200)]
-    rows = [(k, " ".join(base[:k] + ["x%d" % k] + base[k + 1:])) for k in range(150)]                   # each near the next
-    rows += [(500 + k, " ".join(base[100:140] + [f"q{k}v{i}" for i in range(300)])) for k in range(30)]  # a shared passage only
-    rows += [(600, " ".join(f"t{i}" for i in range(14))), (601, " ".join(f"t{i}" for i in range(12)))]   # 8 of 10 shingles
-    rows += [(700, " ".join(f"u{i}" for i in range(13))), (701, " ".join(f"u{i}" for i in range(11)))]   # 7 of 9
-    rows += [(800, ""), (801, None), (802, "a b"), (803, "A  b")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted(map(tuple, near_dup.near_duplicates(df).collect()))
-    assert got == brute_components(rows) and (601, 600) in got and (701, 701) in got and (149, 0) in got
-
+import xxhash
+from pyspark.sql import functions as F
 
-def test_pipeline_stage_keeps_the_first_of_each_group(spark):
+import corpus_pipeline
+from acopio.llm import html_extract, quality, simhash, url_filters
+
+
+def plain_print(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def kept_by_hand(rows, bits=2):
+    """The rows (doc_id, text, ...) that stay, each group's smallest ids only; all candidates of a tie."""
+    prints = [plain_print(r[1]) for r in rows]
+    known = sorted(set(prints))
+    root = {p: p for p in known}
+    for _ in known:
+        new = {p: min(root[q] for q in known if bin(p ^ q).count("1") <= bits) for p in known}
+        if new == root:
+            break
+        root = new
+    groups = defaultdict(list)
+    for r, p in zip(rows, prints):
+        groups[root[p]].append(r)
+    least = lambda g: min(((r[0] is None, r[0] or 0) for r in g))
+    return [{r for r in g if (r[0] is None, r[0] or 0) == least(g)} for g in groups.values()]
+
+
+def stays(got, groups):
+    """Exactly one of each group's candidates is in ``got``."""
+    return len(got) == len(groups) and all(sum(r in g for r in got) == 1 for g in groups)
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 40
+    rows = [(1, "one two three four", "u"), (1, "entirely other words stand here", "v"), (1, "one two three four", "u"), (2, "One two THREE four", "w"),
+            (None, "no id here at all", None), (None, None, "x"), (5, "", "y"), (5, " \n", "y"), (7, near + "end", None), (6, near + "End", None), (8, "one two three four", "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row_1 string").selectExpr("*", "row_1 AS fp", "doc_id AS root", "text AS row")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    got = [tuple(r)[:3] for r in got.collect()]
+    assert stays(got, kept_by_hand(rows)) and {(1, "entirely other words stand here", "v"), (6, near + "End", None)} <= set(got)
+    assert len([r for r in got if r[0] == 1]) == 2
+    assert simhash.one_of_each(df.limit(0)).collect() == []
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want = {least for _, least in brute_components([(r.doc_id, r.text) for r in docs.collect()])}
     near = corpus_pipeline.near_dedup(spark, docs, "")
-    assert near.columns == docs.columns and sorted(r.doc_id for r in near.select("doc_id").collect()) == sorted(want)
+    assert near.columns == docs.columns
+    assert stays([tuple(r) for r in near.collect()], kept_by_hand([tuple(r) for r in docs.collect()]))
+
+
+def test_pipeline_on_awkward_rows_and_none(spark, tmp_path):
+    body = "\n".join(f"Line{i} tells of river{i} and mountain{i} with {i} boats under bridge{i} on a day{i} in spring{i}." for i in range(12))
+    rows = [(1, body, "en", "a", 5), (1, body.replace("river", "lakes and longer rivers").replace("boats", "carts"), "en", "a", 5), (None, body.replace("mountain", "hill").replace("bridge", "old bridge"), None, None, None),
+            (2, None, None, "b", 0), (3, "", "en", None, 0), (4, body, "en", "a", 5), (4, body, "en", "a", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("ids", F.lit("clash"))
+    for name, table in (("some", df), ("none", df.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns == ["doc_id", "ids", "decoded"]
+        assert (got.count() > 0) == (name == "some") and got.where("size(ids) = 0").isEmpty()
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, df, "").columns == corpus_pipeline.COLUMNS
 
 
 def text_of(page):
@@ -135,3 +147,99 @@ def test_rules_of_any_length_as_brute_force(spark):
     want = {c: hit[c] for c, v in conf.items() if v >= .6 and not any(conf[p] >= v for k in range(1, len(c)) for p in combinations(c, k))}
     got = url_filters.mine_rules(spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")).collect()
     assert {tuple(r.tokens): r.support for r in got} == want and ("a", "b", "c", "d") in want
+
+
+def plain_rules(baskets, least=10, confidence=.6):
+    """token set -> (support, confidence) of the rules no part of which says as much; equal tokens count as the first."""
+    at = defaultdict(set)
+    for i, (tokens, _) in enumerate(baskets):
+        for t in tokens:
+            at[t].add(i)
+    named = {}
+    for t in sorted(at):
+        named.setdefault(frozenset(at[t]), t)
+    kinds = set(named.values())
+    count, hit = defaultdict(int), defaultdict(int)
+    for tokens, blocked in baskets:
+        own = sorted(set(tokens) & kinds)
+        for k in range(1, len(own) + 1):
+            for c in combinations(own, k):
+                count[c] += 1
+                hit[c] += blocked
+    conf = {c: hit[c] / count[c] for c in count if hit[c] >= least}
+    return {c: (hit[c], v) for c, v in conf.items() if v >= confidence and not any(conf[p] >= v for k in range(1, len(c)) for p in combinations(c, k))}
+
+
+def test_fp_growth_and_level_by_level_give_the_plain_rules(spark):
+    rng = random.Random(3)
+    baskets = []
+    for i in range(900):
+        host = rng.choice(["bad", "good", "mixed"])
+        tokens = sorted({f"domain:{host}.org", f"host:{host}", "domain:org", *(f"path:{x}" for x in "uvwxyz" if rng.random() < .35)})
+        baskets.append((tokens, (host == "bad" and rng.random() < .9) or (host == "mixed" and {"path:u", "path:v"} <= set(tokens)) or rng.random() < .05))
+    baskets += [(["only", "pair"], True)] * 40 + [(["few"], True)] * 9
+    df = spark.createDataFrame(baskets, "tokens array<string>, blocked boolean")
+    want = plain_rules(baskets)
+    for wide in (14, 1):
+        got = url_filters.mine_rules(df, url_filters.Mining(wide=wide)).collect()
+        assert {tuple(r.tokens): (r.support, r.confidence) for r in got} == want, wide
+    assert ("only",) in want and ("domain:bad.org",) in want and any(len(c) == 3 for c in want)
+    assert url_filters.mine_rules(df.where("NOT blocked")).collect() == [] == url_filters.mine_rules(df.limit(0)).collect()
+
+
+def test_verdicts_as_plain_matching(spark):
+    """Every page against every plain rule, hot hosts and repeated rows included."""
+    rng = random.Random(12)
+    urls = [None, "nourl", "http://", "http://a.com/x", "HTTP://Net/es/1"]
+    for i in range(700):
+        host = rng.choice(["spam.org", "spam.org", "www.fine.net", "news.example.com", "x.example.com", "shop.info"])
+        urls.append(f"http://{host}/{rng.choice(['en', 'es', 'fr', 'win'])}/{rng.choice(['win', 'read', 'cash'])}/{i % 40}")
+    urls += urls[5:60]
+    pages = spark.createDataFrame([(i, u, "x", "x") for i, u in enumerate(urls)], "page_id bigint, url string, tokens string, mined string")
+    labels = [(i, int(not ("spam" in u or "cash" in u)), rng.choice([0, None])) for i, u in enumerate(urls) if u and i % 3 and i < 600]
+    got = {r.page_id: r for r in url_filters.judge(pages, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+
+    def host_path(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def tokens(u):
+        host, path = host_path(u)
+        names = [x for x in host.split(".") if x]
+        out = {"domain:" + ".".join(names[i:]) for i in range(len(names))} | {f"host:{x}" for x in names}
+        return out | {"path:" + ("#" if x.isdigit() and x.isascii() else x) for x in re.split(r"[/._\-=&+~]+", path.lower()) if x}
+    rules = plain_rules([(sorted(tokens(urls[i])), not q) for i, q, _ in labels if tokens(urls[i])])
+    assert len(rules) > 1
+    for i, u in enumerate(urls):
+        host, path = host_path(u)
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if any(set(c) <= tokens(u) for c in rules) else "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
+    assert {r.verdict for r in got.values() if r.rule is None} == {"allow", "block"}
+
+
+def test_quality_rules_by_class(spark):
+    gone = ["??? ~~~ === ---", "Home · News · Sport · Weather", "a / b / c / d", "Home - News - Sport - Weather", "one › two › three", "WIN!! BIG!! CASH!!",
+            "why?? how?? when??", "w^^ x~~ y==", "a~b~c~d~e~f~g", "★★★ ★★ deal ★★★", "==========", "Home\nNews\nSport\nWeather", "Home\nAll news\nOur best sport\nWeather\nShop"]
+    stays = ["He said: “Stop!” – and then, they left (quickly).", "word – another word – more here it goes", "Call +1 (243) 555-5526 or 10.0.0.30 now", "A.", "Í.",
+             "Home\nNews\nSport", "Home.\nNews.\nSport.\nWeather.", "Home\nNews\n\nSport\nWeather", "Is it so?! Yes, it is.", "", "  ", "The sum x = y holds for every z that we tried here."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(gone + stays)], "doc_id bigint, text string")
+    left = {r.doc_id: r.clean_text for r in quality.judge_rows(df).collect()}
+    assert [left[i] for i in range(len(gone))] == [""] * len(gone)
+    assert [left[len(gone) + i] for i in range(len(stays))] == stays
+
+
+def test_runs_of_flags(spark):
+    rng = random.Random(2)
+    rows = [[rng.random() < .7 for _ in range(rng.randrange(0, 30))] for _ in range(200)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, f array<boolean>")
+    got = {r.i: r.g for r in df.select("i", quality.in_runs(F.col("f"), 4).alias("g")).collect()}
+    for i, r in enumerate(rows):
+        want, at = [], 0
+        while at < len(r):
+            end = at
+            while end < len(r) and r[end] == r[at]:
+                end += 1
+            want += [r[at] and end - at >= 4] * (end - at)
+            at = end
+        assert got[i] == want
