@@ -124,9 +124,24 @@ def is_entry(line: Column, n: Column, rules: Rules = Rules()) -> Column:
 
 def in_runs(flags: Column, length: int) -> Column:
     """Per place of an array of flags, whether it lies in a run of at least ``length`` true ones."""
-    at = lambda x, i: F.coalesce(F.get(x, i), F.lit(False))
-    begins = F.transform(flags, lambda f, i: reduce(lambda a, b: a & b, [at(flags, i + k) for k in range(length)]))
-    return bind(begins, lambda b: F.transform(b, lambda _, i: reduce(lambda x, y: x | y, [at(b, i - k) for k in range(length)])))
+    def some(x: Column, i: Column, step: int, both) -> Column:
+        return reduce(both, [F.coalesce(F.get(x, i + step * k), F.lit(False)) for k in range(length)])
+    begins = bind(flags, lambda f: F.transform(f, lambda _, i: some(f, i, 1, lambda a, b: a & b)))
+    return bind(begins, lambda b: F.transform(b, lambda _, i: some(b, i, -1, lambda x, y: x | y)))
+
+
+def judged_lines(text: Column, rules: Rules = Rules()) -> Column:
+    """array of struct(line, n, fails): the lines of a text, their words, and whether a rule takes them out. One
+    expression in which everything is computed once, so that a filter on it costs no more than it must."""
+    each = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: bind(measured(x), lambda of: F.struct(
+        x.alias("line"), of["n"].alias("n"), line_fails(x, of, rules).alias("fails"), is_entry(x, of["n"], rules).alias("entry"))))
+
+    def with_menus(lines: Column) -> Column:
+        some = F.exists(lines, lambda x: x["entry"])
+        menus = F.when(some, in_runs(F.transform(lines, lambda x: x["entry"]), rules.entries))
+        return bind(menus, lambda menu: F.transform(lines, lambda x, i: F.struct(
+            x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | F.coalesce(F.get(menu, i), F.lit(False))).alias("fails"))))
+    return bind(each, with_menus)
 
 
 def judge_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -143,18 +158,12 @@ def judge_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rows = rows.select(*names, *[c.alias(name) for name, c in counts.items()])
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: bind(measured(x), lambda of: F.struct(
-        x.alias("line"), of["n"].alias("n"), line_fails(x, of, rules).alias("fails"), is_entry(x, of["n"], rules).alias("entry"))))
-    rows = rows.withColumn("base_failed", failed).withColumn("_lines", lines)
-    menus = in_runs(F.transform("_lines", lambda x: x["entry"]), rules.entries)
-    some = F.exists("_lines", lambda x: x["entry"])
-    rows = rows.withColumn("_menus", F.when(some, menus)).withColumn("_lines", F.transform("_lines", lambda x, i: F.struct(
-        x["line"].alias("line"), x["n"].alias("n"), (x["fails"] | F.coalesce(F.get("_menus", i), F.lit(False))).alias("fails"))))
+    rows = rows.withColumn("base_failed", failed).withColumn("_lines", judged_lines(F.col("text"), rules))
     rows = rows.withColumn("lost_words", F.aggregate(
         "_lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["fails"], x["n"]).otherwise(0)))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= rules.max_lost * F.col("n_words"))
     left = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
-    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines", "_menus")
+    return rows.withColumn("kept", kept).withColumn("clean_text", left).drop("_lines")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
