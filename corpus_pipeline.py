@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) with the columns of ``documents``, works on all rows its predecessor
 kept and returns those columns again; the last returns the encoded corpus. ``run`` writes each stage as
 Parquet in the shared folder and reads it back for the next.
+
+All stages: columns beyond those of ``documents`` are left out, whatever their names; rows without id, source or language
+are rows like others, and rows that repeat are judged each; an empty table gives an empty result; texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acopio.llm import bpe, line_dedup, mixing, near_dup, quality
+from acopio.llm import bpe, line_dedup, mixing, quality, simhash
 from acopio.llm.common import table
 from acopio.session import stage
 
@@ -26,36 +30,36 @@ def _with_text(rows: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their failing lines."""
+    """Rejected documents go; the others lose their failing lines. A null or empty text has no words and is rejected."""
     judged = quality.judge_rows(docs.select(*COLUMNS)).where("kept")
     return _with_text(judged, "clean_text")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Frequent lines go from all documents but one; a document left without a word goes."""
+    """Frequent lines go from all documents but the one with the largest id; a document left without a word goes, a null
+    text too."""
     cleaned = line_dedup.dedup(docs.select(*COLUMNS)).where(mixing.n_tokens(F.col("kept_text")) > 0)
     return _with_text(cleaned, "kept_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the
-    smallest id stays, once; rows without id stay."""
-    docs = docs.select(*COLUMNS)
-    found = near_dup.near_duplicates(docs)
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    stays = docs.join(gone, "doc_id", "left_anti")
-    once = stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(stays.where("doc_id IS NULL"))
+    """Of each group of near-duplicates (``op2``'s fingerprints and bits) one row stays, the one with the smallest id.
+
+    Rows are judged each, whatever their id: texts that share an id are kept unless they are near-duplicates.
+    """
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words of the chosen blocks, a row for each time a document or a part of it is taken."""
+    """The words of the chosen blocks, a row for each time a document or a part of it is taken. Documents without words
+    are absent; a null source is a source of its own. Reruns give the same rows."""
     mixed = mixing.mixed_texts(mixing.plan(docs.select(*COLUMNS), block=MIX_BLOCK), block=MIX_BLOCK)
     return _with_text(mixed, "text")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, decoded): the token ids of every row of the mix and the text they decode to."""
+    """(doc_id, ids, decoded): the token ids of every row of the mix and the text they decode to; a null text has none
+    and decodes to an empty one."""
     return bpe.round_trip(docs, bpe.word_vocabulary())
 
 
