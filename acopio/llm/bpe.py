@@ -19,15 +19,19 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .registry import query
 
-KEPT = 250_000         # words, and pre-tokens, of two generations each that a task keeps with their ids
+KEPT = 24 << 20         # bytes, as reckoned, of one of two generations of words, and of pre-tokens, that a worker keeps
+ENTRY = 200             # bytes that a kept word takes besides its letters and ids
 LONG_WORD = 64          # longer words and pre-tokens are not kept
 STEP = 4096             # ids that are decoded together
+CHUNK = 1 << 16         # bytes of a text that are split into words together
+PART = 1 << 20          # bytes of texts whose results leave a task together; a longer text goes alone
 
 
 class Merges:
@@ -109,23 +113,39 @@ class Merges:
 
 
 class Kept(dict):
-    """What ``make`` gives for a short key, kept for two generations of ``KEPT`` keys; longer ones are made anew."""
+    """What ``make`` gives for a short key, kept for two generations of ``KEPT`` bytes, so that frequent ones stay; longer
+    ones are made anew."""
 
     def __init__(self, make: Callable):
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, key: str | bytes) -> bytes:
         made = self.old.get(key)
         if made is None:
             made = self.make(key)
         if len(key) <= LONG_WORD:
-            if len(self) >= KEPT:
+            self.held += ENTRY + len(key) + len(made)
+            if self.held > KEPT:
                 self.old = dict(self)
                 self.clear()
+                self.held = ENTRY + len(key) + len(made)
             self[key] = made
         return made
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _split(raw: bytes) -> Iterator[bytes]:
+    """The words of a text; no more than a chunk of them is held, or one long word."""
+    at, n = 0, len(raw)
+    while at < n:
+        stop = _BLANK.search(raw, at + CHUNK) if at + CHUNK < n else None
+        end = stop.start() if stop else n
+        yield from raw[at:end].split()
+        at = end
+
+
 class Codec:
     """A tokenizer file's encoder and decoder. Its own rules for normal forms and pre-tokens apply."""
 
@@ -172,7 +192,7 @@ class Codec:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as 4-byte numbers, a word at a time. ASCII white space always ends a pre-token here and leaves none itself."""
-        return map(self._words.__getitem__, text.encode("utf-8", "surrogatepass").split())
+        return map(self._words.__getitem__, _split(text.encode("utf-8", "surrogatepass")))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text, an id at a time; an id outside the vocabulary says nothing."""
@@ -244,11 +264,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and an empty decoded text; rows that repeat and null ids are kept;
     a text of any length is encoded whole.
     """
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def both(texts: pa.Array) -> pa.Array:
-        ids = _encoded(texts, path)
-        return pa.StructArray.from_arrays([ids, _decoded(ids, path)], ["ids", "decoded"])
-    return docs.select("doc_id", both("text").alias("b")).select("doc_id", "b.ids", "b.decoded")
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+            while at < batch.num_rows:
+                end, held = at + 1, sizes[at]
+                while end < batch.num_rows and held + sizes[end] <= PART:
+                    held += sizes[end]
+                    end += 1
+                part = batch.slice(at, end - at)
+                ids = _encoded(part.column(1), path)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(ids, path)], ["doc_id", "ids", "decoded"])
+                at = end
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def digests(rows: DataFrame) -> DataFrame:
