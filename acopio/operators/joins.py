@@ -46,10 +46,13 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", s
 
 
 def salted(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = SALTS) -> DataFrame:
-    """Join that spreads each key of the large side over ``salts`` tasks."""
+    """Join that spreads each key of the large side over ``salts`` tasks.
+
+    It is merged by hint: Spark takes the copies for as small as the lookup and would broadcast them all.
+    """
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", spread).join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", spread).join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def _parent_keys(column: str, parent: DataFrame, parent_key: str, ready: bool) -> DataFrame:

@@ -50,6 +50,18 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
         assert got == want
 
 
+def test_salted_join_copies_are_never_broadcast(spark, monkeypatch):
+    # a lookup that Spark takes for small enough to broadcast, past the measured bound: its copies are many times that
+    monkeypatch.setattr(J, "BROADCAST_ROWS", 5)
+    big = spark.range(300).select((F.col("id") % 50).alias("k"), "id")
+    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        out = J.attach(big, small, ["k"], how)
+        assert out.count() == {"left": 300, "inner": 240, "left_semi": 240, "left_anti": 60}[how]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, how
+
+
 def test_first_non_empty_and_parents(spark):
     cols = K.IES_COLUMNS
     base = dict.fromkeys(cols, "")
