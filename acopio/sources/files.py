@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,20 +128,26 @@ def _spanning(lines: DataFrame, sep: str) -> DataFrame:
     return records.select("_path", F.col("_record").alias("_at"), text.alias("text")).withColumn("width", _separators(F.col("text"), sep) + 1)
 
 
+def _filled() -> Column:
+    return F.col("text").rlike("[^\\x00-\\x20]")
+
+
 def _cells(records: DataFrame, sep: str, width: int) -> DataFrame:
     """(_path, _at, cells, text) of records (_path, _at, text, width); blank ones are no records. A missing cell is empty."""
     names = [f"c{i}" for i in range(width)]
     options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                "multiLine": "true", "maxColumns": str(MOST_COLUMNS), "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
-    parsed = records.where(F.col("text").rlike("[^\\x00-\\x20]")).select(
+    parsed = records.where(_filled()).select(
         "_path", "_at", "width", "text", F.from_csv("text", ", ".join(f"{c} string" for c in names), options).alias("_r"))
     cells = F.array(*[F.coalesce(F.col(f"_r.{c}"), F.lit("")) for c in names])
     return parsed.select("_path", "_at", F.slice(cells, F.lit(1), "width").alias("cells"), "text")
 
 
-def _records(spark: SparkSession, paths: list[str], sep: str, encoding: str | None = None, multiline: bool | None = None) -> DataFrame:
-    """(_path, _at, cells, text) of delimited files of any kind and number, in one plan: what each file needs is a row of its
-    profile, joined to its lines. Only numbers come to the driver: the largest width, and which kinds there are."""
+def _texts(spark: SparkSession, paths: list[str], sep: str, encoding: str | None = None,
+           multiline: bool | None = None) -> list[tuple[DataFrame, int | None]]:
+    """Records (_path, _at, text, width) of delimited files of any kind and number, not yet parsed: those of one line each
+    with the width of their file and the largest of all, those that span lines with their own width and no largest. What
+    each file needs is a row of its profile, joined to its lines. Only numbers come to the driver."""
     prof = profile_files(spark, paths, sep)
     if encoding is not None:
         prof = prof.withColumn("latin", F.lit(encoding.upper() not in ("UTF-8", "UTF8")))
@@ -153,14 +161,24 @@ def _records(spark: SparkSession, paths: list[str], sep: str, encoding: str | No
     parts = []
     if False in widths:
         lines = attach(_lines(spark, paths), prof.where("NOT multiline").drop("multiline"), ["_path"], "inner", ready=True)
-        parts.append(_cells(lines.withColumn("text", _decoded(F.col("latin"))), sep, widths[False]))
+        parts.append((lines.select("_path", "_at", _decoded(F.col("latin")).alias("text"), "width"), widths[False]))
     if True in widths:
         lines = attach(_lines(spark, paths, "\n"), prof.where("multiline").select("_path", "latin"), ["_path"], "inner", ready=True)
-        records = stage(_spanning(lines.withColumn("value", _decoded(F.col("latin"))).drop("latin"), sep), "records")
-        wide = pin(records.groupBy("_path").agg(F.max("width").alias("width")))
-        records = attach(records.drop("width"), wide, ["_path"], "inner", ready=True)
-        parts.append(_cells(records, sep, wide.agg(F.max("width")).first()[0]))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append((stage(_spanning(lines.withColumn("value", _decoded(F.col("latin"))).drop("latin"), sep), "records"), None))
+    return parts
+
+
+def _records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    """(_path, _at, cells, text) of delimited files of any kind and number, in one plan; a record has as many cells as the
+    widest of its file."""
+    parts = []
+    for records, widest in _texts(spark, paths, sep):
+        if widest is None:
+            wide = pin(records.groupBy("_path").agg(F.max("width").alias("width")))
+            records = attach(records.drop("width"), wide, ["_path"], "inner", ready=True)
+            widest = wide.agg(F.max("width")).first()[0]
+        parts.append(_cells(records, sep, widest))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def raw_grid(spark: SparkSession, paths: list[str], sep: str = ",") -> DataFrame:
@@ -192,22 +210,27 @@ def scan_master(spark: SparkSession, path, columns: list[str] | None = None, sep
     Each file is read under its own header, so files may order or name their columns differently; a column that only
     some of them have is empty for the others. ``columns`` selects and orders. All files are read in one plan: a file's
     header is a row that says where each column of the result stands, joined to its records. The driver sees the
-    different headers, not the files. ``multiline=None`` finds out per file whether records span lines.
+    different headers, not the files. Records are parsed once, as far as the widest header reaches: a separator inside a
+    text makes no column. ``multiline=None`` finds out per file whether records span lines.
     """
     if encoding.upper() not in ("UTF-8", "UTF8", "ISO-8859-1", "LATIN1", "LATIN-1"):
         raise ValueError(f"masters are UTF-8 or ISO-8859-1, not {encoding}")
     paths = [path] if isinstance(path, str) else list(path)
-    records = _records(spark, paths, sep, encoding, multiline)
-    heads = records.groupBy("_path").agg(F.min_by(F.struct("cells", "text"), "_at").alias("h"), F.min("_at").alias("_head"))
+    texts = reduce(DataFrame.unionByName, [t.select("_path", "_at", "text") for t, _ in _texts(spark, paths, sep, encoding, multiline)])
+    first = pin(texts.where(_filled()).groupBy("_path").agg(F.min("_at").alias("_head")))
+    heads = attach(texts, first, ["_path"], "inner", ready=True).where("_at = _head")
     # as many columns as the header names, whatever its longest record has
-    own = _separators(F.regexp_replace("h.text", '"(?:[^"]|"")*"', ""), sep) + 1
-    heads = pin(heads.select("_path", "_head", F.slice("h.cells", F.lit(1), own).alias("header")))
+    own = _separators(F.regexp_replace("text", '"(?:[^"]|"")*"', ""), sep) + 1
+    heads = pin(heads.select("_path", "_at", "text", own.alias("width")))
+    widest = heads.agg(F.max("width")).first()[0] or 1
+    heads = pin(_cells(heads, sep, widest).select("_path", F.col("_at").alias("_head"), F.col("cells").alias("header")))
     headers = [list(r["header"]) for r in heads.select("header").distinct().collect()]      # the different headers
     named = {tuple(h): _column_names(h) for h in headers}
     wanted = columns or list(dict.fromkeys(c for h in sorted(named) for c in named[h]))
     places = [(list(h), [names.index(c) if c in names else None for c in wanted]) for h, names in named.items()]
     known = spark.createDataFrame(places, "header array<string>, places array<int>")
     plan = pin(heads.join(F.broadcast(known), "header").select("_path", "_head", "places"))
+    records = _cells(texts.withColumn("width", F.lit(widest)), sep, widest)
     rows = attach(records, plan, ["_path"], "inner", ready=True).where(F.col("_at") > F.col("_head"))
     cell = lambda i: F.coalesce(F.get("cells", F.get("places", F.lit(i))), F.lit(""))
     return rows.select(*[cell(i).alias(c) for i, c in enumerate(wanted)])

@@ -342,6 +342,19 @@ def test_hot_file_and_hot_key_keep_every_row(spark):
     assert heads.count() == 3 * 8
 
 
+def test_separators_inside_texts_make_no_columns(spark, tmp_path, monkeypatch):
+    from acopio.sources import files
+    rows = [("1", "a, " * 900), ("2", 'x "y"\n' + "," * 700), ("3", ""), ("4", "plain")]
+    files.write_csv(spark.createDataFrame(rows, "id string, texto string"), str(tmp_path / "many"))
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.csv").write_text('id,texto\n5,"' + ",;" * 800 + '"\n6\n7,b,c\n')
+    widths, cells = [], files._cells
+    monkeypatch.setattr(files, "_cells", lambda records, sep, width: widths.append(width) or cells(records, sep, width))
+    got = {tuple(r) for r in scan_master(spark, [str(tmp_path / "many"), str(tmp_path / "flat")]).collect()}
+    assert got == {*rows, ("5", ",;" * 800), ("6", ""), ("7", "b")}
+    assert max(widths) == 2
+
+
 def test_wide_records_that_span_lines_keep_every_column(spark, tmp_path):
     head = ",".join(f'"c{i}\nx, {i}"' if i % 50 == 0 else f"c{i}" for i in range(300))
     (tmp_path / "a.csv").write_text(f"title\n{head}\n1,,3\n")
