@@ -68,8 +68,16 @@ def _known(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready
 
 
 def fk_semi(df: DataFrame, column: str, parent: DataFrame, parent_key: str, ready: bool = False,
-            counts: Counts | None = None) -> DataFrame:
-    """Rows whose key exists in the parent. ``counts`` gets the rows left out as ``descartadas``."""
+            counts: Counts | None = None, among: DataFrame | None = None) -> DataFrame:
+    """Rows whose key exists in the parent. ``counts`` gets the rows left out as ``descartadas``.
+
+    ``among`` has, in its one column, every key of ``df``, if they are known, nulls aside, each once; others may be
+    there too. Then only the keys that the parent lacks meet the rows.
+    """
+    if counts is None and among is not None:
+        keys = _parent_keys(column, parent, parent_key, ready)
+        lacking = among.toDF(column).where(F.col(column).isNotNull()).join(keys.hint("merge"), column, "left_anti")
+        return attach(df.where(F.col(column).isNotNull()), lacking, [column], "left_anti")
     if counts is None:
         return attach(df, _parent_keys(column, parent, parent_key, ready), [column], "left_semi", ready=ready)
     out = counts.watch(_known(df, column, parent, parent_key, ready), descartadas=F.col("_known").isNull())

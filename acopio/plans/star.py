@@ -84,6 +84,15 @@ def _coded(source: list[DataFrame] | DataFrame, table: str) -> DataFrame:
     return first_non_empty(rows, names[0], names[1:], ORDER).where(F.col("nombre").isNotNull())
 
 
+def codes_in(scan: DataFrame, table: str, frames: list[DataFrame]) -> DataFrame | None:
+    """Every code the frames have for a dimension, with or without a name (for ``fk_semi``'s ``among``); None if some
+    frame gave the scan no entries of it."""
+    if any(c not in f.columns for f in frames for c in CODED[table][0].values()):
+        return None
+    return pin(_entries(scan, table).select(F.col("valores")[0].alias("_raw")).distinct()
+               .select(numeric_code(F.col("_raw")).alias("codigo")).where("codigo IS NOT NULL").distinct())
+
+
 def dim_department(source: list[DataFrame] | DataFrame) -> DataFrame:
     return _coded(source, "DEPARTAMENTO")
 
@@ -234,7 +243,8 @@ def with_valid_parents(institutions: DataFrame, counts: Counts | None = None) ->
 
 def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All 16 tables. Each frame is read once for all dimensions (``dimension_scan``) and once for its fact;
-    dimensions are computed once (reliable checkpoints), facts stay lazy."""
+    dimensions are computed once (reliable checkpoints), facts stay lazy. The scan knows every code of the facts, so
+    they only meet the codes that no dimension row has."""
     students = {K.STUDENT_MEASURES[c]: staged[c] for c in K.STUDENT_MEASURES if c in staged}
     admin, staff = staged.get("Administrativos"), staged.get("Docentes")
     frames = [f for f in (admin, staff, *students.values()) if f is not None]
@@ -253,6 +263,7 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     if texts:
         dims = text_dims(scan, texts)
         star.update({t: dims[c] for t, c in TEXT_TABLES.items() if c in dims})
+    known = codes_in(scan, "INSTITUCION", frames)
     if students:
         programs = pin(dim_program_texts(scan))
         star["CINE_CAMPO_ESPECIFICO"] = pin(dim_cine_specific(programs, star["CINE_CAMPO_AMPLIO"]))
@@ -261,16 +272,17 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
         star["PROGRAMA"] = pin(dim_program(programs, star["AREA_CONOCIMIENTO"], star["NBC"],
                                            star["CINE_CAMPO_AMPLIO"], star["CINE_CAMPO_ESPECIFICO"],
                                            star["CINE_DETALLADO"]))
-        fact = fk_semi(fact_students(students), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
-        fact = fk_semi(fact, "programa_codigo", star["PROGRAMA"], K.PROGRAM_KEY, ready=True)
+        fact = fk_semi(fact_students(students), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True, among=known)
+        fact = fk_semi(fact, "programa_codigo", star["PROGRAMA"], K.PROGRAM_KEY, ready=True,
+                       among=codes_in(scan, "PROGRAMA", list(students.values())))
         fact = fk_nullify(fact, "municipio_programa_codigo", star["MUNICIPIO"], "codigo", ready=True)
         fact = fk_text(fact, "sexo", star["SEXO"], "sexo_id", ready=True)
         star["HECHO_ESTUDIANTES"] = fact.select(*[c[0] for c in K.STAR["HECHO_ESTUDIANTES"]["columns"]])
     if admin is not None:
-        fact = fk_semi(fact_admin(admin), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
+        fact = fk_semi(fact_admin(admin), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True, among=known)
         star["HECHO_ADMINISTRATIVOS"] = fact.select(*[c[0] for c in K.STAR["HECHO_ADMINISTRATIVOS"]["columns"]])
     if staff is not None:
-        fact = fk_semi(fact_staff(staff), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True)
+        fact = fk_semi(fact_staff(staff), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True, among=known)
         for source, table, out in (
                 ("sexo", "SEXO", "sexo_id"),
                 ("nivel_formacion_docente", "NIVEL_FORMACION_DOCENTE", "nivel_formacion_id"),

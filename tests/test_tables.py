@@ -62,6 +62,34 @@ def test_salted_join_copies_are_never_broadcast(spark, monkeypatch):
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, how
 
 
+def test_rows_meet_only_the_codes_that_the_parent_lacks(spark, monkeypatch):
+    df = spark.createDataFrame([("1", 1), ("1", 1), ("2", 2), ("9", 3), (None, 4)], "k string, v int")
+    parent = spark.createDataFrame([("1",), ("2",), ("2",), (None,), ("5",)], "codigo string")
+    known = spark.createDataFrame([("1",), ("2",), ("9",), ("8",), (None,)], "codigo string")
+    seen, attach = [], J.attach
+    monkeypatch.setattr(J, "attach", lambda big, small, *a, **b: seen.append(small.count()) or attach(big, small, *a, **b))
+    want = [("1", 1), ("1", 1), ("2", 2)]
+    assert sorted(map(tuple, J.fk_semi(df, "k", parent, "codigo").collect())) == want
+    assert sorted(map(tuple, J.fk_semi(df, "k", parent, "codigo", among=known).collect())) == want
+    assert seen == [3, 2]
+
+
+def test_facts_lose_the_codes_without_a_name(spark, monkeypatch):
+    cols = K.IES_COLUMNS + ["anio", "semestre", *K.ADMIN_MEASURES]
+    base = dict.fromkeys(cols, "1")
+    rows = [dict(base, institucion_codigo=c, institucion_nombre=n, _ord=i)
+            for i, (c, n) in enumerate([("10", "Uno"), ("10.0", ""), ("20", " "), ("20", ""), ("", "Nadie"), (None, "Nadie"), ("30", "Tres")])]
+    admin = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols) + ", _ord bigint")
+    given, fk_semi = [], star.fk_semi
+    monkeypatch.setattr(star, "fk_semi", lambda *a, **b: given.append(b.get("among")) or fk_semi(*a, **b))
+    built = star.build_star({"Administrativos": admin})
+    assert sorted(r.institucion_codigo for r in built["HECHO_ADMINISTRATIVOS"].collect()) == ["10", "30"]
+    assert sorted(r.codigo for r in given[0].collect()) == ["10", "20", "30"]
+    # a frame that gives the scan no entries says nothing of the codes
+    built = star.build_star({"Administrativos": admin.drop("sector_ies")})
+    assert given[1] is None and built["HECHO_ADMINISTRATIVOS"].count() == 0
+
+
 def test_first_non_empty_and_parents(spark):
     cols = K.IES_COLUMNS
     base = dict.fromkeys(cols, "")
