@@ -74,23 +74,23 @@ def _entries(source: list[DataFrame] | DataFrame, table: str) -> DataFrame:
     return scan.where(F.col("tabla") == table)
 
 
-def _coded(source: list[DataFrame] | DataFrame, table: str) -> DataFrame:
-    """First non-empty value of every column per code; codes left without a name are dropped."""
+def _coded(source: list[DataFrame] | DataFrame, table: str, every: bool = False) -> DataFrame:
+    """First non-empty value of every column per code; codes left without a name are dropped, unless ``every`` code is
+    asked for."""
     names = list(CODED[table][0])
     cells = [(numeric_code if c in CODES else clean_value)(F.col("valores")[i]).alias(c) for i, c in enumerate(names)]
     rows = _entries(source, table).select(*cells, ORDER).where(F.col(names[0]).isNotNull())
     if "ies_padre_codigo" in names:     # an institution is not its own parent
         rows = rows.withColumn("ies_padre_codigo", F.nullif("ies_padre_codigo", "codigo"))
-    return first_non_empty(rows, names[0], names[1:], ORDER).where(F.col("nombre").isNotNull())
+    found = first_non_empty(rows, names[0], names[1:], ORDER)
+    return found if every else found.where(F.col("nombre").isNotNull())
 
 
-def codes_in(scan: DataFrame, table: str, frames: list[DataFrame]) -> DataFrame | None:
-    """Every code the frames have for a dimension, with or without a name (for ``fk_semi``'s ``among``); None if some
-    frame gave the scan no entries of it."""
+def _known(every: DataFrame, table: str, frames: list[DataFrame]) -> DataFrame | None:
+    """The codes of a dimension for ``fk_semi``'s ``among``; None if some frame gave the scan no entries of it."""
     if any(c not in f.columns for f in frames for c in CODED[table][0].values()):
         return None
-    return pin(_entries(scan, table).select(F.col("valores")[0].alias("_raw")).distinct()
-               .select(numeric_code(F.col("_raw")).alias("codigo")).where("codigo IS NOT NULL").distinct())
+    return every.select(next(iter(CODED[table][0])))
 
 
 def dim_department(source: list[DataFrame] | DataFrame) -> DataFrame:
@@ -101,14 +101,14 @@ def dim_municipality(source: list[DataFrame] | DataFrame) -> DataFrame:
     return _coded(source, "MUNICIPIO")
 
 
-def dim_institution(source: list[DataFrame] | DataFrame) -> DataFrame:
+def dim_institution(source: list[DataFrame] | DataFrame, every: bool = False) -> DataFrame:
     """Institutions before any reference is checked; a parent equal to the code itself is null."""
-    return _coded(source, "INSTITUCION")
+    return _coded(source, "INSTITUCION", every)
 
 
-def dim_program_texts(source: list[DataFrame] | DataFrame) -> DataFrame:
+def dim_program_texts(source: list[DataFrame] | DataFrame, every: bool = False) -> DataFrame:
     """Programmes with their classification still as text."""
-    return _coded(source, "PROGRAMA")
+    return _coded(source, "PROGRAMA", every)
 
 
 def text_dims(source: list[DataFrame] | DataFrame, columns: list[str]) -> dict[str, DataFrame]:
@@ -256,16 +256,18 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     star["DEPARTAMENTO"] = pin(dim_department(scan))
     star["MUNICIPIO"] = pin(fk_nullify(dim_municipality(scan), "departamento_codigo",
                                        star["DEPARTAMENTO"], "codigo", ready=True))
-    inst = pin(fk_nullify(dim_institution(scan), "municipio_codigo", star["MUNICIPIO"], "codigo", ready=True))
+    every = pin(dim_institution(scan, every=True))
+    known = _known(every, "INSTITUCION", frames)
+    inst = pin(fk_nullify(every.where("nombre IS NOT NULL"), "municipio_codigo", star["MUNICIPIO"], "codigo", ready=True))
     star["INSTITUCION"] = pin(with_valid_parents(inst))
     if sexed:
         star["SEXO"] = pin(dim_sex(scan))
     if texts:
         dims = text_dims(scan, texts)
         star.update({t: dims[c] for t, c in TEXT_TABLES.items() if c in dims})
-    known = codes_in(scan, "INSTITUCION", frames)
     if students:
-        programs = pin(dim_program_texts(scan))
+        every = pin(dim_program_texts(scan, every=True))
+        programs = every.where("nombre IS NOT NULL")
         star["CINE_CAMPO_ESPECIFICO"] = pin(dim_cine_specific(programs, star["CINE_CAMPO_AMPLIO"]))
         star["CINE_DETALLADO"] = pin(dim_cine_detail(programs, star["CINE_CAMPO_AMPLIO"],
                                                      star["CINE_CAMPO_ESPECIFICO"]))
@@ -274,7 +276,7 @@ def build_star(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
                                            star["CINE_DETALLADO"]))
         fact = fk_semi(fact_students(students), "institucion_codigo", star["INSTITUCION"], "codigo", ready=True, among=known)
         fact = fk_semi(fact, "programa_codigo", star["PROGRAMA"], K.PROGRAM_KEY, ready=True,
-                       among=codes_in(scan, "PROGRAMA", list(students.values())))
+                       among=_known(every, "PROGRAMA", list(students.values())))
         fact = fk_nullify(fact, "municipio_programa_codigo", star["MUNICIPIO"], "codigo", ready=True)
         fact = fk_text(fact, "sexo", star["SEXO"], "sexo_id", ready=True)
         star["HECHO_ESTUDIANTES"] = fact.select(*[c[0] for c in K.STAR["HECHO_ESTUDIANTES"]["columns"]])
