@@ -308,7 +308,7 @@ def _prefix(turns: Column, n: Column | int) -> Column:
 
 def dealt(rows: DataFrame, shard: int = SHARD) -> DataFrame:
     """Add ``cut`` and ``bucket``: segments with the same first ``cut`` turns below one prefix share a bucket. The cut
-    is doubled where more than ``shard`` turns would meet."""
+    is doubled where more than ``shard`` turns would meet, up to a whole segment."""
     length = F.size("turns").cast("bigint") + 1
     total = rows.agg(F.sum(length)).first()[0] or 0
     rows, cut = rows.withColumn("cut", F.lit(1)), 1
@@ -318,9 +318,10 @@ def dealt(rows: DataFrame, shard: int = SHARD) -> DataFrame:
         crowded = pin(crowded.where((F.col("n") > shard) & (F.col("rows") > 1)).select("_key", F.lit(True).alias("_crowded")))
         if crowded.isEmpty():
             break
-        longer = F.when(F.col("_crowded") & (F.col("cut") == cut), F.lit(2 * cut)).otherwise(F.col("cut"))
+        twice = min(2 * cut, SEGMENT)     # a segment's last node names what goes on below it, so it is never above the cut
+        longer = F.when(F.col("_crowded") & (F.col("cut") == cut), F.lit(twice)).otherwise(F.col("cut"))
         rows = stage(attach(keyed, crowded, ["_key"], "left", ready=True).withColumn("cut", longer).drop("_key", "_crowded"), "dealt")
-        cut *= 2
+        cut = twice
     return rows.withColumn("bucket", F.pmod(_prefix(F.col("turns"), F.col("cut")), F.lit(total // shard + 1)))
 
 
