@@ -266,6 +266,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()     # what the last batch, or the worker's last task, left
             at = 0
             sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
             while at < batch.num_rows:

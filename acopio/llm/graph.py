@@ -13,9 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest root among its neighbours', then its root's root, so the number
     of rounds follows the logarithm of the longest chain. Rounds end when no root changed. Neighbours
-    are reduced before the shuffle, and labels are written between rounds.
+    are reduced before the shuffle, and labels are written between rounds. ``edges`` is computed once.
     """
-    both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stage(edges.select(F.explode(ways).alias("way")).select("way.a", "way.b").distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
         near = (both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))

@@ -23,6 +23,7 @@ from .registry import query
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARDS = 64
 SLOTS, KICKS = 4, 500
+SLICE = 500      # texts whose lines a task holds at once
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -40,28 +41,40 @@ def keys_of(text: Column, min_chars: int = MIN_CHARS) -> Column:
     """Digests (first 128 bits of SHA-256) of a text's distinct line keys with at least ``min_chars`` code points."""
     @F.arrow_udf("array<binary>")
     def keys(texts: pa.Array) -> pa.Array:
-        flat, ends = [], [0]
-        for x in texts:
-            lines = (line_key(y) for y in (x.as_py() or "").split("\n"))
-            flat.extend(_digest(k) for k in dict.fromkeys(lines) if len(k) >= min_chars)
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()))
+        pa.default_memory_pool().release_unused()     # what the last batch left
+        parts = [pa.array([], pa.list_(pa.binary()))]
+        for at in range(0, len(texts), SLICE):
+            flat, ends = [], [0]
+            for x in texts.slice(at, SLICE):
+                lines = (line_key(y) for y in (x.as_py() or "").split("\n"))
+                flat.extend(_digest(k) for k in dict.fromkeys(lines) if len(k) >= min_chars)
+                ends.append(len(flat))
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary())))
+        return pa.concat_arrays(parts)
     return keys(text)
 
 
 def without(text: Column, dropped: Column) -> Column:
-    """struct(kept_text, n_dropped): the text less the lines whose digest is in ``dropped``."""
+    """struct(kept_text, n_dropped): the text less the lines whose digest is in ``dropped``.
+
+    It is called non-deterministic only so that Spark computes it once: a filter on its result would else be moved below
+    the projection and compute it a second time, in a second Python worker of the same task.
+    """
     @F.arrow_udf("struct<kept_text:string,n_dropped:bigint>")
     def kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        out, n = [], []
-        for x, g in zip(texts, gone):
-            text, keys = x.as_py() or "", set(g.as_py() or ())
-            lines = text.split("\n") if keys else []
-            stay = [y for y in lines if _digest(line_key(y)) not in keys]
-            out.append("\n".join(stay) if keys else text)
-            n.append(len(lines) - len(stay))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n, pa.int64())], ["kept_text", "n_dropped"])
-    return kept(text, dropped)
+        pa.default_memory_pool().release_unused()     # what the last batch left
+        parts, n = [pa.array([], pa.string())], []
+        for at in range(0, len(texts), SLICE):
+            out = []
+            for x, g in zip(texts.slice(at, SLICE), gone.slice(at, SLICE)):
+                text, keys = x.as_py() or "", set(g.as_py() or ())
+                lines = text.split("\n") if keys else []
+                stay = [y for y in lines if _digest(line_key(y)) not in keys]
+                out.append("\n".join(stay) if keys else text)
+                n.append(len(lines) - len(stay))
+            parts.append(pa.array(out, pa.string()))
+        return pa.StructArray.from_arrays([pa.concat_arrays(parts), pa.array(n, pa.int64())], ["kept_text", "n_dropped"])
+    return kept.asNondeterministic()(text, dropped)
 
 
 # a key's place: shard, fingerprint (16 bits, not 0) and first bucket come from its hash, the second bucket
@@ -228,9 +241,12 @@ class LineIndex:
 
 def empty_index(spark: SparkSession, id_type: str = "bigint", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
                 shards: int = SHARDS) -> LineIndex:
-    return LineIndex(spark.createDataFrame([], f"key binary, doc_id {id_type}, n bigint"),
-                     spark.createDataFrame([], f"key binary, n_docs bigint, keeper {id_type}"),
-                     spark.createDataFrame([], _BUCKETS), min_docs, min_chars, shards)
+    def none(columns: str) -> DataFrame:     # without the Python workers that an empty list would start
+        kinds = (c.split() for c in columns.split(", "))
+        return spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in kinds])
+
+    return LineIndex(none(f"key binary, doc_id {id_type}, n bigint"), none(f"key binary, n_docs bigint, keeper {id_type}"),
+                     none(_BUCKETS), min_docs, min_chars, shards)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

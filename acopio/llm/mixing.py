@@ -24,6 +24,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2     # of all tokens; of a source's own tokens
 BLOCK = 8                # tokens of a block
 SHARD_ROWS = 20_000      # documents that a shard has on average
+SLICE = 500              # documents whose words a task holds at once
 SEED = 42
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,12 +153,16 @@ def mixed_texts(planned: DataFrame, block: int = BLOCK) -> DataFrame:
     more with the words of its blocks that are taken again; documents of which nothing is taken are absent."""
     @F.arrow_udf("array<string>")
     def copies(text: pa.Array, start: pa.Array, n: pa.Array, whole: pa.Array, extra: pa.Array, phase: pa.Array) -> pa.Array:
-        out = []
-        for t, s, b, w, e, p in zip(text, start, n, whole, extra, phase):
-            t, s, b, w, e, p = (x.as_py() for x in (t, s, b, w, e, p))
-            part = _chosen_text(t or "", s, b, e, p, block) if e else ""
-            out.append([t] * (w if t and _WORD.search(t) else 0) + [part] * bool(part))
-        return pa.array(out, pa.list_(pa.string()))
+        pa.default_memory_pool().release_unused()     # what the last batch left
+        parts = [pa.array([], pa.list_(pa.string()))]
+        for at in range(0, len(text), SLICE):
+            out = []
+            for row in zip(*(c.slice(at, SLICE) for c in (text, start, n, whole, extra, phase))):
+                t, s, b, w, e, p = (x.as_py() for x in row)
+                part = _chosen_text(t or "", s, b, e, p, block) if e else ""
+                out.append([t] * (w if t and _WORD.search(t) else 0) + [part] * bool(part))
+            parts.append(pa.array(out, pa.list_(pa.string())))
+        return pa.concat_arrays(parts)
 
     names = [c for c in planned.columns if not c.startswith("mix_")]
     made = copies("text", "mix_start", "mix_blocks", "mix_whole", "mix_extra", "mix_phase")

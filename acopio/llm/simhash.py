@@ -23,6 +23,7 @@ WORDS, SEED, BUDGET = 3, 42, 2
 LEAF = 2048      # a pair of nodes with at most so many fingerprints each goes to one task
 STEP = 4         # bits by which larger nodes are taken apart
 WINDOWS = 65_536  # shingles whose bits are held at once
+PAIRS = 32_768   # node pairs that a task splits at once
 
 
 def fingerprint_of(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -59,7 +60,8 @@ def node_pairs(prints: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> Dat
     """(depth, a, b, err): the pairs of trie nodes that tasks go on with, a <= b, at most ``budget`` bits
     apart. Each pair of fingerprints within the budget lies below exactly one of them."""
     spark = prints.sparkSession
-    pairs = spark.createDataFrame([(0, 0, 0)], "a bigint, b bigint, err int")
+    zero = F.lit(0).cast("bigint")
+    pairs = spark.range(1).select(zero.alias("a"), zero.alias("b"), F.lit(0).alias("err"))     # starts no Python worker
     done = None
     for depth in range(0, 65, STEP):
         nodes = prints.groupBy(_prefix("fp", depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +93,7 @@ def traverse(a: np.ndarray, b: np.ndarray, start: np.ndarray, bit: int, budget:
     stack = [(start, bit)]
     while stack:
         pairs, bit = stack.pop()
-        if len(pairs) > 200_000:
+        if len(pairs) > PAIRS:
             stack += [(pairs[:len(pairs) // 2], bit), (pairs[len(pairs) // 2:], bit)]
             continue
         na, nb = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
